@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from locusflow.llm import mixing, quality
+from locusflow.llm import media, mixing, quality
 
 _QUERIES: dict[str, Callable] = {
+    "op2_media_jpeg": media.query,
     "op4_quality_rules": quality.query,
     "op10_source_mix": mixing.query,
 }
