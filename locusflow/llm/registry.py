@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from locusflow.llm import media, mixing, quality, toxicity
+from locusflow.llm import media, mixing, quality, toxicity, warc
 
 _QUERIES: dict[str, Callable] = {
     "op2_media_jpeg": media.query,
     "op4_quality_rules": quality.query,
+    "op6_warc": warc.query,
     "op8_toxicity": toxicity.query,
     "op10_source_mix": mixing.query,
 }
