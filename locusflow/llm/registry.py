@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from locusflow.llm import media, mixing, quality, toxicity, warc
+from locusflow.llm import media, mixing, quality, rlz, toxicity, warc
 
 _QUERIES: dict[str, Callable] = {
+    "op1_substring_dedup": rlz.query,
     "op2_media_jpeg": media.query,
     "op4_quality_rules": quality.query,
     "op6_warc": warc.query,
