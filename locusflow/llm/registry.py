@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from locusflow.llm import media, mixing, quality, rlz, toxicity, warc
+from locusflow.llm import jaccard, media, mixing, quality, rlz, toxicity, warc
 
 _QUERIES: dict[str, Callable] = {
     "op1_substring_dedup": rlz.query,
@@ -12,6 +12,7 @@ _QUERIES: dict[str, Callable] = {
     "op4_quality_rules": quality.query,
     "op6_warc": warc.query,
     "op8_toxicity": toxicity.query,
+    "op9_ngram_jaccard": jaccard.query,
     "op10_source_mix": mixing.query,
 }
 _ORACLE: dict[str, str] = {}
