@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from locusflow.llm import extract, jaccard, media, mixing, quality, rlz, toxicity, warc
+from locusflow.llm import extract, jaccard, media, mixing, quality, rlz, tokens, toxicity, warc
 
 _QUERIES: dict[str, Callable] = {
     "op1_substring_dedup": rlz.query,
     "op2_media_jpeg": media.query,
     "op3_html_text": extract.query,
     "op4_quality_rules": quality.query,
+    "op5_token_counts": tokens.query,
     "op6_warc": warc.query,
     "op8_toxicity": toxicity.query,
     "op9_ngram_jaccard": jaccard.query,
