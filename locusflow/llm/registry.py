@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from locusflow.llm import extract, jaccard, media, mixing, quality, rlz, tokens, toxicity, warc
+from locusflow.llm import bpe, extract, jaccard, media, mixing, quality, rlz, tokens, toxicity, warc
 
 _QUERIES: dict[str, Callable] = {
     "op1_substring_dedup": rlz.query,
@@ -13,6 +13,7 @@ _QUERIES: dict[str, Callable] = {
     "op4_quality_rules": quality.query,
     "op5_token_counts": tokens.query,
     "op6_warc": warc.query,
+    "op7_byte_bpe": bpe.query,
     "op8_toxicity": toxicity.query,
     "op9_ngram_jaccard": jaccard.query,
     "op10_source_mix": mixing.query,
