@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from locusflow.llm import bpe, extract, jaccard, media, mixing, quality, rlz, tokens, toxicity, warc
 
 _QUERIES: dict[str, Callable] = {
@@ -18,6 +19,7 @@ _QUERIES: dict[str, Callable] = {
     "op9_ngram_jaccard": jaccard.query,
     "op10_source_mix": mixing.query,
 }
+_QUERIES["pipeline"] = corpus_pipeline.run
 _ORACLE: dict[str, str] = {}
 
 
