@@ -40,7 +40,6 @@ PART, WHOLE = 75, 100
 FRAGMENTS = 4
 FREQUENT, OFTEN = 200_000, 16
 FLUSH = 3_000_000
-BUCKETS = 16
 LOWEST = -(1 << 63)
 
 
@@ -251,8 +250,8 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple
     least = sizes.where("n > 0").groupBy("sig", "n").agg(F.min("doc").alias("b"), F.count("*").alias("k")).where("k > 1")
     same = sizes.join(least, ["sig", "n"]).select(F.col("doc").alias("a"), "b").where("a != b")
     frequent = spark.sparkContext.broadcast(frequent_grams(first))
-    packed = rows.mapInArrow(_prefixes(frequent, BUCKETS * n), "bucket int, gram binary, doc binary, n binary, place binary")
-    groups = written(packed.repartition(n, "bucket").mapInArrow(_groups, "gram bigint, doc bigint, n int, place int, hub bigint"), "groups")
+    packed = rows.mapInArrow(_prefixes(frequent, n), "bucket int, gram binary, doc binary, n binary, place binary")
+    groups = written(packed.repartitionById(n, "bucket").mapInArrow(_groups, "gram bigint, doc bigint, n int, place int, hub bigint"), "groups")
     members = groups.select("doc").distinct()
     pieces = written(rows.join(members, "doc").mapInArrow(_pieces, "doc bigint, fragment int, n bigint, grams binary"), "pieces")
     votes = groups.where("hub is not null").groupBy(F.col("doc").alias("a"), F.col("hub").alias("b")).count()

@@ -36,7 +36,6 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPAN, ANCHOR = 20, 8
 CHOICE = SPAN - ANCHOR + 1
 AT_ONCE = 1 << 18
-BUCKETS = 16
 FLUSH = 2_000_000  # entries that a task holds before it packs them
 PACKED = "bucket int, first binary, second binary, doc binary, row binary, pos binary, known boolean"
 FOUND = "row bigint, start int, words int"
@@ -60,7 +59,7 @@ def _anchors(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _pack(first, second, doc, row, pos, known: bool, buckets: int) -> Iterator[dict]:
-    """Entries by bucket of their hash; those already settled by bucket of their row."""
+    """Entries by bucket, the partition of their hash; those already settled by that of their row."""
     place = ((row.astype(np.uint64) if known else first) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(place, kind="stable")
     cuts = np.flatnonzero(np.diff(place[order])) + 1
@@ -166,8 +165,8 @@ def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     keyed = docs.withColumn("__row", row_key(F.col(doc_id), F.col(text)))
 
     def looked_up(df: DataFrame, anchors: bool) -> DataFrame:
-        sent = df.mapInArrow(_send(BUCKETS * n, doc_id, text, anchors), PACKED)
-        return sent.repartition(n, "bucket").mapInArrow(_meet(anchors), FOUND)
+        sent = df.mapInArrow(_send(n, doc_id, text, anchors), PACKED)
+        return sent.repartitionById(n, "bucket").mapInArrow(_meet(anchors), FOUND)
 
     marks = looked_up(keyed.select(doc_id, text, "__row"), True).groupBy("row").agg(F.collect_set("start").alias("__marks"))
     probed = keyed.join(marks.withColumnRenamed("row", "__row").hint("shuffle_hash"), "__row", "left").where(F.col("__marks").isNotNull())
