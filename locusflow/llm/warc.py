@@ -1,10 +1,10 @@
 """WARC archives as a PySpark Python data source, and pages stored without repeated payloads.
 
-The source ``warc`` writes one archive file per task and reads folders of them. Reading plans partitions of whole
+The source ``warc`` writes one archive file per task, every record a gzip member, and reads folders of them. Reading plans partitions of whole
 files, packed to about ``bytesPerPartition``; filters on record_type, page_id, target_uri, payload_digest and
 refers_to are pushed down. Headers are parsed first: of a record that a filter turns away, only the header is
-read, and its payload is skipped by a seek. Payloads that no column asks for are skipped too (option ``payload``
-= false).
+inflated; the rest is skipped by the lengths that the member's ``sl`` field gives. Payloads that nobody asks for
+(option ``payload`` = false) are skipped too.
 
 Defined results of ``archive``: a null html is an empty payload, and empty payloads are equal payloads; of the
 rows with equal payloads that with the largest page_id is the response (a null page_id is smaller than any;
@@ -18,7 +18,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +35,8 @@ from locusflow.llm.common import shared_dir, table
 SCHEMA = "page_id bigint, target_uri string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
 PUSHED = {"page_id", "target_uri", "record_type", "payload_digest", "refers_to"}
 BATCH_BYTES = 4 << 20
+#: Bytes of a member before its data, and of data read at first for a record's header.
+MEMBER, HEADER = 24, 512
 
 
 def files_of(path: str) -> tuple[pafs.FileSystem, str]:
@@ -59,18 +63,19 @@ def record(row: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
-def header(stream) -> dict[str, str] | None:
-    """The next record's header fields by lower-case name; None at the end."""
-    line = stream.readline()
-    if not line:
-        return None
-    if not line.startswith(b"WARC/"):
-        raise ValueError(f"not the start of a WARC record: {line[:40]!r}")
-    fields = {}
-    while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-        name, _, value = line.decode("utf-8", "surrogateescape").partition(":")
-        fields[name.strip().lower()] = value.strip()
-    return fields
+def member(raw: bytes) -> bytes:
+    """A gzip member of a record. Its extra field ``sl`` holds the compressed and the plain length, for skipping."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    data = deflate.compress(raw) + deflate.flush()
+    return struct.pack("<4sIBBH2sHII", b"\x1f\x8b\x08\x04", 0, 0, 255, 12, b"sl", 8, len(data), len(raw)) + data + struct.pack("<II", zlib.crc32(raw), len(raw))
+
+
+def fields_of(head: bytes) -> dict[str, str]:
+    """A record's header fields by lower-case name."""
+    first, *lines = head.decode("utf-8", "surrogateescape").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError(f"not the start of a WARC record: {first[:40]!r}")
+    return {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
 
 
 def from_header(fields: dict[str, str]) -> dict:
@@ -102,11 +107,11 @@ class WarcWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         fs, root = files_of(self.path)
         fs.create_dir(root, recursive=True)
-        name, out = f"{root}/{uuid.uuid4().hex}.warc", None
+        name, out = f"{root}/{uuid.uuid4().hex}.warc.gz", None
         for row in rows:
             if out is None:
                 out = fs.open_output_stream(name + ".tmp")
-            out.write(record(row.asDict()))
+            out.write(member(record(row.asDict())))
         if out is None:
             return Written([])
         out.close()
@@ -147,7 +152,7 @@ class WarcReader(DataSourceReader):
         fs, root = files_of(self.path)
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
         out, size = [Files([])], 0
-        for info in sorted((i for i in found if i.path.endswith(".warc")), key=lambda i: i.path):
+        for info in sorted((i for i in found if i.path.endswith(".warc.gz")), key=lambda i: i.path):
             if out[-1].paths and size + info.size > self.per_partition:
                 out.append(Files([]))
                 size = 0
@@ -160,20 +165,25 @@ class WarcReader(DataSourceReader):
         for path in part.paths:
             with fs.open_input_file(path) as raw:
                 reader = _Buffered(raw)
-                while (fields := header(reader)) is not None:
-                    row, length = from_header(fields), int(fields["content-length"])
-                    if not self.wanted(row):
-                        reader.skip(length + 4)
-                        continue
-                    if self.payload and row["record_type"] == "response":
-                        row["payload"] = reader.read(length)
-                        reader.skip(4)
+                while start := reader.read(MEMBER):
+                    size, _ = struct.unpack("<II", start[-8:])
+                    inflate, plain, left = zlib.decompressobj(-15), b"", size
+                    while b"\r\n\r\n" not in plain and left:
+                        data = reader.read(min(HEADER, left))
+                        left -= len(data)
+                        plain += inflate.decompress(data)
+                    head, _, plain = plain.partition(b"\r\n\r\n")
+                    row = from_header(fields := fields_of(head))
+                    row["payload"] = None
+                    wanted = self.wanted(row)
+                    if wanted and self.payload and row["record_type"] == "response":
+                        row["payload"] = (plain + inflate.decompress(reader.read(left)))[: int(fields["content-length"])]
+                        left = 0
                         if digest(row["payload"]) != row["payload_digest"]:
                             raise ValueError(f"{path}: the payload of page {row['page_id']} doesn't match its digest")
-                    else:
-                        row["payload"] = None
-                        reader.skip(length + 4)
-                    yield row
+                    reader.skip(left + 8)
+                    if wanted:
+                        yield row
 
     def read(self, part: Files) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -191,7 +201,7 @@ class WarcReader(DataSourceReader):
 
 
 class _Buffered:
-    """Lines, reads and skips over a random-access file; skips longer than the buffer are seeks."""
+    """Reads and skips over a random-access file; skips longer than the buffer are seeks."""
 
     def __init__(self, raw, size: int = 1 << 18):
         self.raw, self.size, self.held, self.at = raw, size, b"", 0
@@ -201,14 +211,6 @@ class _Buffered:
         self.held, self.at = self.held[self.at :] + more, 0
         return bool(more)
 
-    def readline(self) -> bytes:
-        while (end := self.held.find(b"\n", self.at)) < 0:
-            if not self._fill():
-                end = len(self.held) - 1
-                break
-        out, self.at = self.held[self.at : end + 1], end + 1
-        return out
-
     def read(self, n: int) -> bytes:
         while len(self.held) - self.at < n and self._fill():
             pass
