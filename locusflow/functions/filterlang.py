@@ -1,0 +1,222 @@
+"""A filter language for alignments, compiled to Columns.
+
+Precedence from loose to tight: && and || on one level from the left; == != =~ !~ and, below them, < <= > >=, both from
+the right; | then ^ then &; + -; * / %; unary + - ! ~ on a primary. A value is a number, a string or undefined (NULL). Comparing
+strings with numbers is false, and != true. Undefined operands give undefined, but that !undefined is true and that || takes
+a defined true side. A row passes if the expression is true; numbers are true unless 0, strings unless empty.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from locusflow.operators.reads import FLAGS
+
+TOKEN = re.compile(r"\s*(?:(?P<num>0[xX][0-9a-fA-F]+|\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|(?P<str>\"(?:[^\"\\]|\\.)*\")|(?P<tag>\[[A-Za-z][A-Za-z0-9]\])|(?P<name>[A-Za-z_][A-Za-z0-9_.]*)|(?P<op>&&|\|\||==|!=|=~|!~|<=|>=|[-+!~*/%&^|<>(),]))")
+ESCAPES = {'"': '"', "\\": "\\", "t": "\t", "n": "\n", "r": "\r"}
+
+
+@dataclass
+class Value:
+    column: Column
+    text: bool = False
+
+
+class Compiler:
+    """Turns an expression into a Column; symbols maps names to (Column, is_text), tag a two-letter name to a text Column."""
+
+    def __init__(self, symbols: dict[str, tuple[Column, bool]], tag: Callable[[str], Column] | None = None):
+        self.symbols, self.tag = symbols, tag
+
+    def compile(self, source: str) -> Column:
+        self.tokens, at = [], 0
+        source = source.rstrip()
+        while at < len(source):
+            m = TOKEN.match(source, at)
+            if not m:
+                raise ValueError(f"not understood: {source[at:]!r}")
+            self.tokens.append((m.lastgroup, m[m.lastgroup]))
+            at = m.end()
+        self.at = 0
+        value = self.logical()
+        if self.at < len(self.tokens):
+            raise ValueError(f"not expected: {self.tokens[self.at][1]!r}")
+        return F.coalesce(self.truth(value), F.lit(False))
+
+    def peek(self) -> str | None:
+        kind, text = self.tokens[self.at] if self.at < len(self.tokens) else (None, None)
+        return text if kind == "op" else None
+
+    def take(self) -> tuple[str | None, str]:
+        if self.at >= len(self.tokens):
+            raise ValueError("ends too early")
+        self.at += 1
+        return self.tokens[self.at - 1]
+
+    def truth(self, v: Value) -> Column:
+        return v.column != "" if v.text else v.column != 0
+
+    def number(self, v: Value) -> Column:
+        if v.text:
+            raise ValueError("a number is needed, not a string")
+        return v.column
+
+    def whole(self, v: Value) -> Column:
+        return self.number(v).cast("bigint")
+
+    def flag(self, c: Column) -> Value:
+        return Value(c.cast("double"))
+
+    def logical(self) -> Value:
+        left = self.equality()
+        while self.peek() in ("&&", "||"):
+            op, right = self.take()[1], self.equality()
+            a, b = self.truth(left), self.truth(right)
+            # An undefined side makes && undefined even beside false.
+            both = F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).otherwise(a & b)
+            left = self.flag(both if op == "&&" else a | b)
+        return left
+
+    def equality(self) -> Value:
+        left = self.comparison()
+        if self.peek() not in ("==", "!=", "=~", "!~"):
+            return left
+        op, right = self.take()[1], self.equality()
+        if op in ("=~", "!~"):
+            if not (left.text and right.text):
+                raise ValueError("a pattern needs strings")
+            hit = F.regexp_like(left.column, right.column)
+        elif left.text != right.text:
+            hit = F.when(left.column.isNotNull() & right.column.isNotNull(), F.lit(False))
+        else:
+            hit = left.column == right.column
+        return self.flag(~hit if op in ("!=", "!~") else hit)
+
+    def comparison(self) -> Value:
+        left = self.bits(0)
+        if self.peek() not in ("<", "<=", ">", ">="):
+            return left
+        op, right = self.take()[1], self.comparison()
+        if left.text != right.text:
+            return self.flag(F.when(left.column.isNotNull() & right.column.isNotNull(), F.lit(False)))
+        a, b = left.column, right.column
+        return self.flag({"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op])
+
+    def bits(self, level: int) -> Value:
+        if level == 3:
+            return self.sum()
+        sign, name = (("|", "bitwiseOR"), ("^", "bitwiseXOR"), ("&", "bitwiseAND"))[level]
+        left = self.bits(level + 1)
+        while self.peek() == sign:
+            self.take()
+            right = self.bits(level + 1)
+            left = Value(getattr(self.whole(left), name)(self.whole(right)).cast("double"))
+        return left
+
+    def sum(self) -> Value:
+        left = self.product()
+        while self.peek() in ("+", "-"):
+            op, right = self.take()[1], self.product()
+            a, b = self.number(left), self.number(right)
+            left = Value(a + b if op == "+" else a - b)
+        return left
+
+    def product(self) -> Value:
+        left = self.unary()
+        while self.peek() in ("*", "/", "%"):
+            op, right = self.take()[1], self.unary()
+            a, b = self.number(left), self.number(right)
+            if op == "%":
+                n = b.cast("bigint")
+                left = Value(F.when(n != 0, a.cast("bigint") % F.when(n != 0, n)).cast("double"))
+            else:
+                left = Value(a * b if op == "*" else F.try_divide(a, b))
+        return left
+
+    def unary(self) -> Value:
+        op = self.peek()
+        if op in ("+", "-", "!", "~"):
+            self.take()
+            v = self.unary() if op in ("!", "~") else self.primary()
+            if op == "!":
+                return self.flag(F.coalesce(~self.truth(v), F.lit(True)))
+            return Value(self.number(v) if op == "+" else -self.number(v) if op == "-" else F.bitwise_not(self.whole(v)).cast("double"))
+        return self.primary()
+
+    def primary(self) -> Value:
+        kind, text = self.take()
+        if kind == "num":
+            return Value(F.lit(float(int(text, 16)) if text[:2].lower() == "0x" else float(text)))
+        if kind == "str":
+            return Value(F.lit(re.sub(r"\\(.)", lambda m: ESCAPES.get(m[1], m[0]), text[1:-1])), True)
+        if kind == "tag" and self.tag:
+            return Value(self.tag(text[1:-1]), True)
+        if kind == "name":
+            if self.peek() == "(" and text not in self.symbols:
+                return self.call(text)
+            if text in self.symbols:
+                column, is_text = self.symbols[text]
+                return Value(column if is_text else column.cast("double"), is_text)
+            raise ValueError(f"unknown name {text}")
+        if (kind, text) == ("op", "("):
+            v = self.logical()
+            self.close()
+            return v
+        raise ValueError(f"not expected: {text!r}")
+
+    def close(self) -> None:
+        if self.take() != ("op", ")"):
+            raise ValueError("a closing bracket is missing")
+
+    def call(self, name: str) -> Value:
+        self.take()
+        args = [self.logical()]
+        while self.peek() == ",":
+            self.take()
+            args.append(self.logical())
+        self.close()
+        x = args[0].column
+        if name in ("length", "min", "max", "avg"):
+            if not args[0].text:
+                raise ValueError(f"{name} needs a string")
+            codes = F.transform(F.split(x, ""), lambda c: F.ascii(c))
+            total = F.aggregate(codes, F.lit(0), lambda s, c: s + c)
+            made = {"length": F.length(x), "min": F.array_min(codes), "max": F.array_max(codes), "avg": F.try_divide(total.cast("double"), F.length(x).cast("double"))}[name]
+            return Value(made.cast("double"))
+        if name == "exists":
+            return self.flag(x.isNotNull())
+        if name == "default":
+            return Value(F.coalesce(x, args[1].column), args[0].text)
+        if name == "pow":
+            return Value(F.pow(self.number(args[0]), self.number(args[1])))
+        if name in ("sqrt", "log", "exp"):
+            v = getattr(F, name)(self.number(args[0]))
+            return Value(F.when(~F.isnan(v), v))
+        raise ValueError(f"unknown function {name}")
+
+
+def read_symbols(df: DataFrame) -> dict[str, tuple[Column, bool]]:
+    """The language's names for the columns of a reads table, as far as it has them."""
+    from locusflow.functions import cigar as cg
+
+    have, c = set(df.columns), F.col
+    out = {n: (c(k), t) for n, k, t in (("qname", "qname", True), ("rname", "contig", True), ("pos", "pos", False), ("mapq", "mapq", False), ("cigar", "cigar", True), ("flag", "flag", False), ("mrname", "mate_contig", True), ("rnext", "mate_contig", True), ("mpos", "mate_pos", False), ("pnext", "mate_pos", False), ("tlen", "tlen", False), ("seq", "seq", True), ("qual", "qual", True), ("library", "library", True)) if k in have}
+    if "flag" in have:
+        out |= {f"flag.{n}": (c("flag").bitwiseAND(b), False) for n, b in FLAGS.items()}
+    if "cigar" in have:
+        b = cg.blocks(c("cigar"))
+        out |= {"ncigar": (F.size(b), False), "qlen": (cg.span(b, cg.QUERY), False), "rlen": (cg.span(b, cg.REFERENCE), False), "sclen": (cg.span(b, "S"), False), "hclen": (cg.span(b, "H"), False)}
+        if "pos" in have:
+            out["endpos"] = (cg.end_of(c("pos"), b), False)
+    return out
+
+
+def matching(df: DataFrame, expression: str) -> DataFrame:
+    """The rows of a reads table for which the expression is true."""
+    tag = (lambda t: F.col("tags")[t]) if "tags" in df.columns else None
+    return df.where(Compiler(read_symbols(df), tag).compile(expression))

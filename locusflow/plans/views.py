@@ -86,7 +86,7 @@ def variants(spark: SparkSession, sf_dir: str, parity: int | None = None) -> Dat
     alt = F.when(k % 11 == 0, "A").when(k % 11 == 1, "ATT").when(k % 11 == 2, "<DEL>").when(k % 11 == 3, "*").when(k % 11 == 4, "AT").otherwise(F.substring(F.lit("ACGT"), (1 + (z + k) % 4).cast("int"), F.lit(1)))
     second = F.when(k % 3 == 0, F.array(F.lit("G"))).otherwise(F.array().cast("array<string>"))
     out = table(spark, sf_dir, "part").select(
-        F.concat(F.lit("c"), (k % 5).cast("string")).alias("contig"), (k / 2).cast("bigint").alias("pos"), F.concat(F.lit("rs"), (k % 900).cast("string")).alias("id"), ref.alias("ref"), F.concat(F.array(alt), second).alias("alts"), k.alias("key"),
+        F.concat(F.lit("c"), (k % 5).cast("string")).alias("contig"), (k / 20).cast("bigint").alias("pos"), F.concat(F.lit("rs"), (k % 900).cast("string")).alias("id"), ref.alias("ref"), F.concat(F.array(alt), second).alias("alts"), k.alias("key"),
         F.when(k % 4 == 0, F.array(F.lit("PASS"))).when(k % 4 == 1, F.array(F.lit("LowQual"), F.lit("q10"))).when(k % 4 == 2, F.array(F.lit("q10"))).otherwise(F.array().cast("array<string>")).alias("filters"),
     )
     return out if parity is None else out.where(k % 2 == parity)
@@ -109,7 +109,7 @@ INTERVALS = """intervals AS (SELECT p_partkey AS id, 'c' || CAST(p_partkey % 5 A
 TARGETS = """targets AS (SELECT c_custkey AS tid, 'c' || CAST(c_custkey % 5 AS VARCHAR) AS contig, CAST(least(c_custkey % 2000 + 1, c_custkey % 2000 + c_custkey % 17 - 3) AS BIGINT) AS beg,
  CAST(greatest(c_custkey % 2000 + 1, c_custkey % 2000 + c_custkey % 17 - 3) AS BIGINT) AS "end", 'Brand#' || CAST(11 + c_custkey % 5 AS VARCHAR) AS payload FROM customer)"""
 GROUPS = """groups AS (SELECT CAST(s_suppkey AS INT) AS sample_idx, r_name AS "group" FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
-VARIANTS = """variants AS (SELECT 'c' || CAST(p_partkey % 5 AS VARCHAR) AS contig, CAST(floor(p_partkey / 2) AS BIGINT) AS pos, 'rs' || CAST(p_partkey % 900 AS VARCHAR) AS id,
+VARIANTS = """variants AS (SELECT 'c' || CAST(p_partkey % 5 AS VARCHAR) AS contig, CAST(floor(p_partkey / 20) AS BIGINT) AS pos, 'rs' || CAST(p_partkey % 900 AS VARCHAR) AS id,
  CASE WHEN p_partkey % 7 = 0 THEN 'AT' WHEN p_partkey % 7 = 1 THEN 'ATG' ELSE substr('ACGT', CAST(1 + p_size % 4 AS INT), 1) END AS ref,
  list_concat([CASE p_partkey % 11 WHEN 0 THEN 'A' WHEN 1 THEN 'ATT' WHEN 2 THEN '<DEL>' WHEN 3 THEN '*' WHEN 4 THEN 'AT' ELSE substr('ACGT', CAST(1 + (p_size + p_partkey) % 4 AS INT), 1) END],
   CASE WHEN p_partkey % 3 = 0 THEN ['G'] ELSE CAST([] AS VARCHAR[]) END) AS alts, p_partkey AS key,
