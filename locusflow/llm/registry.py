@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from locusflow.llm import bpe, extract, jaccard, media, mixing, quality, rlz, tokens, toxicity, warc
+from locusflow.llm import bpe, extract, jaccard, media, mixing, oracle, quality, rlz, tokens, toxicity, warc
 
 _QUERIES: dict[str, Callable] = {
     "op1_substring_dedup": rlz.query,
@@ -20,7 +20,11 @@ _QUERIES: dict[str, Callable] = {
     "op10_source_mix": mixing.query,
 }
 _QUERIES["pipeline"] = corpus_pipeline.run
-_ORACLE: dict[str, str] = {}
+_ORACLE: dict[str, str] = {
+    "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op6_warc": oracle.WARC,
+    "op9_ngram_jaccard": oracle.JACCARD,
+}
 
 
 def queries() -> dict[str, Callable]:
