@@ -14,7 +14,8 @@ components are pairs across them verified in a second round, all of them. So no
 missed, and a large group of near copies costs one pair per copy.
 
 The frequent grams are a list of fixed size, counted over all documents; the order they give affects cost alone,
-never the result. Texts are read twice by row and exchanged once.
+never the result. Of a round's texts only those of documents in its pairs are exchanged. Verification compares 42 bits
+of a gram's hash.
 
 Defined results: null and wordless texts have an empty set, are linked with nothing and are their own component;
 texts of fewer than GRAM words have one gram, the whole; rows that share a doc_id are one node of the link graph; rows
@@ -40,6 +41,10 @@ PART, WHOLE = 75, 100
 FRAGMENTS = 4
 FREQUENT, OFTEN = 200_000, 16
 FLUSH = 3_000_000
+#: Bits of the filter that keeps documents without candidates out of the exchange of texts: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
+#: Bytes of a gram's hash that verification compares, besides its fragment.
+KEPT = 5
 LOWEST = -(1 << 63)
 
 
@@ -106,7 +111,9 @@ def _prefixes(frequent, buckets: int):
         order = np.argsort(bucket, kind="stable")
         parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
         raw = lambda x: pa.array([x[p].tobytes() for p in parts], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), raw(gram), raw(doc), raw(n), raw(place)], names=["bucket", "gram", "doc", "n", "place"])
+        # Inside a bucket 32 bits tell grams apart well enough: two that fall together only propose pairs in vain.
+        short = (gram >> np.uint64(32)).astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), raw(short), raw(doc), raw(n), raw(place)], names=["bucket", "gram", "doc", "n", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = frequent.value
@@ -142,8 +149,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The members of the groups of two documents or more, each with the group's most central member as hub."""
     held: list[list] = [[], [], [], []]
     for batch in batches:
-        for name, kind, x in zip(("gram", "doc", "n", "place"), (np.uint64, np.int64, np.int32, np.int32), held):
+        for name, kind, x in zip(("doc", "n", "place"), (np.int64, np.int32, np.int32), held[1:]):
             x.extend(np.frombuffer(v.as_buffer(), kind) for v in batch.column(name))
+        held[0].extend((b << 32) | np.frombuffer(v.as_buffer(), np.uint32).astype(np.int64) for b, v in zip(batch.column("bucket").to_pylist(), batch.column("gram")))
     if not held[0]:
         return
     gram, doc, n, place = (np.concatenate(x) for x in held)
@@ -160,19 +168,20 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = keep[at : at + (1 << 20)]
         cut = lambda x: x[at : at + (1 << 20)][k]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cut(gram).view(np.int64)), pa.array(cut(doc)), pa.array(cut(n)), pa.array(cut(place)), pa.array(cut(hub.data), mask=cut(np.ma.getmaskarray(hub)))],
+            [pa.array(cut(gram)), pa.array(cut(doc)), pa.array(cut(n)), pa.array(cut(place)), pa.array(cut(hub.data), mask=cut(np.ma.getmaskarray(hub)))],
             names=["gram", "doc", "n", "place", "hub"],
         )
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A set as rows (doc, fragment, n, grams): the fragments cut the order of the hashes evenly."""
+    """A set as rows (doc, fragment, n, grams): the fragments cut the order of the hashes evenly; grams are their low bytes."""
     edges = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
     for batch in batches:
         docs, out = _ids(batch), ([], [], [], [])
         for i, grams in sets_of(batch.column("text")):
             for f, part in enumerate(np.split(grams, np.searchsorted(grams, edges))):
-                for x, v in zip(out, (docs[i], f, len(grams), part.tobytes())):
+                short = part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]
+                for x, v in zip(out, (docs[i], f, len(grams), short.tobytes())):
                     x.append(v)
             if len(out[0]) >= 1024:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["doc", "fragment", "n", "grams"])
@@ -184,16 +193,55 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shared = np.empty(batch.num_rows, np.int64)
         for i, (x, y) in enumerate(zip(batch.column("left_grams"), batch.column("right_grams"))):
-            both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
+            short = np.frombuffer(x.as_buffer().to_pybytes() + y.as_buffer().to_pybytes(), np.uint8).reshape(-1, KEPT)
+            both = np.zeros((len(short), 8), np.uint8)
+            both[:, :KEPT] = short
+            both = both.reshape(-1).view("<u8")
             both.sort()
             shared[i] = np.count_nonzero(both[1:] == both[:-1])
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_a"), batch.column("n_b"), pa.array(shared)], names=["a", "b", "n_a", "n_b", "shared"])
 
 
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bit filter of fixed size over the doc ids, three bits each, put together from 64-bit words."""
+    bits = F.explode(F.array(*[F.pmod(F.xxhash64("doc", F.lit(i)), F.lit(FILTER_BITS)) for i in range(3)]))
+    words = ids.select(bits.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
+def _maybe(held):
+    """Rows whose three bits (columns bit0 to bit2) are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for i in range(3):
+                bit = batch.column(f"bit{i}").to_numpy()
+                keep &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
+            yield batch.select(["doc", "text"]).filter(pa.array(keep))
+
+    return run
+
+
+def _cut(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pieces of the documents in pairs. Most others are kept out of the exchange of texts by a bit filter; the join is exact."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+    held = rows.sparkSession.sparkContext.broadcast(_filter(ids))
+    bits = rows.select("doc", "text", *[F.pmod(F.xxhash64("doc", F.lit(i)), F.lit(FILTER_BITS)).alias(f"bit{i}") for i in range(3)])
+    return written(bits.mapInArrow(_maybe(held), "doc bigint, text string").join(ids, "doc").mapInArrow(_pieces, "doc bigint, fragment int, n bigint, grams binary"), "pieces")
+
+
 def verified(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose similarity is high enough: overlaps are counted by fragment and summed."""
+    """The pairs (a, b) whose similarity is high enough: overlaps are counted by fragment and summed.
+
+    b should be the side with fewer documents: its pieces alone are exchanged again, by fragment.
+    """
     left = pairs.join(pieces.select(F.col("doc").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("left_grams")), "a")
-    both = left.join(pieces.select(F.col("doc").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("right_grams")), ["b", "fragment"])
+    right = pieces.select(F.col("doc").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("right_grams")).join(pairs.select("b").distinct(), "b", "left_semi")
+    both = left.join(right, ["b", "fragment"])
     counted = both.select("a", "b", "n_a", "n_b", "left_grams", "right_grams").mapInArrow(_overlaps, "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint")
     total = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     return total.where(WHOLE * F.col("shared") >= PART * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
@@ -252,18 +300,16 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple
     frequent = spark.sparkContext.broadcast(frequent_grams(first))
     packed = rows.mapInArrow(_prefixes(frequent, n), "bucket int, gram binary, doc binary, n binary, place binary")
     groups = written(packed.repartitionById(n, "bucket").mapInArrow(_groups, "gram bigint, doc bigint, n int, place int, hub bigint"), "groups")
-    members = groups.select("doc").distinct()
-    pieces = written(rows.join(members, "doc").mapInArrow(_pieces, "doc bigint, fragment int, n bigint, grams binary"), "pieces")
     votes = groups.where("hub is not null").groupBy(F.col("doc").alias("a"), F.col("hub").alias("b")).count()
-    best = votes.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
-    tried = written(_ordered(best), "tried")
-    links = written(verified(tried, pieces).union(same), "links")
+    best = votes.groupBy("a").agg(F.max_by("b", F.struct("count", F.bitwise_not("b"))).alias("b"))
+    tried = written(best.where("a != b"), "tried")
+    links = written(verified(tried, _cut(rows, tried)).union(same), "links")
     found = written(components(links), "found")
     placed = groups.select("gram", "doc", "n", "place").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = placed.groupBy("gram").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("gram")
     open_ = placed.join(mixed, "gram").repartition(n, "gram").sortWithinPartitions("gram")
-    rest = written(_ordered(open_.mapInArrow(_across, "a bigint, b bigint")).join(tried, ["a", "b"], "left_anti"), "rest")
-    more = verified(rest, pieces)
+    rest = written(_ordered(open_.mapInArrow(_across, "a bigint, b bigint")).join(_ordered(tried), ["a", "b"], "left_anti"), "rest")
+    more = verified(rest, _cut(rows, rest))
     return sizes.select("doc", "n"), components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
