@@ -10,7 +10,8 @@ same piece of the other and counts its own overlap, and the counts are summed pe
 Groups aren't expanded into pairs. First each document of a group pairs with the group's most central one alone, the
 one with the fewest rarer grams, and of those keeps the pair that most of its groups propose. The components
 of the links found tell which groups are settled: all members in one component. Only where a group spans several
-components are pairs across them verified in a second round, all of them. So no link between components is
+components are pairs across them counted, group by group, and those verified in a second round that meet in as many
+groups as a link requires (see ``votes_needed``). So no link between components is
 missed, and a large group of near copies costs one pair per copy.
 
 The frequent grams are a list of fixed size, counted over all documents; the order they give affects cost alone,
@@ -163,13 +164,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     head = heads[np.cumsum(new) - 1]
     keep = (np.diff(np.append(heads, len(gram))) > 1)[np.cumsum(new) - 1]
     fits = _fits(n[head], place[head], n, place) & (doc != doc[head])
-    hub = np.ma.masked_array(doc[head], ~fits)
+    hub, hub_n = np.ma.masked_array(doc[head], ~fits), n[head]
     for at in range(0, len(gram), 1 << 20):
         k = keep[at : at + (1 << 20)]
         cut = lambda x: x[at : at + (1 << 20)][k]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cut(gram)), pa.array(cut(doc)), pa.array(cut(n)), pa.array(cut(place)), pa.array(cut(hub.data), mask=cut(np.ma.getmaskarray(hub)))],
-            names=["gram", "doc", "n", "place", "hub"],
+            [pa.array(cut(gram)), pa.array(cut(doc)), pa.array(cut(n)), pa.array(cut(hub.data), mask=cut(np.ma.getmaskarray(hub))), pa.array(cut(hub_n))],
+            names=["gram", "doc", "n", "hub", "hub_n"],
         )
 
 
@@ -247,32 +248,52 @@ def verified(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
     return total.where(WHOLE * F.col("shared") >= PART * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
+def votes_needed(n1, n2):
+    """How many leading grams two sets of these sizes share at least if they link.
+
+    Take the set whose lead ends first in the global order: what the two share up to there stands in both leads, and
+    behind it there are needed(n) - 1 grams of that set.
+    """
+    return np.maximum(1, -(-PART * (n1 + n2) // (PART + WHOLE)) - np.maximum(needed(n1), needed(n2)) + 1)
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across the components of each group, for rows sorted by gram; a member meets those before it of other components."""
-    held: list[tuple] = []
-    last = None
-
-    def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
-        doc, n, place, comp = (np.array(x, np.int64) for x in zip(*rows))
-        if (comp == comp[0]).all():
-            return None
-        a, b = [], []
-        for i in range(1, len(doc)):
-            ok = np.flatnonzero((comp[:i] != comp[i]) & _fits(n[:i], place[:i], n[i], place[i]))
-            a.append(np.full(len(ok), doc[i]))
-            b.append(doc[:i][ok])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    """(a, b, votes, least): members of one group in different components, a > b, with the votes that they need at least.
 
-    for batch in batches:
-        for gram, *rest in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "n", "place", "component"))):
-            if gram != last and held:
-                if len(held) > 1 and (out := pairs(held)) is not None:
-                    yield out
-                held = []
-            last = gram
-            held.append(rest)
-    if len(held) > 1 and (out := pairs(held)) is not None:
-        yield out
+    Rows of a partition are sorted by group; each round compares every member with the k-th one after it.
+    """
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    gram, doc, n, comp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("gram", "doc", "n", "component"))
+    order = np.lexsort((doc, gram))
+    gram, doc, n, comp = gram[order], doc[order], n[order].astype(np.int64), comp[order]
+    new = np.append(True, gram[1:] != gram[:-1])
+    heads = np.flatnonzero(new)
+    mixed = (np.minimum.reduceat(comp, heads) != np.maximum.reduceat(comp, heads))[np.cumsum(new) - 1]
+    gram, doc, n, comp = gram[mixed], doc[mixed], n[mixed], comp[mixed]
+    at, k, made, size = np.arange(len(gram)), 1, [], 0
+
+    def packed() -> pa.RecordBatch:
+        a, b, least = (np.concatenate(x) for x in zip(*made))
+        order = np.lexsort((b, a))
+        a, b, least = a[order], b[order], least[order]
+        new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.diff(np.append(new, len(a)))), pa.array(np.minimum.reduceat(least, new))], names=["a", "b", "votes", "least"])
+
+    while len(at := at[at + k < len(gram)]) and len(at := at[gram[at] == gram[at + k]]):
+        x, y = at, at + k
+        ok = (comp[x] != comp[y]) & (doc[x] != doc[y]) & (needed(np.maximum(n[x], n[y])) <= np.minimum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        if len(x):
+            made.append((np.maximum(doc[x], doc[y]), np.minimum(doc[x], doc[y]), votes_needed(n[x], n[y])))
+            size += len(x)
+        if size >= FLUSH:
+            yield packed()
+            made, size = [], 0
+        k += 1
+    if made:
+        yield packed()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -299,16 +320,19 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple
     same = sizes.join(least, ["sig", "n"]).select(F.col("doc").alias("a"), "b").where("a != b")
     frequent = spark.sparkContext.broadcast(frequent_grams(first))
     packed = rows.mapInArrow(_prefixes(frequent, n), "bucket int, gram binary, doc binary, n binary, place binary")
-    groups = written(packed.repartitionById(n, "bucket").mapInArrow(_groups, "gram bigint, doc bigint, n int, place int, hub bigint"), "groups")
-    votes = groups.where("hub is not null").groupBy(F.col("doc").alias("a"), F.col("hub").alias("b")).count()
+    groups = written(packed.repartitionById(n, "bucket").mapInArrow(_groups, "gram bigint, doc bigint, n int, hub bigint, hub_n int"), "groups")
+    need = lambda n: F.ceil(F.col(n) * PART / WHOLE)
+    least = F.ceil((F.col("n") + F.col("hub_n")) * PART / (PART + WHOLE)) - F.greatest(need("n"), need("hub_n")) + 1
+    # A first guess at the links may miss some: half the votes that a link needs, as other groups may have other hubs.
+    votes = groups.where("hub is not null").groupBy(F.col("doc").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("count"), F.min(least).alias("least")).where("2 * count >= least")
     best = votes.groupBy("a").agg(F.max_by("b", F.struct("count", F.bitwise_not("b"))).alias("b"))
     tried = written(best.where("a != b"), "tried")
     links = written(verified(tried, _cut(rows, tried)).union(same), "links")
     found = written(components(links), "found")
-    placed = groups.select("gram", "doc", "n", "place").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = placed.groupBy("gram").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("gram")
-    open_ = placed.join(mixed, "gram").repartition(n, "gram").sortWithinPartitions("gram")
-    rest = written(_ordered(open_.mapInArrow(_across, "a bigint, b bigint")).join(_ordered(tried), ["a", "b"], "left_anti"), "rest")
+    placed = groups.select("gram", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    across = placed.repartition(n, "gram").mapInArrow(_across, "a bigint, b bigint, votes bigint, least bigint")
+    enough = across.groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.min("least").alias("least")).where("votes >= least").select("a", "b")
+    rest = written(enough.join(_ordered(tried), ["a", "b"], "left_anti"), "rest")
     more = verified(rest, _cut(rows, rest))
     return sizes.select("doc", "n"), components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
