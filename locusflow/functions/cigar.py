@@ -76,3 +76,27 @@ def aligned_pairs(pos: Column, placed: Column) -> Column:
         return F.when(_in(b["op"], MATCH), each).otherwise(one)
 
     return F.flatten(F.transform(F.filter(placed, lambda b: b["op"] != "H"), rows))
+
+
+def pileup_entries(pos: Column, placed: Column) -> Column:
+    """[(pos, qpos, indel, is_del, is_refskip, is_head, is_tail)] for each reference base under the alignment.
+
+    indel is the length of an insertion (positive) or deletion (negative) that follows the base.
+    """
+    on = F.filter(placed, lambda b: _in(b["op"], REFERENCE + "I"))
+    last = span(placed, REFERENCE) - 1
+
+    def entries(b: Column, k: Column) -> Column:
+        after = F.get(on, k + 1)
+        step = F.when(after["op"] == "I", after["len"]).when(after["op"] == "D", -after["len"]).otherwise(0)
+
+        def entry(i: Column) -> Column:
+            gone = ~_in(b["op"], MATCH)
+            return F.struct(
+                (pos + b["rpos"] + i).cast("bigint").alias("pos"), (b["qpos"] + F.when(gone, 0).otherwise(i)).alias("qpos"), F.when(~gone & (i == b["len"] - 1), step).otherwise(0).alias("indel"),
+                (b["op"] == "D").alias("is_del"), (b["op"] == "N").alias("is_refskip"), (b["rpos"] + i == 0).alias("is_head"), (b["rpos"] + i == last).alias("is_tail"),
+            )
+
+        return F.when(_in(b["op"], REFERENCE), F.transform(F.sequence(F.lit(0), b["len"] - 1), entry)).otherwise(F.array())
+
+    return F.flatten(F.transform(on, entries))

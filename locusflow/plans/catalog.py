@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusflow.plans import alignments, calls, ranges, sites
+from locusflow.plans import alignments, calls, extras, ranges, sites
 
-MODULES = (sites, ranges, alignments, calls)
+MODULES = (sites, ranges, alignments, calls, extras)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE.items()}
