@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import written
+from locusflow.llm.common import forget, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,4 +35,5 @@ def components(links: DataFrame) -> DataFrame:
         if mark == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = mark
-        edges = written(_small_star(_large_star(edges).where("a != b").distinct()).where("a != b").distinct(), "edges")
+        before, edges = edges, written(_small_star(_large_star(edges).where("a != b").distinct()).where("a != b").distinct(), "edges")
+        forget(before)

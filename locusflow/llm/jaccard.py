@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import shuffle_partitions, table, written
+from locusflow.llm.common import forget, shuffle_partitions, table, written
 from locusflow.llm.components import components
 from locusflow.llm.grams import mix, ngrams, words_of
 
@@ -232,7 +232,9 @@ def _cut(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
     held = rows.sparkSession.sparkContext.broadcast(_filter(ids))
     bits = rows.select("doc", "text", *[F.pmod(F.xxhash64("doc", F.lit(i)), F.lit(FILTER_BITS)).alias(f"bit{i}") for i in range(3)])
-    return written(bits.mapInArrow(_maybe(held), "doc bigint, text string").join(ids, "doc").mapInArrow(_pieces, "doc bigint, fragment int, n bigint, grams binary"), "pieces")
+    pieces = written(bits.mapInArrow(_maybe(held), "doc bigint, text string").join(ids, "doc").mapInArrow(_pieces, "doc bigint, fragment int, n bigint, grams binary"), "pieces")
+    forget(ids)
+    return pieces
 
 
 def verified(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -327,14 +329,20 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple
     votes = groups.where("hub is not null").groupBy(F.col("doc").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("count"), F.min(least).alias("least")).where("2 * count >= least")
     best = votes.groupBy("a").agg(F.max_by("b", F.struct("count", F.bitwise_not("b"))).alias("b"))
     tried = written(best.where("a != b"), "tried")
-    links = written(verified(tried, _cut(rows, tried)).union(same), "links")
+    pieces = _cut(rows, tried)
+    links = written(verified(tried, pieces).union(same), "links")
+    forget(pieces)
     found = written(components(links), "found")
     placed = groups.select("gram", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     across = placed.repartition(n, "gram").mapInArrow(_across, "a bigint, b bigint, votes bigint, least bigint")
     enough = across.groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.min("least").alias("least")).where("votes >= least").select("a", "b")
     rest = written(enough.join(_ordered(tried), ["a", "b"], "left_anti"), "rest")
-    more = verified(rest, _cut(rows, rest))
-    return sizes.select("doc", "n"), components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    forget(groups)
+    pieces = _cut(rows, rest)
+    more = verified(rest, pieces)
+    whole = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    forget(pieces, rest, tried, links, found)
+    return sizes.select("doc", "n"), whole
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
