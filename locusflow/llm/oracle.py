@@ -34,3 +34,39 @@ links AS (SELECT x, y FROM shared JOIN sizes s ON x = s.doc_id JOIN sizes t ON y
 both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.y FROM reach r JOIN both_ways l ON r.b = l.x)
 SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM w JOIN reach ON a = w.doc_id LEFT JOIN sizes USING (doc_id) GROUP BY w.doc_id"""
+
+
+def _quality() -> str:
+    """The rules and the estimation of ``quality`` in SQL, from the same constants."""
+    from locusflow.llm import quality as q
+
+    stops = ", ".join(f"'{w}'" for w in q.STOP_WORDS)
+    strip = lambda chars: f"length(t) - length(translate(t, '{chars}', ''))"
+    vote = lambda good, junk: f"CASE WHEN {good} THEN 1 WHEN {junk} THEN -1 ELSE 0 END"
+    votes = ", ".join([
+        vote("n_symbols * 100 <= n_words", "n_symbols * 5 >= n_words"), vote("n_upper * 8 <= word_chars", "n_upper * 4 >= word_chars"), vote("n_shouts * 100 <= n_words", "n_shouts * 5 >= n_words"),
+        vote("word_chars >= 3 * n_words AND word_chars <= 7 * n_words", "word_chars < 2 * n_words OR word_chars > 8 * n_words"), vote("n_stops * 10 >= n_words", "n_stops * 20 < n_words"),
+        vote("n_dup_lines = 0", "n_dup_lines * 4 >= n_lines AND n_lines >= 3"), vote("n_repeat_words * 50 <= n_words", "n_repeat_words * 5 >= n_words"), vote("n_distinct * 3 >= n_words", "n_distinct * 6 <= n_words"),
+    ])
+    guess = lambda g: "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in g * 8) + "]"
+    cells = lambda kind, weight, g: f"list_transform(range(24), lambda c: (pull * {guess(g)}[c + 1] + list_sum(list_transform(range(1, len(pats) + 1), lambda k: CASE WHEN pats[k].v[c // 3 + 1] = c % 3 - 1 THEN pats[k].n * ({weight}) ELSE 0.0 END))) / (pull + {kind}))"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, t, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w8 AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM w8) WHERE n > 1),
+cover AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY doc_id),
+f AS (SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST({strip(q.SYMBOLS)} AS BIGINT) AS n_symbols, {strip("!")} AS n_shouts, {strip("ABCDEFGHIJKLMNOPQRSTUVWXYZ")} AS n_upper,
+ len(list_filter(ws, lambda x: x IN ({stops}))) AS n_stops, len(list_distinct(ws)) AS n_distinct, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words FROM l LEFT JOIN cover USING (doc_id)),
+v AS (SELECT *, [{votes}] AS v FROM f),
+p AS (SELECT list({{'v': v, 'n': n}} ORDER BY v) AS pats, sum(n) AS every, {0.02} * sum(n) + 1 AS pull FROM (SELECT v, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY v)),
+em AS (SELECT 0 AS it, CAST({q.GUESS_PRIOR} AS DOUBLE) AS prior, {guess(q.GUESS_GOOD)} AS good, {guess(q.GUESS_JUNK)} AS junk UNION ALL
+ SELECT it + 1, (pull * {q.GUESS_PRIOR} + mg) / (pull + every), {cells("mg", "post[k]", q.GUESS_GOOD)}, {cells("mj", "1 - post[k]", q.GUESS_JUNK)}
+ FROM (SELECT *, list_sum(list_transform(range(1, len(pats) + 1), lambda k: pats[k].n * post[k])) AS mg, list_sum(list_transform(range(1, len(pats) + 1), lambda k: pats[k].n * (1 - post[k]))) AS mj
+  FROM (SELECT *, list_transform(pats, lambda x: 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(8), lambda i: ln(good[3 * i + x.v[i + 1] + 2] / junk[3 * i + x.v[i + 1] + 2]))))))) AS post FROM em, p WHERE it < 25))),
+m AS (SELECT prior, good, junk FROM em WHERE it = 25),
+s AS (SELECT v.*, 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(8), lambda i: ln(good[3 * i + v[i + 1] + 2] / junk[3 * i + v[i + 1] + 2])))))) AS quality, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v, m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND quality >= 0.5 AS kept, round(quality, 6) AS quality FROM s"""
+
+
+QUALITY = _quality()

@@ -175,4 +175,4 @@ def score(docs: DataFrame, text: str = "text", keep: list[str] | None = None, th
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: the base features and the verdict for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs.select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return score(docs.select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))

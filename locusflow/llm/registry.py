@@ -22,6 +22,7 @@ _QUERIES: dict[str, Callable] = {
 _QUERIES["pipeline"] = corpus_pipeline.run
 _ORACLE: dict[str, str] = {
     "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op4_quality_rules": oracle.QUALITY,
     "op6_warc": oracle.WARC,
     "op9_ngram_jaccard": oracle.JACCARD,
 }
