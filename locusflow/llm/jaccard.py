@@ -41,7 +41,7 @@ GRAM = 5
 PART, WHOLE = 75, 100
 FRAGMENTS = 4
 FREQUENT, OFTEN = 200_000, 16
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 #: Bits of the filter that keeps documents without candidates out of the exchange of texts: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 #: Bytes of a gram's hash that verification compares, besides its fragment.
