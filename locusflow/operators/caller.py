@@ -144,6 +144,14 @@ def call(obs: DataFrame, min_af: float = 0.01, by: list[str] = SITE, allowed: Da
     return p.withColumn("qual", F.when(F.col("mono"), MONO_QUAL).otherwise(stats.phred(F.col("p")))).drop("p").where(F.size("alts") > 0)
 
 
+def genotypes(obs: DataFrame, calls: DataFrame) -> DataFrame:
+    """obs with gt: 0/. for the reference, ./i for the i-th called ALT, ./. for all else."""
+    alts = calls.select(*SITE, "alts")
+    place = F.array_position("alts", F.col("base"))
+    known = F.when(F.col("base") == F.upper("ref_base"), "0/.").when(place > 0, F.concat(F.lit("./"), place.cast("string")))
+    return obs.join(alts, SITE, "left").withColumn("gt", F.coalesce(F.when(is_base(F.col("base")), known), F.lit("./."))).drop("alts")
+
+
 def mask_of(bases: Column) -> Column:
     """The bit mask of an array of bases."""
     return F.aggregate(bases, F.lit(0), lambda s, b: s + F.when(b == "A", 1).when(b == "C", 2).when(b == "G", 4).when(b == "T", 8).otherwise(0))
