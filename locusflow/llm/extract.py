@@ -1,23 +1,28 @@
 """Main text of web pages, with the help of a suffix array over each host's pages.
 
 A page's markup gives blocks of text, each inside an article, inside page furniture (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments), or plain. The token streams of a host's pages are then
+sidebars, notices, adverts, forms, reader comments), or plain. The token streams of a group of a host's pages are then
 concatenated, and a suffix array, built by prefix doubling to depth RUN, finds the runs of RUN tokens or more
-that occur on PAGES distinct pages or more. Blocks mostly covered by such runs are boilerplate, unless markup
+that occur on PAGES distinct pages or more. Pages of a host whose blocks are equal count as one. Blocks mostly covered by such runs are boilerplate, unless markup
 says that they belong to the article; what stays are the article's blocks, and, on pages without an
 article, the plain blocks that are unique to them. A passage that an article shares with other pages is kept.
 
-A host's pages are dealt into groups of about GROUP pages, by a hash, so that no host meets in one task whole;
-what stands on all pages of a host stands on many of each group.
+A host's pages are dealt into groups of about GROUP pages, by a hash, so that no host meets in one task whole. Where
+a host has several groups, each sends the hashes of its runs, every one with up to PAGES of the contents that it
+stands in; the contents are united over the host, in as many shares of the hashes as there are groups, and the runs
+found on PAGES distinct pages of the whole host go back to the groups that asked. A group asks for runs that touch a
+block outside the article; runs inside articles are only counted, and are sent only where a bit filter of fixed size
+says that some page may ask for them. A full filter costs exchange, not results.
 
-Defined results: a null or empty html gives an empty text; a null url counts as a host of its own; repeated rows stay,
-and each counts as a page; an empty table gives an empty result; other columns aren't read.
+Defined results: a null or empty html gives an empty text; a null url counts as a host of its own; repeated rows stay
+and count as one page; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -26,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.llm.common import table
+from locusflow.llm.grams import ngrams, words_of
 
 RUN, PAGES, COVERED = 8, 3, 0.8
-GROUP, SALTS = 256, 32
+GROUP = 256
+FILTER_BITS = 1 << 26
 ARTICLE, FURNITURE, PLAIN = 0, 1, 2
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -111,15 +118,20 @@ def blocks(html: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
+def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES, contents: np.ndarray | None = None, known: np.ndarray | None = None) -> list[np.ndarray]:
     """For each page's tokens whether a run of ``run`` tokens or more, found on ``pages`` pages or more, covers them.
 
+    contents: a number for each page, equal for pages that count as one. known: for each token of all streams whether
+    the run that starts there is found on enough pages anyway.
+
     The suffixes of the concatenated streams are ranked by their first 1, 2, 4, ... tokens until ``run`` tokens count;
     equal ranks are neighbours in the suffix array.
     """
     ids: dict[str, int] = {}
     flat = np.array([ids.setdefault(t, len(ids)) for s in streams for t in s], np.int64)
-    page = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+    lengths = [len(s) for s in streams]
+    page = np.repeat(np.arange(len(streams)), lengths)
+    content = page if contents is None else np.repeat(contents, lengths)
     n, end = len(flat), np.cumsum([len(s) for s in streams])
     covered = np.zeros(n + 1, np.int64)
     if n >= run:
@@ -137,14 +149,15 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
             rank = np.empty(n, np.int64)
             rank[suffixes] = np.cumsum(new)
             depth += step
-        suffixes = np.argsort(rank, kind="stable")  # by page inside equal ranks
-        r, p = rank[suffixes], page[suffixes]
+        suffixes = np.lexsort((content, rank))
+        r, p = rank[suffixes], content[suffixes]
         first = np.ones(n, bool)
         first[1:] = r[1:] != r[:-1]
         fresh = first.copy()
         fresh[1:] |= p[1:] != p[:-1]
         on = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(first))[np.cumsum(first) - 1]
-        hits = suffixes[(on >= pages) & (left[suffixes] >= run)]
+        often = on >= pages if known is None else (on >= pages) | known[suffixes]
+        hits = suffixes[often & (left[suffixes] >= run)]
         np.add.at(covered, hits, 1)
         np.add.at(covered, np.minimum(hits + run, n), -1)
     return np.split(np.cumsum(covered[:-1]) > 0, end[:-1]) if streams else []
@@ -159,12 +172,112 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _decide(pages: pa.Table) -> pa.Table:
-    """The texts of one group of pages of a host."""
+def _runs(kinds: list[list[int]], texts: list[list[str]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(page, place of its first token among all tokens, hashes of the runs of RUN tokens, whether they touch a block outside the article)."""
+    place = 0
+    for at, offsets, hashes in words_of(pa.array([" ".join(ts) for ts in texts], pa.string())):
+        grams = ngrams(hashes, RUN)
+        for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist()), at):
+            if hi - lo >= RUN:
+                outside = np.repeat(np.array(kinds[i]) != ARTICLE, [t.count(" ") + 1 for t in texts[i]])
+                sums = np.concatenate([[0], np.cumsum(outside)])
+                yield i, place + lo, grams[lo : hi - RUN + 1], sums[RUN:] > sums[:-RUN]
+        place += len(hashes)
+
+
+def _prints(kinds: list[list[int]], texts: list[list[str]]) -> np.ndarray:
+    """Fingerprints of the pages' blocks."""
+    return np.array([int.from_bytes(blake2b(("\n".join(ts) + "\n" + " ".join(map(str, ks))).encode("utf-8", "replace"), digest_size=8).digest()) for ks, ts in zip(kinds, texts)], np.uint64)
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter's bits, as words, for the runs of html that touch a block outside the article."""
+    held = np.zeros(FILTER_BITS // 64, np.uint64)
+    for batch in batches:
+        found = [blocks(h or "") for h in batch.column("html").to_pylist()]
+        for *_, grams, touch in _runs([[k for k, _ in b] for b in found], [[t for _, t in b] for b in found]):
+            bit = grams[touch] % np.uint64(FILTER_BITS)
+            np.bitwise_or.at(held, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    some = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some].view(np.int64))], names=["word", "bits"])
+
+
+def _filter(pages: DataFrame) -> np.ndarray:
+    words = pages.select("html").mapInArrow(_asked, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+SENT = "host string, group bigint, share bigint, asks boolean, runs binary, contents binary"
+ARROW_SENT = pa.schema([("host", pa.string()), ("group", pa.int64()), ("share", pa.int64()), ("asks", pa.bool_()), ("runs", pa.binary()), ("contents", pa.binary())])
+
+
+def _distinct(run: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, the number of each one among its run's, and how many its run has."""
+    order = np.lexsort((content, run))
+    run, content = run[order], content[order]
+    new = np.append(True, (run[1:] != run[:-1]) | (content[1:] != content[:-1]))[: len(run)]
+    run, content = run[new], content[new]
+    heads = np.flatnonzero(np.append(True, run[1:] != run[:-1])[: len(run)])
+    size = np.diff(np.append(heads, len(run)))
+    return run, content, np.arange(len(run)) - np.repeat(heads, size), np.repeat(size, size)
+
+
+def _send(held):
+    """The runs of one group, for hosts of several groups, by share."""
+
+    def run(pages: pa.Table) -> pa.Table:
+        groups = pages.column("groups")[0].as_py()
+        if groups < 2:
+            return ARROW_SENT.empty_table()
+        kinds, texts = pages.column("kinds").to_pylist(), pages.column("texts").to_pylist()
+        prints = (_prints(kinds, texts) >> np.uint64(32)).astype(np.uint32)
+        parts, asked = [], []
+        for i, _, grams, touch in _runs(kinds, texts):
+            bit = grams % np.uint64(FILTER_BITS)
+            use = touch | ((held.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)
+            parts.append((grams[use], np.full(int(use.sum()), prints[i])))
+            asked.append(grams[touch])
+        if not parts:
+            return ARROW_SENT.empty_table()
+        grams, content, nth, _ = _distinct(*(np.concatenate(x) for x in zip(*parts)))
+        grams, content = grams[nth < PAGES], content[nth < PAGES]
+        lane = (grams % np.uint64(groups)).astype(np.int64) * 2 + np.isin(grams, np.concatenate(asked))
+        order = np.argsort(lane, kind="stable")
+        host, group = pages.column("host")[0].as_py(), pages.column("group")[0].as_py()
+        out = [
+            {"host": host, "group": group, "share": int(lane[p[0]]) // 2, "asks": bool(lane[p[0]] % 2), "runs": grams[p].tobytes(), "contents": content[p].tobytes()}
+            for p in np.split(order, np.flatnonzero(np.diff(lane[order])) + 1)
+            if len(p)
+        ]
+        return pa.Table.from_pylist(out, ARROW_SENT)
+
+    return run
+
+
+def _meet(sent: pa.Table) -> pa.Table:
+    """The runs of one share of a host that stand on PAGES distinct pages, for each group that asks."""
+    runs = [np.frombuffer(x, np.uint64) for x in sent.column("runs").to_pylist()]
+    grams, _, _, size = _distinct(np.concatenate(runs), np.concatenate([np.frombuffer(x, np.uint32) for x in sent.column("contents").to_pylist()]))
+    common = np.unique(grams[size >= PAGES])
+    out = [(h, g, np.intersect1d(r, common)) for h, g, asks, r in zip(sent.column("host").to_pylist(), sent.column("group").to_pylist(), sent.column("asks").to_pylist(), runs) if asks]
+    out = [(h, g, r.tobytes()) for h, g, r in out if len(r)]
+    return pa.table([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["host", "group", "runs"])
+
+
+def _decide(pages: pa.Table, common: pa.Table) -> pa.Table:
+    """The texts of one group of pages of a host; common has the runs that are repeated over the whole host."""
     kinds, texts = pages.column("kinds").to_pylist(), pages.column("texts").to_pylist()
     streams = [[w for t in ts for w in t.split(" ")] for ts in texts]
+    known = None
+    if common.num_rows:
+        found, known = np.frombuffer(b"".join(common.column("runs").to_pylist()), np.uint64), np.zeros(sum(map(len, streams)), bool)
+        for _, place, grams, _ in _runs(kinds, texts):
+            known[place : place + len(grams)] = np.isin(grams, found)
+    contents = np.unique(_prints(kinds, texts), return_inverse=True)[1]
     out, gone = [], []
-    for ks, ts, cover in zip(kinds, texts, repeated(streams)):
+    for ks, ts, cover in zip(kinds, texts, repeated(streams, contents=contents, known=known)):
         ends = np.cumsum([t.count(" ") + 1 for t in ts])
         common = [bool(cover[e - t.count(" ") - 1 : e].mean() >= COVERED) for t, e in zip(ts, ends.tolist())]
         article = ARTICLE in ks
@@ -180,11 +293,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     named = pages.select("page_id", "url", host.alias("host"), "html")
     parsed = named.mapInArrow(_parse, "page_id bigint, url string, host string, kinds array<int>, texts array<string>")
-    # The number of groups of a host is one row; it's repeated so that the pages of a large host spread over many tasks of the join.
-    counts = named.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    key = F.xxhash64("page_id", "url")
-    dealt = parsed.withColumn("salt", F.pmod(key, F.lit(SALTS)).cast("int")).join(counts, ["host", "salt"]).withColumn("group", F.pmod(key, "groups"))
-    return dealt.groupBy("host", "group").applyInArrow(lambda t: _decide(t), "page_id bigint, url string, text string, n_chars bigint, n_boilerplate bigint")
+    # Hosts of several groups alone are broadcast, so that no text is exchanged for the join: at most one row for GROUP pages.
+    counts = named.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups")).where("groups > 1")
+    dealt = parsed.join(F.broadcast(counts), "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1).cast("bigint")))
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("page_id", "url"), "groups"))
+    grouped = dealt.groupBy("host", "group")
+    held = pages.sparkSession.sparkContext.broadcast(_filter(pages))
+    sent = grouped.applyInArrow(_send(held), SENT)
+    common = sent.groupBy("host", "share").applyInArrow(lambda t: _meet(t), "host string, group bigint, runs binary")
+    return grouped.cogroup(common.groupBy("host", "group")).applyInArrow(lambda t, c: _decide(t, c), "page_id bigint, url string, text string, n_chars bigint, n_boilerplate bigint")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
