@@ -6,55 +6,85 @@ document has go; sources are mixed to their target weights; what is left is enco
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.llm import bpe, jaccard, mixing, rlz, toxicity
-from locusflow.llm.common import table, written
+from locusflow.llm.common import forget, table, written
 
 #: SQL can't express the stages; tests/llm hold each against a brute-force version.
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but the needed ones under private names, which no operator's outputs clash with; and the columns that restore docs."""
+    names = {c: c if c in needed else f"__carried_{i}" for i, c in enumerate(docs.columns)}
+    held = docs.select(*[F.col(f"`{c.replace('`', '``')}`").alias(name) for c, name in names.items()])
+    return held, [F.col(name).alias(c) for c, name in names.items()]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance classifier doesn't call toxic. It learns from the corpus's own labelled documents."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    held, restored = _aside(docs, "doc_id", "text")
+    model = toxicity.fit(held, table(spark, sf_dir, "labels"))
+    return toxicity.score(held, model).where("predicted = 0").select(*restored)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of linked documents; of rows that share its id, one."""
-    _, found = jaccard.linked(docs)
-    others = found.where("node != component").select(F.col("node").alias("doc_id"))
-    left = docs.join(others, "doc_id", "left_anti")
-    again = left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    """The document with the smallest id of each class of linked documents.
+
+    A document is known by its id and a hash of its text, so that rows that share an id alone are judged by their
+    texts; of rows that share both, the first by content stays. Rows without an id come first and stay.
+    """
+    held, restored = _aside(docs, "doc_id", "text")
+    keyed = held.withColumn("__row", rlz.row_key(F.col("doc_id"), F.col("text")))
+    _, found = jaccard.linked(keyed, "__row")
+    found = written(found.union(found.select("component", "component")).distinct(), "classes")
+    ids = keyed.select(F.col("__row").alias("node"), "doc_id").distinct().join(found, "node")
+    kept = ids.groupBy("component").agg(F.min(F.struct("doc_id", "node"))["node"].alias("node"))
+    others = written(ids.where("doc_id is not null").select("node").distinct().join(kept, "node", "left_anti").withColumnRenamed("node", "__row"), "others")
+    forget(found)
+    left = keyed.join(others, "__row", "left_anti")
+    again = left.where("doc_id is not null").groupBy("__row").count().where("count > 1").select("__row")
+    row = F.struct(*keyed.columns)
+    once = left.join(again, "__row", "left_semi").groupBy("__row").agg(F.min_by(row, F.to_json(row)).alias("first")).select("first.*")
+    return left.join(again, "__row", "left_anti").unionByName(once).select(*restored)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand earlier in the corpus; those with nothing left go."""
-    cleaned = rlz.clean(docs)
+    held, restored = _aside(docs, "doc_id", "text", "n_chars")
+    cleaned = rlz.clean(held)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     left = cleaned.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+    return left.select(*restored)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; documents without words have no share in it and stay once."""
-    mixed = mixing.mix(docs, docs.columns)
+    held, restored = _aside(docs, "doc_id", "text", "source")
+    mixed = mixing.mix(held, held.columns)
     times = F.when(F.col("size") > 0, F.col("copies")).otherwise(1)
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(2)))).where(F.col("__copy") <= times).select(*docs.columns)
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(2)))).where(F.col("__copy") <= times).select(*restored)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ids, the tokens of their text, and n_tokens."""
+    """Documents with ids, the tokens of their text, and n_tokens; columns of these names that docs has already become input_ids and input_n_tokens."""
     import public_tokenizers
 
-    out = bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return out.withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
+    taken, named = {"ids", "n_tokens", *(c.lower() for c in docs.columns)}, []
+    held, restored = _aside(docs, "doc_id", "text")
+    for c, column in zip(docs.columns, restored):
+        if c.lower() in ("ids", "n_tokens"):
+            c = f"input_{c}"
+            while c.lower() in taken:
+                c = f"input_{c}"
+            column = column.alias(c)
+        named.append(column)
+    out = bpe.encoded(held, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select(*named, "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"))
 
 
 STAGES = [
