@@ -71,20 +71,25 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ids, the tokens of their text, and n_tokens; columns of these names that docs has already become input_ids and input_n_tokens."""
+    """Documents with ids, the tokens of their text, n_tokens and decoded_sha256, the digest of the bytes that the ids decode to.
+
+    Columns of these names that docs has already become input_ids and so on.
+    """
     import public_tokenizers
 
-    taken, named = {"ids", "n_tokens", *(c.lower() for c in docs.columns)}, []
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    made = ("ids", "n_tokens", "decoded_sha256")
+    taken, named = {*made, *(c.lower() for c in docs.columns)}, []
     held, restored = _aside(docs, "doc_id", "text")
     for c, column in zip(docs.columns, restored):
-        if c.lower() in ("ids", "n_tokens"):
+        if c.lower() in made:
             c = f"input_{c}"
             while c.lower() in taken:
                 c = f"input_{c}"
             column = column.alias(c)
         named.append(column)
-    out = bpe.encoded(held, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return out.select(*named, "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"))
+    out = bpe.decoded(bpe.encoded(held, path, pattern), path, pattern)
+    return out.select(*named, "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
