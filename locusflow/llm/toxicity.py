@@ -8,7 +8,8 @@ labelled documents. Whole texts are scored, row by row, without a shuffle.
 
 The fit reads a bounded sample: at most ``per_class`` labelled documents of each class for the dictionaries and
 ``2 * per_class`` for the calibration, none longer than ``max_chars``; which ones is settled by a hash of the
-id. Documents whose crc32(id) mod 5 is 0 are held out from all of it.
+id. The ordinary dictionary is trained on every window of its sample (``per_class * max_chars`` characters at
+most). Documents whose crc32(id) mod 5 is 0 are held out from all of it.
 
 Defined results: null and empty texts have one empty window and get the calibrated score of that; equal texts
 get equal scores; labels that are null, or whose document is missing, aren't used; without labels of both
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_char
     if not texts[0] or not texts[1] or len({r["toxic"] for r in held}) < 2:
         return Model(b"", b"", (), (), (), share)
     toxic = _train(TOXIC_BYTES, _marked(texts[1], texts[0]))
-    ordinary = _train(ORDINARY_BYTES, [w[len(ANCHOR) :] for t in texts[0] for w in windows(t)][:60_000:2])
+    ordinary = _train(ORDINARY_BYTES, [w[len(ANCHOR) :] for t in texts[0] for w in windows(t)])
     plain = Model(toxic, ordinary, (), (), (), share)
     mean, scale, weights = _logistic(np.array([savings(plain, r["text"]) for r in held]), np.array([r["toxic"] for r in held], float))
     return Model(toxic, ordinary, tuple(mean), tuple(scale), tuple(weights), share)
