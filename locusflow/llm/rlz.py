@@ -1,4 +1,7 @@
-"""Substring dedup by relative Lempel-Ziv parsing: documents are factored against all that stands before them.
+"""Substring dedup by hashed windows: documents are held against all that stands before them.
+
+Window hashes stand in for relative Lempel-Ziv parsing: no longest match is taken and no factor has a reference
+position. Every earlier match of SPAN words or more is a union of windows that occur earlier, so the words are the same.
 
 The reference is the corpus itself, indexed in blocks. An index entry is an anchor: in every window of SPAN words
 the run of ANCHOR words with the smallest hash, so that two equal windows have the same anchor. Documents probe
