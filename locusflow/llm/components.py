@@ -26,14 +26,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round is a few exchanges of the edges, with minima combined before them; a node with many links is one
     row of the table of minima. Rounds grow with the logarithm of the longest chain. Every round is a written
-    table. Nodes that link only to themselves are left out.
+    table, and so is the last, which ``forget`` takes. Nodes that link only to themselves are left out.
     """
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out.written_to = edges.written_to
+            return out
         state = mark
         before, edges = edges, written(_small_star(_large_star(edges).where("a != b").distinct()).where("a != b").distinct(), "edges")
         forget(before)

@@ -1,22 +1,24 @@
 """N-gram Jaccard self-join with vertical partitioning, and the components of its links.
 
-A document's set is its distinct runs of GRAM words. Grams have one global order: those outside the list of
-frequent ones first, by hash, then the frequent ones by count. Two documents whose Jaccard similarity is at least
-3/4 share a gram among the first quarter (and one) of either, so that documents meet in the groups of those grams.
-
-A pair is verified by fragments: the gram order is cut into FRAGMENTS pieces, each piece of one document meets the
-same piece of the other and counts its own overlap, and the counts are summed per pair.
-
-Groups aren't expanded into pairs. First each document of a group pairs with the group's most central one alone, the
-one with the fewest rarer grams, and of those keeps the pair that most of its groups propose. The components
-of the links found tell which groups are settled: all members in one component. Only where a group spans several
-components are pairs across them counted, group by group, and those verified in a second round that meet in as many
-groups as a link requires (see ``votes_needed``). So no link between components is
-missed, and a large group of near copies costs one pair per copy.
-
-The frequent grams are a list of fixed size, counted over all documents; the order they give affects cost alone,
-never the result. Of a round's texts only those of documents in its pairs are exchanged. Verification compares 42 bits
-of a gram's hash.
+A document's set is its distinct runs of GRAM words; a set is known by a 64-bit signature and its size, and
+documents with equal sets are one set to all that follows. Grams have one global order, the estimated count first and
+the hash second. Two sets whose Jaccard similarity is at least 3/4 share a gram among the first quarter (and one) of
+either, so that they meet in the groups of those leading grams. The counts come from a sketch of CELLS counters,
+summed over all tasks: its size is fixed, and the order that it gives affects cost alone, never the result. With
+common grams last, groups are those of rare grams.
+
+A pair is verified by fragments: the same global order is cut into pieces that hold about as many grams each, each
+piece of one set meets the same piece of the other and counts its own overlap, and the counts are summed per pair.
+
+Groups aren't expanded into pairs. A task joins the members of a group that it holds itself to their most central
+one, the one with the fewest rarer grams; those central ones alone meet in the group's own task, which joins them in
+the same way, so that a group of any size sends at most a few rows per task. Of these proposals a set keeps the
+one that most of its groups make. The components of the links found tell which groups are settled: all members in one
+component. Only where a group spans several components are pairs across them formed, by length and place of the
+shared gram, large groups in cells of two blocks of members, and verified in a second round. So no link between
+components is missed, and a large group of near copies costs one pair per copy.
+
+Of a round's texts only those of documents in its pairs are exchanged. Verification compares 48 bits of a gram's hash.
 
 Defined results: null and wordless texts have an empty set, are linked with nothing and are their own component;
 texts of fewer than GRAM words have one gram, the whole; rows that share a doc_id are one node of the link graph; rows
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.llm.common import forget, shuffle_partitions, table, written
@@ -39,15 +41,21 @@ from locusflow.llm.grams import mix, ngrams, words_of
 
 GRAM = 5
 PART, WHOLE = 75, 100
+#: Pieces of the global order in which overlaps are counted apart.
 FRAGMENTS = 4
-FREQUENT, OFTEN = 200_000, 16
+#: Counters of the sketch, by the leading bits of a gram's hash, and the blocks of them that are summed apart.
+CELL_BITS, BLOCK_BITS = 22, 16
 FLUSH = 1_000_000
 #: Bits of the filter that keeps documents without candidates out of the exchange of texts: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 #: Bytes of a gram's hash that verification compares, besides its fragment.
-KEPT = 5
+KEPT = 6
+#: Members of a group of several components that are compared in one cell, from either side.
+BLOCK = 4096
 LOWEST = -(1 << 63)
 
+PAIR = ["a", "n_a", "b", "n_b"]
+
 
 def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct gram hashes) of each text."""
@@ -63,7 +71,7 @@ def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 def signature(grams: np.ndarray) -> int:
     """A 64-bit hash of a set, its size included."""
-    return int(mix(mix(grams ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams)))[0])
+    return int(mix(mix(grams ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams))).view(np.int64)[0])
 
 
 def needed(n):
@@ -71,65 +79,136 @@ def needed(n):
     return -(-PART * n // WHOLE)
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("doc").to_numpy()
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, n, sig) of each text, and (gram, times) of grams that a task holds at least twice."""
-    held, size, seen = [], 0, set()
+    """Rows (doc, n, sig) of each text; at the end (block, cells, counts), the task's share of the sketch.
 
-    def often() -> pa.RecordBatch:
-        grams, times = np.unique(np.concatenate(held), return_counts=True)
-        many = times > 1
-        k = int(many.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(grams[many].view(np.int64)), pa.array(times[many])], names=["doc", "n", "sig", "gram", "times"])
+    Each distinct set of a task is counted once. A block with few filled cells names them; another has all its counts.
+    """
+    counts, held, size, seen = np.zeros(1 << CELL_BITS, np.uint32), [], 0, set()
+    names = ["doc", "n", "sig", "block", "cells", "counts"]
+
+    def count() -> None:
+        cells, times = np.unique(_cells(np.concatenate(held)), return_counts=True)
+        counts[cells] += times.astype(np.uint32)
 
     for batch in batches:
-        n, sig = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
+        k = batch.num_rows
+        n, sig = np.zeros(k, np.int64), np.zeros(k, np.int64)
         for i, grams in sets_of(batch.column("text")):
-            n[i] = len(grams)
-            sig[i] = s = signature(grams)
-            if len(grams) and s not in seen:
-                seen.add(s)
+            n[i], sig[i] = len(grams), signature(grams)
+            if len(grams) and sig[i] not in seen:
+                seen.add(int(sig[i]))
                 held.append(grams)
                 size += len(grams)
-        none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n), pa.array(sig.view(np.int64)), none, none], names=["doc", "n", "sig", "gram", "times"])
-        if size >= FLUSH:
-            yield often()
-            held, size = [], 0
+            if size >= FLUSH:
+                count()
+                held, size = [], 0
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n), pa.array(sig), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
     if held:
-        yield often()
+        count()
+    if seen:
+        rows = []
+        for block, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
+            some = np.flatnonzero(part)
+            if len(some) * 3 < len(part):
+                rows.append((block, some.astype(np.uint16).tobytes(), part[some].astype("<u4").tobytes()))
+            elif part.max() < 256:
+                rows.append((block, None, part.astype(np.uint8).tobytes()))
+            else:
+                rows.append((block, None, part.astype("<u4").tobytes()))
+        block, cells, times = zip(*rows)
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(block, pa.int32()), pa.array(cells, pa.binary()), pa.array(times, pa.binary())], names=names)
 
 
-def _prefixes(frequent, buckets: int):
-    """Packs by bucket of gram: (gram, doc, n, place) for the grams that lead a set in the global order, one per distinct set and task."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, cells, times in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "counts"))):
+            own = total.setdefault(block, np.zeros(1 << BLOCK_BITS, np.uint64))
+            if cells is not None:
+                own[np.frombuffer(cells, np.uint16)] += np.frombuffer(times, "<u4")
+            else:
+                own += np.frombuffer(times, np.uint8 if len(times) == len(own) else "<u4")
+    # The order needs the scale of a count alone: two steps for each doubling.
+    for block, own in total.items():
+        level = np.floor(2 * np.log2(np.maximum(own, 1))).astype(np.uint8)
+        weight = np.bincount(level, own.astype(np.float64), 256)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([weight.tolist()], pa.list_(pa.float64()))], names=["block", "levels", "weight"])
+
+
+def gram_order(sketch: DataFrame, fragments: int = FRAGMENTS) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The level of every cell (2**CELL_BITS bytes, whatever the input), and where the order is cut: (level, hash) at which a fragment begins."""
+    parts = shuffle_partitions(sketch.sparkSession)
+    # One row for each of 2**(CELL_BITS - BLOCK_BITS) blocks comes to the driver.
+    rows = sketch.repartition(parts, "block").mapInArrow(_summed, "block int, levels binary, weight array<double>").collect()
+    levels, weight = np.zeros((1 << (CELL_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8), np.zeros(256)
+    for r in rows:
+        levels[r["block"]] = np.frombuffer(r["levels"], np.uint8)
+        weight += np.array(r["weight"])
+    upto, cuts = np.cumsum(weight), []
+    for i in range(1, fragments):
+        at = upto[-1] * i / fragments
+        level = int(np.searchsorted(upto, at, "right")) if upto[-1] else 0
+        inside = (at - (upto[level] - weight[level])) / max(weight[level], 1.0) if upto[-1] else 0
+        cuts.append((level, min((1 << 64) - 1, int(inside * 2.0**64))))
+    return levels.reshape(-1), cuts
+
+
+def _fits(n1, place1, n2, place2):
+    """Sizes and places of the first shared gram that allow a link: the overlap needed is at most what is left from there on."""
+    need = -(-PART * (n1 + n2) // (PART + WHOLE))
+    return np.minimum(n1 - place1, n2 - place2) >= need
+
+
+SENT = "bucket int, known boolean, gram binary, sig binary, n binary, place binary, many binary, hub binary, hub_n binary"
+
+
+def _leads(order, buckets: int):
+    """Packs of the grams that lead a set in the global order, one set of a task each.
+
+    A gram's most central set in a task goes to the gram's bucket; the others (known) already have a hub and go
+    anywhere: to the bucket that their pack's first gram happens to name.
+    """
 
     def packs(held: list[tuple]) -> pa.RecordBatch:
-        gram, doc, n, place = (np.concatenate(x) for x in zip(*held))
-        bucket = (gram % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
-        raw = lambda x: pa.array([x[p].tobytes() for p in parts], pa.binary())
+        gram, sig, n, place = (np.concatenate(x) for x in zip(*held))
         # Inside a bucket 32 bits tell grams apart well enough: two that fall together only propose pairs in vain.
-        short = (gram >> np.uint64(32)).astype(np.uint32)
-        return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), raw(short), raw(doc), raw(n), raw(place)], names=["bucket", "gram", "doc", "n", "place"])
+        gram = ((gram % np.uint64(buckets)) << np.uint64(32) | gram >> np.uint64(32)).astype(np.int64)
+        by = np.lexsort((sig, place, gram))
+        gram, sig, n, place = gram[by], sig[by], n[by], place[by]
+        new = np.append(True, gram[1:] != gram[:-1])
+        heads = np.flatnonzero(new)
+        many = (np.diff(np.append(heads, len(gram))) > 1).astype(np.uint8)
+        bucket = (gram[heads] >> 32).astype(np.int32)
+        parts = np.split(heads, np.flatnonzero(np.diff(bucket)) + 1)
+        many = np.split(many, np.flatnonzero(np.diff(bucket)) + 1)
+        rows = [(int(gram[p[0]] >> 32), False, (gram[p] & 0xFFFFFFFF).astype(np.uint32).tobytes(), sig[p].tobytes(), n[p].tobytes(), place[p].tobytes(), m.tobytes(), None, None) for p, m in zip(parts, many)]
+        rest, head = np.flatnonzero(~new), heads[np.cumsum(new) - 1]
+        for at in range(0, len(rest), 1 << 15):
+            p = rest[at : at + (1 << 15)]
+            h = head[p]
+            hub_n = np.where(_fits(n[h].astype(np.int64), place[h], n[p].astype(np.int64), place[p]), n[h], 0).astype(np.int32)
+            rows.append((int(gram[p[0]] >> 32), True, gram[p].tobytes(), sig[p].tobytes(), n[p].tobytes(), place[p].tobytes(), None, sig[h].tobytes(), hub_n.tobytes()))
+        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 7]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in SENT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = frequent.value
+        levels, _ = order.value
         held, size, seen = [], 0, set()
         for batch in batches:
-            docs = _ids(batch)
-            for i, grams in sets_of(batch.column("text")):
+            for _, grams in sets_of(batch.column("text")):
                 s, n = signature(grams), len(grams)
                 if not n or s in seen:
                     continue
                 seen.add(s)
-                at = np.minimum(np.searchsorted(known, grams), len(known) - 1) if len(known) else np.zeros(n, np.int64)
-                count = np.where(known[at] == grams, times[at], 0) if len(known) else at
-                lead = grams[np.lexsort((grams, count))[: n - needed(n) + 1]]
-                held.append((lead, np.full(len(lead), docs[i]), np.full(len(lead), n, np.int32), np.arange(len(lead), dtype=np.int32)))
+                key = levels[_cells(grams)].astype(np.uint64) << np.uint64(56) | grams >> np.uint64(8)
+                lead = grams[np.argsort(key, kind="stable")[: n - needed(n) + 1]]
+                held.append((lead, np.full(len(lead), s, np.int64), np.full(len(lead), n, np.int32), np.arange(len(lead), dtype=np.int32)))
                 size += len(lead)
                 if size >= FLUSH:
                     yield packs(held)
@@ -140,54 +219,83 @@ def _prefixes(frequent, buckets: int):
     return run
 
 
-def _fits(n1, place1, n2, place2):
-    """Sizes and places that allow a link: the overlap needed is at most what is left from the shared gram on."""
-    need = -(-PART * (n1 + n2) // (PART + WHOLE))
-    return (need <= np.minimum(n1, n2)) & (1 + np.minimum(n1 - place1, n2 - place2) - 1 >= need)
+GROUPS = "gram bigint, sig bigint, n int, place int, hub bigint, hub_n int"
+
+
+def _entries(gram, sig, n, place, hub, hub_n) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(gram), 1 << 17):
+        cut = slice(at, at + (1 << 17))
+        none = hub_n[cut] == 0
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(gram[cut]), pa.array(sig[cut]), pa.array(n[cut]), pa.array(place[cut]), pa.array(hub[cut], mask=none), pa.array(hub_n[cut], mask=none)],
+            names=[x.split()[0] for x in GROUPS.split(", ")],
+        )
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of the groups of two documents or more, each with the group's most central member as hub."""
-    held: list[list] = [[], [], [], []]
+    """The members of groups of two sets or more, each with a hub if one fits: what tasks knew is passed on, the central sets of the tasks get the most central of them."""
+    held: list[list] = [[], [], [], [], []]
+    raw = lambda v, kind: np.frombuffer(v.as_buffer(), kind)
     for batch in batches:
-        for name, kind, x in zip(("doc", "n", "place"), (np.int64, np.int32, np.int32), held[1:]):
-            x.extend(np.frombuffer(v.as_buffer(), kind) for v in batch.column(name))
-        held[0].extend((b << 32) | np.frombuffer(v.as_buffer(), np.uint32).astype(np.int64) for b, v in zip(batch.column("bucket").to_pylist(), batch.column("gram")))
+        column = {c: batch.column(c) for c in batch.schema.names}
+        for i, (bucket, known) in enumerate(zip(column["bucket"].to_pylist(), column["known"].to_pylist())):
+            sig, n, place = (raw(column[c][i], k) for c, k in (("sig", np.int64), ("n", np.int32), ("place", np.int32)))
+            if known:
+                yield from _entries(raw(column["gram"][i], np.int64), sig, n, place, raw(column["hub"][i], np.int64), raw(column["hub_n"][i], np.int32))
+            else:
+                gram = (bucket << 32) | raw(column["gram"][i], np.uint32).astype(np.int64)
+                for x, v in zip(held, (gram, sig, n, place, raw(column["many"][i], np.uint8))):
+                    x.append(v)
     if not held[0]:
         return
-    gram, doc, n, place = (np.concatenate(x) for x in held)
-    order = np.lexsort((doc, place, gram))
-    gram, doc, n, place = gram[order], doc[order], n[order], place[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = gram[1:] != gram[:-1]
+    gram, sig, n, place, many = (np.concatenate(x) for x in held)
+    held.clear()
+    by = np.lexsort((sig, place, gram))
+    gram, sig, n, place, many = gram[by], sig[by], n[by], place[by], many[by]
+    new = np.append(True, gram[1:] != gram[:-1])
+    once = new | np.append(True, sig[1:] != sig[:-1])  # a set that several tasks hold counts once
     heads = np.flatnonzero(new)
-    head = heads[np.cumsum(new) - 1]
-    keep = (np.diff(np.append(heads, len(gram))) > 1)[np.cumsum(new) - 1]
-    fits = _fits(n[head], place[head], n, place) & (doc != doc[head])
-    hub, hub_n = np.ma.masked_array(doc[head], ~fits), n[head]
-    for at in range(0, len(gram), 1 << 20):
-        k = keep[at : at + (1 << 20)]
-        cut = lambda x: x[at : at + (1 << 20)][k]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cut(gram)), pa.array(cut(doc)), pa.array(cut(n)), pa.array(cut(hub.data), mask=cut(np.ma.getmaskarray(hub))), pa.array(cut(hub_n))],
-            names=["gram", "doc", "n", "hub", "hub_n"],
-        )
+    at = np.cumsum(new) - 1
+    size = np.add.reduceat(once.astype(np.int64), heads) + np.maximum.reduceat(many, heads)
+    head = heads[at]
+    keep = once & (size[at] > 1)
+    fits = _fits(n[head].astype(np.int64), place[head], n.astype(np.int64), place) & (sig != sig[head])
+    hub_n = np.where(fits, n[head], 0).astype(np.int32)
+    yield from _entries(gram[keep], sig[keep], n[keep], place[keep], sig[head][keep], hub_n[keep])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A set as rows (doc, fragment, n, grams): the fragments cut the order of the hashes evenly; grams are their low bytes."""
-    edges = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
-    for batch in batches:
-        docs, out = _ids(batch), ([], [], [], [])
-        for i, grams in sets_of(batch.column("text")):
-            for f, part in enumerate(np.split(grams, np.searchsorted(grams, edges))):
-                short = part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]
-                for x, v in zip(out, (docs[i], f, len(grams), short.tobytes())):
-                    x.append(v)
-            if len(out[0]) >= 1024:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["doc", "fragment", "n", "grams"])
-                out = ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["doc", "fragment", "n", "grams"])
+PIECES = "sig bigint, n bigint, fragment int, grams binary"
+
+
+def _pieces(order):
+    """A set as rows (sig, n, fragment, grams): the fragments cut the global order; grams are the low bytes of their hashes."""
+
+    def pack(out: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["sig", "n", "fragment", "grams"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, cuts = order.value
+        seen, out = set(), ([], [], [], [])
+        for batch in batches:
+            for _, grams in sets_of(batch.column("text")):
+                s = signature(grams)
+                if not len(grams) or s in seen:
+                    continue
+                seen.add(s)
+                level, fragment = levels[_cells(grams)], np.zeros(len(grams), np.int8)
+                for cut, start in cuts:
+                    fragment += (level > cut) | ((level == cut) & (grams >= np.uint64(start)))
+                for f in range(len(cuts) + 1):
+                    part = grams[fragment == f]
+                    if len(part):
+                        for x, v in zip(out, (s, len(grams), f, part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes())):
+                            x.append(v)
+                if len(out[0]) >= 1024:
+                    yield pack(out)
+                    out = ([], [], [], [])
+        yield pack(out)
+
+    return run
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +308,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = both.reshape(-1).view("<u8")
             both.sort()
             shared[i] = np.count_nonzero(both[1:] == both[:-1])
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_a"), batch.column("n_b"), pa.array(shared)], names=["a", "b", "n_a", "n_b", "shared"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*PAIR, "fragment")), pa.array(shared)], names=[*PAIR, "fragment", "shared"])
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
@@ -227,69 +335,70 @@ def _maybe(held):
     return run
 
 
-def _cut(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pieces of the documents in pairs. Most others are kept out of the exchange of texts by a bit filter; the join is exact."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+def _cut(rows: DataFrame, pairs: DataFrame, firsts: DataFrame, order) -> DataFrame:
+    """The pieces of the sets in pairs, from one document each. Most others are kept out of the exchange of texts by a bit filter; the join is exact."""
+    ends = pairs.select(F.col("a").alias("sig"), F.col("n_a").alias("n")).union(pairs.select("b", "n_b")).distinct()
+    ids = written(ends.join(firsts, ["sig", "n"]).select("doc").distinct(), "wanted")
     held = rows.sparkSession.sparkContext.broadcast(_filter(ids))
     bits = rows.select("doc", "text", *[F.pmod(F.xxhash64("doc", F.lit(i)), F.lit(FILTER_BITS)).alias(f"bit{i}") for i in range(3)])
-    pieces = written(bits.mapInArrow(_maybe(held), "doc bigint, text string").join(ids, "doc").mapInArrow(_pieces, "doc bigint, fragment int, n bigint, grams binary"), "pieces")
+    pieces = written(bits.mapInArrow(_maybe(held), "doc bigint, text string").join(ids, "doc").select("text").mapInArrow(_pieces(order), PIECES), "pieces")
     forget(ids)
+    held.unpersist()
     return pieces
 
 
-def verified(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose similarity is high enough: overlaps are counted by fragment and summed.
+def verified(pairs: DataFrame, pieces: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
+    """The pairs whose similarity is high enough: overlaps are counted by fragment and summed.
 
-    b should be the side with fewer documents: its pieces alone are exchanged again, by fragment.
+    b should be the side with fewer sets: its pieces alone are exchanged again, by fragment. A piece that stands twice
+    in pieces counts once.
     """
-    left = pairs.join(pieces.select(F.col("doc").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("left_grams")), "a")
-    right = pieces.select(F.col("doc").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("right_grams")).join(pairs.select("b").distinct(), "b", "left_semi")
-    both = left.join(right, ["b", "fragment"])
-    counted = both.select("a", "b", "n_a", "n_b", "left_grams", "right_grams").mapInArrow(_overlaps, "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint")
-    total = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    return total.where(WHOLE * F.col("shared") >= PART * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
-
-
-def votes_needed(n1, n2):
-    """How many leading grams two sets of these sizes share at least if they link.
-
-    Take the set whose lead ends first in the global order: what the two share up to there stands in both leads, and
-    behind it there are needed(n) - 1 grams of that set.
-    """
-    return np.maximum(1, -(-PART * (n1 + n2) // (PART + WHOLE)) - np.maximum(needed(n1), needed(n2)) + 1)
+    side = lambda x, grams: pieces.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), "fragment", F.col("grams").alias(grams))
+    left = pairs.join(side("a", "left_grams"), ["a", "n_a"])
+    right = side("b", "right_grams").join(pairs.select("b", "n_b").distinct(), ["b", "n_b"], "left_semi")
+    both = left.join(right, ["b", "n_b", "fragment"])
+    counted = both.select(*PAIR, "fragment", "left_grams", "right_grams").mapInArrow(_overlaps, "a bigint, n_a bigint, b bigint, n_b bigint, fragment int, shared bigint")
+    each = [F.max(F.when(F.col("fragment") == f, F.col("shared")).otherwise(0)).alias(f"shared{f}") for f in range(fragments)]
+    total = counted.groupBy(*PAIR).agg(*each).withColumn("shared", sum((F.col(f"shared{f}") for f in range(fragments)), F.lit(0)))
+    return total.where(WHOLE * F.col("shared") >= PART * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select(*PAIR)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, votes, least): members of one group in different components, a > b, with the votes that they need at least.
+    """Pairs of one group and cell in different components whose sizes and places allow a link, each once for a task's flush.
 
-    Rows of a partition are sorted by group; each round compares every member with the k-th one after it.
+    In a group and cell members are sorted by size; each round compares every member with the k-th one after it, as
+    long as that isn't too large.
     """
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    gram, doc, n, comp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("gram", "doc", "n", "component"))
-    order = np.lexsort((doc, gram))
-    gram, doc, n, comp = gram[order], doc[order], n[order].astype(np.int64), comp[order]
-    new = np.append(True, gram[1:] != gram[:-1])
-    heads = np.flatnonzero(new)
-    mixed = (np.minimum.reduceat(comp, heads) != np.maximum.reduceat(comp, heads))[np.cumsum(new) - 1]
-    gram, doc, n, comp = gram[mixed], doc[mixed], n[mixed], comp[mixed]
+    gram, cell, block, sig, n, place, comp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("gram", "cell", "block", "sig", "n", "place", "component"))
+    by = np.lexsort((sig, n, cell, gram))
+    gram, cell, block, sig, n, place, comp = gram[by], cell[by], block[by], sig[by], n[by].astype(np.int64), place[by], comp[by]
+    group = np.cumsum(np.append(True, (gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])))
+    diagonal = (cell >> 32) == (cell & 0xFFFFFFFF)
     at, k, made, size = np.arange(len(gram)), 1, [], 0
 
     def packed() -> pa.RecordBatch:
-        a, b, least = (np.concatenate(x) for x in zip(*made))
-        order = np.lexsort((b, a))
-        a, b, least = a[order], b[order], least[order]
-        new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.diff(np.append(new, len(a)))), pa.array(np.minimum.reduceat(least, new))], names=["a", "b", "votes", "least"])
-
-    while len(at := at[at + k < len(gram)]) and len(at := at[gram[at] == gram[at + k]]):
+        a, b = (np.concatenate(x) for x in zip(*made))
+        swap = sig[a] < sig[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        by = np.lexsort((sig[b], sig[a]))
+        a, b = a[by], b[by]
+        new = np.append(True, (sig[a][1:] != sig[a][:-1]) | (sig[b][1:] != sig[b][:-1]))
+        a, b = a[new], b[new]
+        return pa.RecordBatch.from_arrays([pa.array(sig[a]), pa.array(n[a]), pa.array(sig[b]), pa.array(n[b])], names=PAIR)
+
+    while True:
+        at = at[at + k < len(gram)]
+        at = at[(group[at] == group[at + k]) & (needed(n[at + k]) <= n[at])]
+        if not len(at):
+            break
         x, y = at, at + k
-        ok = (comp[x] != comp[y]) & (doc[x] != doc[y]) & (needed(np.maximum(n[x], n[y])) <= np.minimum(n[x], n[y]))
-        x, y = x[ok], y[ok]
-        if len(x):
-            made.append((np.maximum(doc[x], doc[y]), np.minimum(doc[x], doc[y]), votes_needed(n[x], n[y])))
-            size += len(x)
+        ok = (comp[x] != comp[y]) & (sig[x] != sig[y]) & (diagonal[x] | (block[x] != block[y])) & _fits(n[x], place[x], n[y], place[y])
+        if ok.any():
+            made.append((x[ok], y[ok]))
+            size += int(ok.sum())
         if size >= FLUSH:
             yield packed()
             made, size = [], 0
@@ -298,50 +407,60 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+def _unsettled(groups: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
+    """Pairs across the components that meet in a group."""
+    placed = written(groups.select("gram", "sig", F.col("n").cast("bigint").alias("n"), "place").join(classes, ["sig", "n"]), "placed")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    mixed = placed.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).where("least < most").select("gram", blocks.alias("blocks"))
+    members = placed.join(mixed, "gram").withColumn("block", F.pmod(F.xxhash64("sig", "n"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = members.withColumn("other", other).withColumn("cell", F.shiftleft(F.least("block", "other"), 32).bitwiseOR(F.greatest("block", "other")))
+    dealt = cells.select("gram", "cell", "block", "sig", "n", "place", "component").repartition(parts, "gram", "cell")
+    pairs = written(dealt.mapInArrow(_across, "a bigint, n_a bigint, b bigint, n_b bigint").distinct(), "across")
+    forget(placed)
+    return pairs
 
 
-def frequent_grams(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The FREQUENT grams found most often, sorted, with their counts: at most 16 * FREQUENT bytes, whatever the input."""
-    top = sizes.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN)
-    rows = top.orderBy(F.desc("times"), "gram").limit(FREQUENT).toPandas()
-    gram = rows["gram"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(gram)
-    return gram[order], rows["times"].to_numpy(np.int64)[order]
+def _ordered(pairs: DataFrame) -> DataFrame:
+    a, b = F.struct(F.col("a").alias("x"), F.col("n_a").alias("n")), F.struct(F.col("b").alias("x"), F.col("n_b").alias("n"))
+    return pairs.select(F.greatest(a, b).alias("p"), F.least(a, b).alias("q")).select(*[F.col(c).alias(n) for c, n in zip(("p.x", "p.n", "q.x", "q.n"), PAIR)])
 
 
-def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
     """(doc, n) of every row, and (node, component) of the documents with links."""
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LOWEST)).alias("doc"), F.col(text).alias("text"))
-    first = written(rows.mapInArrow(_sizes, "doc bigint, n bigint, sig bigint, gram bigint, times bigint"), "sizes")
-    sizes = first.where("gram is null").select("doc", "n", "sig")
+    first = written(rows.mapInArrow(_sizes, "doc bigint, n bigint, sig bigint, block int, cells binary, counts binary"), "sizes")
+    sizes = first.where("block is null").select("doc", "n", "sig")
+    order = spark.sparkContext.broadcast(gram_order(first.where("block is not null").select("block", "cells", "counts"), fragments))
     # Equal sets: each document links to the smallest of its set.
-    least = sizes.where("n > 0").groupBy("sig", "n").agg(F.min("doc").alias("b"), F.count("*").alias("k")).where("k > 1")
-    same = sizes.join(least, ["sig", "n"]).select(F.col("doc").alias("a"), "b").where("a != b")
-    frequent = spark.sparkContext.broadcast(frequent_grams(first))
-    packed = rows.mapInArrow(_prefixes(frequent, n), "bucket int, gram binary, doc binary, n binary, place binary")
-    groups = written(packed.repartitionById(n, "bucket").mapInArrow(_groups, "gram bigint, doc bigint, n int, hub bigint, hub_n int"), "groups")
+    firsts = written(sizes.where("n > 0").groupBy("sig", "n").agg(F.min("doc").alias("doc")), "firsts")
+    same = sizes.join(firsts.withColumnRenamed("doc", "b"), ["sig", "n"]).select(F.col("doc").alias("a"), "b").where("a != b")
+    groups = written(rows.mapInArrow(_leads(order, n), SENT).repartitionById(n, "bucket").mapInArrow(_groups, GROUPS), "groups")
     need = lambda n: F.ceil(F.col(n) * PART / WHOLE)
-    least = F.ceil((F.col("n") + F.col("hub_n")) * PART / (PART + WHOLE)) - F.greatest(need("n"), need("hub_n")) + 1
-    # A first guess at the links may miss some: half the votes that a link needs, as other groups may have other hubs.
-    votes = groups.where("hub is not null").groupBy(F.col("doc").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("count"), F.min(least).alias("least")).where("2 * count >= least")
-    best = votes.groupBy("a").agg(F.max_by("b", F.struct("count", F.bitwise_not("b"))).alias("b"))
-    tried = written(best.where("a != b"), "tried")
-    pieces = _cut(rows, tried)
-    links = written(verified(tried, pieces).union(same), "links")
+    # Two linked sets share at least so many leading grams; half of them will do, as other groups may have other hubs.
+    least: Column = F.ceil((F.col("n") + F.col("hub_n")) * PART / (PART + WHOLE)) - F.greatest(need("n"), need("hub_n")) + 1
+    votes = groups.where("hub is not null and hub != sig").groupBy("sig", "n", "hub", "hub_n").count().where(2 * F.col("count") >= least)
+    best = votes.groupBy("sig", "n").agg(F.max_by(F.struct("hub", "hub_n"), F.struct("count", "hub")).alias("best"))
+    tried = written(best.select(*[F.col(c).cast("bigint").alias(name) for c, name in zip(("sig", "n", "best.hub", "best.hub_n"), PAIR)]), "tried")
+
+    def in_documents(pairs: DataFrame) -> DataFrame:
+        ends = [firsts.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("doc").alias(f"doc_{x}")) for x in "ab"]
+        return pairs.join(ends[0], ["a", "n_a"]).join(ends[1], ["b", "n_b"]).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+
+    pieces = _cut(rows, tried, firsts, order)
+    links = written(in_documents(verified(tried, pieces, fragments)).union(same), "links")
     forget(pieces)
-    found = written(components(links), "found")
-    placed = groups.select("gram", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    across = placed.repartition(n, "gram").mapInArrow(_across, "a bigint, b bigint, votes bigint, least bigint")
-    enough = across.groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.min("least").alias("least")).where("votes >= least").select("a", "b")
-    rest = written(enough.join(_ordered(tried), ["a", "b"], "left_anti"), "rest")
-    forget(groups)
-    pieces = _cut(rows, rest)
-    more = verified(rest, pieces)
+    found = components(links)
+    classes = firsts.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "n", F.coalesce("component", "doc").alias("component"))
+    across = _unsettled(groups, classes, n)
+    rest = written(across.join(_ordered(tried), PAIR, "left_anti"), "rest")
+    forget(groups, across, tried)
+    pieces = _cut(rows, rest, firsts, order)
+    more = written(in_documents(verified(rest, pieces, fragments)), "more")
+    forget(pieces, rest)
     whole = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    forget(pieces, rest, tried, links, found)
+    forget(more, links, found)
     return sizes.select("doc", "n"), whole
 
 
