@@ -15,8 +15,10 @@ one, the one with the fewest rarer grams; those central ones alone meet in the g
 the same way, so that a group of any size sends at most a few rows per task. Of these proposals a set keeps the
 one that most of its groups make. The components of the links found tell which groups are settled: all members in one
 component. Only where a group spans several components are pairs across them formed, by length and place of the
-shared gram, large groups in cells of two blocks of members, and verified in a second round. So no link between
-components is missed, and a large group of near copies costs one pair per copy.
+shared gram, large groups in cells of two blocks of members. Bit maps of the sets turn most of these away before they
+are verified in a second round: a bit says whether an odd number of a set's grams falls on it, so that two sets differ
+by at least as many grams as their maps differ by bits. So no link between components is missed, and a large group of
+near copies costs one pair per copy.
 
 Of a round's texts only those of documents in its pairs are exchanged. Verification compares 48 bits of a gram's hash.
 
@@ -45,7 +47,7 @@ PART, WHOLE = 75, 100
 FRAGMENTS = 4
 #: Counters of the sketch, by the leading bits of a gram's hash, and the blocks of them that are summed apart.
 CELL_BITS, BLOCK_BITS = 22, 16
-FLUSH = 1_000_000
+FLUSH = 1 << 18
 #: Bits of the filter that keeps documents without candidates out of the exchange of texts: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 #: Bytes of a gram's hash that verification compares, besides its fragment.
@@ -79,17 +81,31 @@ def needed(n):
     return -(-PART * n // WHOLE)
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """Two to four bits a gram, 512 at least: whether an odd number of grams falls on each."""
+    size = 1 << max(9, (2 * len(grams) - 1).bit_length())
+    return np.packbits(np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """How many grams at least are in one of two sets only; the longer map is folded to the length of the shorter."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    fold = np.bitwise_xor.reduce(a.reshape(-1, size)) ^ np.bitwise_xor.reduce(b.reshape(-1, size))
+    return int(np.bitwise_count(fold).sum())
+
+
 def _cells(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, n, sig) of each text; at the end (block, cells, counts), the task's share of the sketch.
+    """Rows (doc, n, sig, bits) of each text, bits for the first text of a set; at the end (block, cells, counts), the task's share of the sketch.
 
     Each distinct set of a task is counted once. A block with few filled cells names them; another has all its counts.
     """
     counts, held, size, seen = np.zeros(1 << CELL_BITS, np.uint32), [], 0, set()
-    names = ["doc", "n", "sig", "block", "cells", "counts"]
+    names = ["doc", "n", "sig", "bits", "block", "cells", "counts"]
 
     def count() -> None:
         cells, times = np.unique(_cells(np.concatenate(held)), return_counts=True)
@@ -97,17 +113,18 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         k = batch.num_rows
-        n, sig = np.zeros(k, np.int64), np.zeros(k, np.int64)
+        n, sig, bits = np.zeros(k, np.int64), np.zeros(k, np.int64), [None] * k
         for i, grams in sets_of(batch.column("text")):
             n[i], sig[i] = len(grams), signature(grams)
             if len(grams) and sig[i] not in seen:
                 seen.add(int(sig[i]))
+                bits[i] = parities(grams)
                 held.append(grams)
                 size += len(grams)
             if size >= FLUSH:
                 count()
                 held, size = [], 0
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n), pa.array(sig), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n), pa.array(sig), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
     if held:
         count()
     if seen:
@@ -122,7 +139,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((block, None, part.astype("<u4").tobytes()))
         block, cells, times = zip(*rows)
         none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(block, pa.int32()), pa.array(cells, pa.binary()), pa.array(times, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(rows), pa.binary()), pa.array(block, pa.int32()), pa.array(cells, pa.binary()), pa.array(times, pa.binary())], names=names)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,6 +438,24 @@ def _unsettled(groups: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
     return pairs
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n1, n2 = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        least = np.array([apart(x, y) for x, y in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())], np.int64)
+        keep = WHOLE * (n1 + n2 - least) >= PART * (n1 + n2 + least)
+        yield batch.select(PAIR).filter(pa.array(keep))
+
+
+def _possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs whose bit maps allow a link: of sets that differ by d grams n_a + n_b - d are shared twice, and as many are the union twice with d more."""
+    ends = pairs.select(F.col("a").alias("sig"), F.col("n_a").alias("n")).union(pairs.select("b", "n_b")).distinct()
+    maps = written(bits.join(ends, ["sig", "n"]).groupBy("sig", "n").agg(F.any_value("bits").alias("bits")), "maps")
+    side = lambda x: maps.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    near = written(pairs.join(side("a"), ["a", "n_a"]).join(side("b"), ["b", "n_b"]).mapInArrow(_near, "a bigint, n_a bigint, b bigint, n_b bigint"), "near")
+    forget(maps)
+    return near
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     a, b = F.struct(F.col("a").alias("x"), F.col("n_a").alias("n")), F.struct(F.col("b").alias("x"), F.col("n_b").alias("n"))
     return pairs.select(F.greatest(a, b).alias("p"), F.least(a, b).alias("q")).select(*[F.col(c).alias(n) for c, n in zip(("p.x", "p.n", "q.x", "q.n"), PAIR)])
@@ -430,7 +465,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fragment
     """(doc, n) of every row, and (node, component) of the documents with links."""
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LOWEST)).alias("doc"), F.col(text).alias("text"))
-    first = written(rows.mapInArrow(_sizes, "doc bigint, n bigint, sig bigint, block int, cells binary, counts binary"), "sizes")
+    first = written(rows.mapInArrow(_sizes, "doc bigint, n bigint, sig bigint, bits binary, block int, cells binary, counts binary"), "sizes")
     sizes = first.where("block is null").select("doc", "n", "sig")
     order = spark.sparkContext.broadcast(gram_order(first.where("block is not null").select("block", "cells", "counts"), fragments))
     # Equal sets: each document links to the smallest of its set.
@@ -456,6 +491,8 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fragment
     across = _unsettled(groups, classes, n)
     rest = written(across.join(_ordered(tried), PAIR, "left_anti"), "rest")
     forget(groups, across, tried)
+    across, rest = rest, _possible(rest, first.where("bits is not null").select("sig", "n", "bits"))
+    forget(across)
     pieces = _cut(rows, rest, firsts, order)
     more = written(in_documents(verified(rest, pieces, fragments)), "more")
     forget(pieces, rest)
