@@ -52,6 +52,10 @@ FLUSH = 1 << 18
 FILTER_BITS = 1 << 26
 #: Bytes of a gram's hash that verification compares, besides its fragment.
 KEPT = 6
+#: Bits of the maps that turn pairs away where they meet.
+MAP_BITS = 1024
+#: Sets of other components that a set of an unsettled group is compared with before all pairs across are.
+TRIES = 3
 #: Members of a group of several components that are compared in one cell, from either side.
 BLOCK = 4096
 LOWEST = -(1 << 63)
@@ -82,8 +86,8 @@ def needed(n):
 
 
 def parities(grams: np.ndarray) -> bytes:
-    """Two to four bits a gram, 512 at least: whether an odd number of grams falls on each."""
-    size = 1 << max(9, (2 * len(grams) - 1).bit_length())
+    """Two to four bits a gram, MAP_BITS at least: whether an odd number of grams falls on each."""
+    size = max(MAP_BITS, 1 << (2 * len(grams) - 1).bit_length())
     return np.packbits(np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
 
 
@@ -381,7 +385,7 @@ def verified(pairs: DataFrame, pieces: DataFrame, fragments: int = FRAGMENTS) ->
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one group and cell in different components whose sizes and places allow a link, each once for a task's flush.
+    """Pairs of one group and cell in different components whose sizes, places and maps allow a link, each once for a task's flush.
 
     In a group and cell members are sorted by size; each round compares every member with the k-th one after it, as
     long as that isn't too large.
@@ -390,8 +394,9 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     gram, cell, block, sig, n, place, comp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("gram", "cell", "block", "sig", "n", "place", "component"))
+    maps = np.concatenate([np.frombuffer(b"".join(b.column("map").to_pylist()), np.uint64) for b in held]).reshape(-1, MAP_BITS // 64)
     by = np.lexsort((sig, n, cell, gram))
-    gram, cell, block, sig, n, place, comp = gram[by], cell[by], block[by], sig[by], n[by].astype(np.int64), place[by], comp[by]
+    gram, cell, block, sig, n, place, comp, maps = gram[by], cell[by], block[by], sig[by], n[by].astype(np.int64), place[by], comp[by], maps[by]
     group = np.cumsum(np.append(True, (gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])))
     diagonal = (cell >> 32) == (cell & 0xFFFFFFFF)
     at, k, made, size = np.arange(len(gram)), 1, [], 0
@@ -411,11 +416,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = at[(group[at] == group[at + k]) & (needed(n[at + k]) <= n[at])]
         if not len(at):
             break
-        x, y = at, at + k
-        ok = (comp[x] != comp[y]) & (sig[x] != sig[y]) & (diagonal[x] | (block[x] != block[y])) & _fits(n[x], place[x], n[y], place[y])
-        if ok.any():
-            made.append((x[ok], y[ok]))
-            size += int(ok.sum())
+        x = at[(comp[at] != comp[at + k]) & (sig[at] != sig[at + k]) & (diagonal[at] | (block[at] != block[at + k])) & _fits(n[at], place[at], n[at + k], place[at + k])]
+        if len(x):
+            x = x[_near(n[x], n[x + k], np.bitwise_count(maps[x] ^ maps[x + k]).sum(1, np.int64))]
+        if len(x):
+            made.append((x, x + k))
+            size += len(x)
         if size >= FLUSH:
             yield packed()
             made, size = [], 0
@@ -424,36 +430,56 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
-def _unsettled(groups: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
+def _placed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members (gram, sig, n, place) of groups that span several components, with component and the group's size."""
+    placed = written(members.select("gram", "sig", F.col("n").cast("bigint").alias("n"), "place").join(classes, ["sig", "n"]), "placed")
+    mixed = placed.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).where("least < most").select("gram", "members")
+    out = written(placed.join(mixed, "gram"), "members")
+    forget(placed)
+    return out
+
+
+def _drawn(members: DataFrame, tries: int = TRIES) -> DataFrame:
+    """For each member up to ``tries`` sets of other components: what hashes with as many seeds put first in a group, and most groups of the member so."""
+    first = [F.min_by(F.struct("sig", "n", "component"), F.xxhash64("sig", F.lit(seed))) for seed in range(tries)]
+    drawn = members.groupBy("gram").agg(F.array(*[F.struct(F.lit(seed).alias("seed"), x.alias("hub")) for seed, x in enumerate(first)]).alias("drawn"))
+    other = F.filter("drawn", lambda d: (d["hub"]["component"] != F.col("component")) & (F.ceil(F.greatest(d["hub"]["n"], F.col("n")) * PART / WHOLE) <= F.least(d["hub"]["n"], F.col("n"))))
+    met = members.join(drawn, "gram").select("sig", "n", F.explode(other).alias("d")).groupBy("sig", "n", "d.seed", "d.hub").count()
+    best = met.groupBy("sig", "n", "seed").agg(F.max_by("hub", F.struct("count", "hub.sig")).alias("hub"))
+    return _ordered(best.select(*[F.col(c).alias(name) for c, name in zip(("sig", "n", "hub.sig", "hub.n"), PAIR)])).distinct()
+
+
+def _unsettled(members: DataFrame, maps: DataFrame, parts: int) -> DataFrame:
     """Pairs across the components that meet in a group."""
-    placed = written(groups.select("gram", "sig", F.col("n").cast("bigint").alias("n"), "place").join(classes, ["sig", "n"]), "placed")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).where("least < most").select("gram", blocks.alias("blocks"))
-    members = placed.join(mixed, "gram").withColumn("block", F.pmod(F.xxhash64("sig", "n"), "blocks"))
+    blocks = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("sig", "n"), "blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = members.withColumn("other", other).withColumn("cell", F.shiftleft(F.least("block", "other"), 32).bitwiseOR(F.greatest("block", "other")))
-    dealt = cells.select("gram", "cell", "block", "sig", "n", "place", "component").repartition(parts, "gram", "cell")
-    pairs = written(dealt.mapInArrow(_across, "a bigint, n_a bigint, b bigint, n_b bigint").distinct(), "across")
-    forget(placed)
-    return pairs
+    cells = blocks.withColumn("other", other).withColumn("cell", F.shiftleft(F.least("block", "other"), 32).bitwiseOR(F.greatest("block", "other")))
+    folded = maps.mapInArrow(_folded, "sig bigint, n bigint, map binary")
+    dealt = cells.join(folded, ["sig", "n"]).select("gram", "cell", "block", "sig", "n", "place", "component", "map").repartition(parts, "gram", "cell")
+    return dealt.mapInArrow(_across, "a bigint, n_a bigint, b bigint, n_b bigint").distinct()
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        maps = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, MAP_BITS // 8)).tobytes() for x in batch.column("bits").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("n"), pa.array(maps, pa.binary())], names=["sig", "n", "map"])
+
+
+def _near(n1, n2, least):
+    """Whether sets that differ by that many grams at least may link: n1 + n2 - least are twice what they share at most, and as many with least added twice are twice their union."""
+    return WHOLE * (n1 + n2 - least) >= PART * (n1 + n2 + least)
+
+
+def _possible_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n1, n2 = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
         least = np.array([apart(x, y) for x, y in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())], np.int64)
-        keep = WHOLE * (n1 + n2 - least) >= PART * (n1 + n2 + least)
-        yield batch.select(PAIR).filter(pa.array(keep))
+        yield batch.select(PAIR).filter(pa.array(_near(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), least)))
 
 
-def _possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The pairs whose bit maps allow a link: of sets that differ by d grams n_a + n_b - d are shared twice, and as many are the union twice with d more."""
-    ends = pairs.select(F.col("a").alias("sig"), F.col("n_a").alias("n")).union(pairs.select("b", "n_b")).distinct()
-    maps = written(bits.join(ends, ["sig", "n"]).groupBy("sig", "n").agg(F.any_value("bits").alias("bits")), "maps")
+def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs whose maps, in their full length, allow a link."""
     side = lambda x: maps.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    near = written(pairs.join(side("a"), ["a", "n_a"]).join(side("b"), ["b", "n_b"]).mapInArrow(_near, "a bigint, n_a bigint, b bigint, n_b bigint"), "near")
-    forget(maps)
-    return near
+    return pairs.join(side("a"), ["a", "n_a"]).join(side("b"), ["b", "n_b"]).mapInArrow(_possible_rows, "a bigint, n_a bigint, b bigint, n_b bigint")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -486,19 +512,33 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fragment
     pieces = _cut(rows, tried, firsts, order)
     links = written(in_documents(verified(tried, pieces, fragments)).union(same), "links")
     forget(pieces)
+    forget(tried)
     found = components(links)
-    classes = firsts.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "n", F.coalesce("component", "doc").alias("component"))
-    across = _unsettled(groups, classes, n)
-    rest = written(across.join(_ordered(tried), PAIR, "left_anti"), "rest")
-    forget(groups, across, tried)
-    across, rest = rest, _possible(rest, first.where("bits is not null").select("sig", "n", "bits"))
-    forget(across)
-    pieces = _cut(rows, rest, firsts, order)
-    more = written(in_documents(verified(rest, pieces, fragments)), "more")
-    forget(pieces, rest)
-    whole = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    forget(more, links, found)
-    return sizes.select("doc", "n"), whole
+    maps = first.where("bits is not null").select("sig", "n", "bits")
+
+    def classes(found: DataFrame) -> DataFrame:
+        return firsts.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "n", F.coalesce("component", "doc").alias("component"))
+
+    def more(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """found with the links among pairs, a written table that goes."""
+        pieces = _cut(rows, pairs, firsts, order)
+        links = written(in_documents(verified(pairs, pieces, fragments)).union(found.select("node", "component")), "links")
+        forget(pieces, pairs, found)
+        out = components(links)
+        forget(links)
+        return out
+
+    members = _placed(groups, classes(found))
+    forget(groups, links)
+    ends = members.select("sig", "n").distinct()
+    maps = written(maps.join(ends, ["sig", "n"]).groupBy("sig", "n").agg(F.any_value("bits").alias("bits")), "maps")
+    found = more(written(_possible(_drawn(members), maps), "drawn"), found)
+    left = _placed(members, classes(found))
+    forget(members)
+    across = written(_unsettled(left, maps, n), "across")
+    rest = written(_possible(across, maps), "rest")
+    forget(left, maps, across)
+    return sizes.select("doc", "n"), more(rest, found)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
