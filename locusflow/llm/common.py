@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Bytes of a batch for Python workers.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,17 +28,33 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only where the session names none and runs in one process.
+
+    On a cluster a folder of the driver's own disk would lose the executors' files, so that is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             held = spark.sparkContext.getCheckpointDir()
         named = held
     return named.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, batches for Python are bounded by bytes as well as rows, so that long texts don't fill a worker."""
+    held = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH) if held is None else spark.conf.set(BATCH, held)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and nothing is computed twice.
 
@@ -42,7 +62,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

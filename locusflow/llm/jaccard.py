@@ -288,17 +288,24 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PIECES = "sig bigint, n bigint, fragment int, grams binary"
 
 
-def _pieces(order):
-    """A set as rows (sig, n, fragment, grams): the fragments cut the global order; grams are the low bytes of their hashes."""
+def _pieces(order, held):
+    """A set as rows (sig, n, fragment, grams): the fragments cut the global order; grams are the low bytes of their hashes.
+
+    Only texts of documents whose three bits (columns bit0 to bit2) are all set in the filter are cut.
+    """
 
     def pack(out: tuple) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["sig", "n", "fragment", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, cuts = order.value
+        (levels, cuts), words = order.value, held.value
         seen, out = set(), ([], [], [], [])
         for batch in batches:
-            for _, grams in sets_of(batch.column("text")):
+            keep = np.ones(batch.num_rows, bool)
+            for i in range(3):
+                bit = batch.column(f"bit{i}").to_numpy()
+                keep &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
+            for _, grams in sets_of(batch.column("text").filter(pa.array(keep))):
                 s = signature(grams)
                 if not len(grams) or s in seen:
                     continue
@@ -341,29 +348,13 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _maybe(held):
-    """Rows whose three bits (columns bit0 to bit2) are set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held.value
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for i in range(3):
-                bit = batch.column(f"bit{i}").to_numpy()
-                keep &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
-            yield batch.select(["doc", "text"]).filter(pa.array(keep))
-
-    return run
-
-
 def _cut(rows: DataFrame, pairs: DataFrame, firsts: DataFrame, order) -> DataFrame:
-    """The pieces of the sets in pairs, from one document each. Most others are kept out of the exchange of texts by a bit filter; the join is exact."""
-    ends = pairs.select(F.col("a").alias("sig"), F.col("n_a").alias("n")).union(pairs.select("b", "n_b")).distinct()
-    ids = written(ends.join(firsts, ["sig", "n"]).select("doc").distinct(), "wanted")
-    held = rows.sparkSession.sparkContext.broadcast(_filter(ids))
-    bits = rows.select("doc", "text", *[F.pmod(F.xxhash64("doc", F.lit(i)), F.lit(FILTER_BITS)).alias(f"bit{i}") for i in range(3)])
-    pieces = written(bits.mapInArrow(_maybe(held), "doc bigint, text string").join(ids, "doc").select("text").mapInArrow(_pieces(order), PIECES), "pieces")
-    forget(ids)
+    """The pieces of the sets in pairs, from one document each. A bit filter over the documents keeps most others from being cut; the join with the sets is exact."""
+    ends = written(pairs.select(F.col("a").alias("sig"), F.col("n_a").alias("n")).union(pairs.select("b", "n_b")).distinct(), "ends")
+    held = rows.sparkSession.sparkContext.broadcast(_filter(ends.join(firsts, ["sig", "n"]).select("doc").distinct()))
+    bits = rows.select("text", *[F.pmod(F.xxhash64("doc", F.lit(i)), F.lit(FILTER_BITS)).alias(f"bit{i}") for i in range(3)])
+    pieces = written(bits.mapInArrow(_pieces(order, held), PIECES).join(ends, ["sig", "n"]), "pieces")
+    forget(ends)
     held.unpersist()
     return pieces
 
