@@ -17,18 +17,49 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0).when(first == 0, n).otherwise(first - 1)
 
 
+def _change(ref: Column, alt: Column) -> Column:
+    """(kind, n) of one ALT allele: its class bits, and bases gained, lost (negative) or changed.
+
+    What both alleles begin with alike is cut off, whatever the case; then what they end with alike, but for one base each.
+    """
+    begun = common_prefix(F.upper(ref), F.upper(alt))
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  each value is computed once
+    made = lambda kind, n: F.struct(F.lit(kind).alias("kind"), (F.lit(n) if isinstance(n, int) else n).cast("int").alias("n"))
+
+    def middle(v: Column) -> Column:
+        r, a = v["r"], v["a"]
+        ended = F.least(common_prefix(F.reverse(r), F.reverse(a)), F.length(r) - 1, F.length(a) - 1)
+        return bound(F.struct((F.length(r) - ended).alias("lost"), (F.length(a) - ended).alias("gained"), F.substring(r, F.length(r) - ended, F.lit(1)).alias("x"), F.substring(a, F.length(a) - ended, F.lit(1)).alias("y")), ends)
+
+    def ends(v: Column) -> Column:
+        lost, gained, alike = v["lost"], v["gained"], v["x"] == v["y"]
+        return (
+            F.when((lost == 1) & (gained == 1), made(SNP, 1)).when(gained == 1, F.when(alike, made(INDEL | DEL, 1 - lost)).otherwise(made(OTHER, 1 - lost)))
+            .when(lost == 1, F.when(alike, made(INDEL | INS, gained - 1)).otherwise(made(OTHER, gained - 1))).when(lost == gained, made(MNP, gained)).otherwise(made(OTHER, F.when(lost > gained, -lost).otherwise(gained)))
+        )
+
+    def rest(v: Column) -> Column:
+        r, a, more = v["r"], v["a"], F.length(alt) - F.length(ref)
+        return (
+            F.when((r == "") & (a == ""), made(REF, 0)).when(r == "", F.when(F.right(alt, F.lit(1)).isin("[", "]"), made(BND, 0)).otherwise(made(INDEL | INS, more)))
+            .when(a == "", made(INDEL | DEL, more)).otherwise(middle(v))
+        )
+
+    plain = bound(F.struct(F.substring(F.upper(ref), begun + 1, F.length(ref)).alias("r"), F.substring(F.upper(alt), begun + 1, F.length(alt)).alias("a")), rest)
+    return (
+        F.when(alt == "*", made(OVERLAP, 0)).when((F.length(ref) == 1) & (F.length(alt) == 1), F.when(alt.isin(".", "X") | (alt == ref), made(REF, 0)).otherwise(made(SNP, 1)))
+        .when(alt.startswith("<X>") | alt.startswith("<*>") | (alt == "<NON_REF>"), made(REF, 0)).when(alt.startswith("<"), made(OTHER, 0)).when(F.left(alt, F.lit(1)).isin("[", "]"), made(BND, 0)).otherwise(plain)
+    )
+
+
 def variant_class(ref: Column, alt: Column) -> Column:
     """The class bits of one ALT allele."""
-    r, a = F.upper(ref), F.upper(alt)
-    symbolic = F.when(a.isin("<X>", "<*>", "<NON_REF>"), REF).when(a.startswith("<DEL"), INDEL | DEL).when(a.startswith("<INS"), INDEL | INS).otherwise(OTHER)
-    plain = F.when(F.length(r) == F.length(a), F.when(F.length(r) == 1, SNP).otherwise(MNP)).when(F.length(a) > F.length(r), F.when(a.startswith(r) | a.endswith(r), INDEL | INS).otherwise(OTHER)).otherwise(F.when(r.startswith(a) | r.endswith(a), INDEL | DEL).otherwise(OTHER))
-    return F.when((r == a) | (a == "."), REF).when(a == "*", OVERLAP).when(a.contains("[") | a.contains("]"), BND).when(a.startswith("<"), symbolic).otherwise(plain)
+    return _change(ref, alt)["kind"]
 
 
 def variant_length(ref: Column, alt: Column) -> Column:
-    """Bases gained or lost; bases changed for SNPs and MNPs."""
-    kind = variant_class(ref, alt)
-    return F.when(kind.isin(SNP, MNP), F.length(ref)).when(alt.startswith("<") | kind.isin(REF, BND, OVERLAP), 0).otherwise(F.length(alt) - F.length(ref))
+    """Bases gained or lost (negative) or, for SNPs and MNPs, changed; 0 for symbols, breakends and what equals REF."""
+    return _change(ref, alt)["n"]
 
 
 def classes(ref: Column, alts: Column) -> Column:

@@ -47,21 +47,34 @@ def phred(p: Column) -> Column:
     return F.when(p.isNull() | (p <= 0), CEILING).otherwise(-10 * F.log10(p) + 0.0)
 
 
-def log_factorial(n: Column) -> Column:
-    """ln n! by Stirling's series from n + 9 on."""
-    x = n.cast("double") + 9
-    series = (x - 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
-    return series - F.log(reduce(lambda a, b: a * b, [n.cast("double") + k for k in range(1, 9)]))
-
-
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided p of the 2 x 2 table: the tables as rare as this one or rarer, within 1e-8."""
-    r1, c1, n = a + b, a + c, a + b + c + d
-    fixed = log_factorial(r1) + log_factorial(c + d) + log_factorial(c1) + log_factorial(b + d) - log_factorial(n)
-    chance = lambda k: F.exp(fixed - log_factorial(k) - log_factorial(r1 - k) - log_factorial(c1 - k) - log_factorial(n - r1 - c1 + k))
-    support = F.sequence(F.greatest(F.lit(0).cast("bigint"), (r1 + c1 - n).cast("bigint")), F.least(r1, c1).cast("bigint"))
-    own = chance(a) * (1 + 1e-8)
-    return F.least(F.lit(1.0), F.aggregate(F.transform(support, chance), F.lit(0.0), lambda s, p: s + F.when(p <= own, p).otherwise(0.0)))
+    """Two-sided p of the 2 x 2 table: the tables as rare as this one or rarer, within 1e-8.
+
+    Chances are taken relative to that of the likeliest table and follow from each other by one product, from there up
+    and down, so that no factorial is computed; what underflows is too rare to count. The margins are bound once.
+    """
+    margins = F.struct(a.cast("double").alias("a"), (a + b).cast("double").alias("r"), (a + c).cast("double").alias("c"), (a + b + c + d).cast("double").alias("n"))
+
+    def tested(m: Column) -> Column:
+        r, k1, n, own = m["r"], m["c"], m["n"], m["a"]
+        lo, hi = F.greatest(F.lit(0.0), r + k1 - n), F.least(r, k1)
+        top = F.least(hi, F.greatest(lo, F.floor((r + 1) * (k1 + 1) / (n + 2)))).cast("bigint")
+        more = lambda k: (r - k) * (k1 - k) / ((k + 1) * (n - r - k1 + k + 1))
+        up, down = F.sequence(top, hi.cast("bigint")), F.filter(F.sequence(top, lo.cast("bigint"), F.lit(-1).cast("bigint")), lambda k: k < top)
+
+        def summed(kept) -> Column:
+            """The sum of what is kept of the relative chance of every table."""
+            rise = F.aggregate(up, F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("x")), lambda s, k: F.struct((s["w"] * more(k)).alias("w"), (s["x"] + kept(k, s["w"])).alias("x")), lambda s: s["x"])
+            step = lambda s, k: s["w"] / more(k)
+            fall = F.aggregate(down, F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("x")), lambda s, k: F.struct(step(s, k).alias("w"), (s["x"] + kept(k, step(s, k))).alias("x")), lambda s: s["x"])
+            return rise + fall
+
+        own_chance = summed(lambda k, w: F.when(k == own, w).otherwise(0.0))
+        total = summed(lambda k, w: w)
+        rare = F.get(F.transform(F.array(own_chance * (1 + 1e-8)), lambda most: summed(lambda k, w: F.when(w <= most, w).otherwise(0.0))), F.lit(0))
+        return F.least(F.lit(1.0), rare / total)
+
+    return F.get(F.transform(F.array(margins), tested), F.lit(0))
 
 
 def fisher_phred(a: Column, b: Column, c: Column, d: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusflow.functions import cigar as cg
 from locusflow.functions import stats
 
 BASES = ("A", "C", "G", "T")
@@ -43,11 +44,21 @@ def strand_counts(obs: DataFrame) -> DataFrame:
 
 
 def coverage(obs: DataFrame) -> DataFrame:
-    """The coverage report: depths, indels, strand counts, FS and SOR of every position with a base."""
-    depths = base_depth(obs)
-    strands = strand_counts(obs).drop("ref_base")
+    """The coverage report: depths, indels, strand counts, FS and SOR of every position with a base; one pass over obs."""
+    fwd = F.count_if(F.col("strand") == "+")
+    counts = obs.groupBy(*SITE, "ref_base", "base").agg(F.count("*").alias("n"), fwd.alias("fwd"))
+    base, four_bases = F.col("base"), is_base(F.col("base"))
+    ref = four_bases & (base == F.upper("ref_base"))
+    sum_if = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0))
+    indel = ~four_bases & (base != "N")
+    listed = F.array_join(F.array_sort(F.collect_list(F.when(indel, F.concat("base", F.lit("|"), F.col("n").cast("string"))))), ",")
+    n, plus, minus = F.col("n"), F.col("fwd"), F.col("n") - F.col("fwd")
+    sites = counts.groupBy(*SITE, "ref_base").agg(
+        sum_if(base != "N", n).alias("covered"), *[sum_if(base == b, n).alias(f"depth_{b}") for b in BASES], F.when(listed == "", ".").otherwise(listed).alias("indels"), sum_if(four_bases, n).alias("depth"),
+        sum_if(ref, plus).alias("ref_fwd"), sum_if(ref, minus).alias("ref_rev"), sum_if(four_bases & ~ref, plus).alias("alt_fwd"), sum_if(four_bases & ~ref, minus).alias("alt_rev"),
+    )
     four = [F.col(c) for c in ("ref_fwd", "ref_rev", "alt_fwd", "alt_rev")]
-    return depths.join(strands, SITE).withColumn("fs", stats.fisher_phred(*four)).withColumn("sor", stats.odds_ratio(*four))
+    return sites.where("depth > 0").withColumn("fs", stats.fisher_phred(*four)).withColumn("sor", stats.odds_ratio(*four))
 
 
 def ranksum(obs: DataFrame, value: str) -> DataFrame:
@@ -69,3 +80,41 @@ def collected(obs: DataFrame) -> DataFrame:
     """One row per position with its observations in sample order."""
     item = F.struct("sample_idx", "base", "qual", "mapq", "rank", "strand")
     return obs.groupBy(*SITE, "ref_base").agg(F.array_sort(F.collect_list(item)).alias("observations"))
+
+
+#: Reference bases of a stretch whose running depth is summed in one task.
+STRETCH = 4096
+
+
+def cigar_coverage(reads: DataFrame) -> DataFrame:
+    """contig, pos, and how many alignments match there, insert or clip before it, or delete from it on.
+
+    No row is made for a base under an alignment: a matched block is a step up where it begins and a step down behind
+    its end. Steps are summed by place before the exchange; the depth is their running sum inside a stretch of the
+    reference, with the steps of earlier stretches added, and lasts up to the next step.
+    """
+    b = F.explode(cg.placed(cg.blocks(F.col("cigar")))).alias("b")
+    placed = reads.select("contig", "pos", b).select("contig", (F.col("pos") + F.col("b.rpos")).cast("bigint").alias("pos"), F.col("b.op").alias("op"), F.col("b.len").alias("len"))
+    match = F.col("op").isin(*cg.MATCH)
+    event = lambda at, step, kind: F.struct(at.alias("pos"), F.lit(step).alias("step"), kind.alias("kind"))
+    none = F.lit(None).cast("string")
+    two = F.array(event(F.col("pos"), 1, none), event(F.col("pos") + F.col("len"), -1, none))
+    events = placed.where(match | F.col("op").isin("I", "D", "S")).select("contig", F.explode(F.when(match, two).otherwise(F.array(event(F.col("pos"), 0, F.col("op"))))).alias("e")).select("contig", "e.*")
+    n = lambda op: F.count_if(F.col("kind") == op)
+    places = events.groupBy("contig", "pos").agg(F.sum("step").alias("step"), n("I").alias("insertions"), n("D").alias("deletions"), n("S").alias("clips"))
+    places = places.withColumn("stretch", F.floor(F.col("pos") / STRETCH))
+    # One row for each stretch: the depth that its earlier ones leave, and a place at its start to carry it.
+    ends = Window.partitionBy("contig").orderBy("stretch")
+    per = places.groupBy("contig", "stretch").agg(F.sum("step").alias("gain"))
+    per = per.withColumn("left", F.sum("gain").over(ends.rowsBetween(Window.unboundedPreceding, 0))).withColumn("upto", F.coalesce(F.lead("stretch").over(ends), F.col("stretch")))
+    zero = F.lit(0).cast("bigint")
+    carried = per.where("left > 0").select("contig", F.explode(F.sequence(F.col("stretch") + 1, F.col("upto"))).alias("stretch"), F.col("left").alias("step"))
+    carried = carried.where(F.col("stretch").isNotNull()).select("contig", (F.col("stretch") * STRETCH).alias("pos"), "step", zero.alias("insertions"), zero.alias("deletions"), zero.alias("clips"), "stretch")
+    inside = Window.partitionBy("contig", "stretch").orderBy("pos", "carried")
+    steps = places.withColumn("carried", F.lit(1)).unionByName(carried.withColumn("carried", F.lit(0)))
+    steps = steps.withColumn("matched", F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.coalesce(F.lead("pos").over(inside), (F.col("stretch") + 1) * STRETCH))
+    first = F.struct(F.col("pos").alias("pos"), F.when(F.col("until") > F.col("pos"), F.col("matched")).otherwise(0).alias("matched"), "insertions", "deletions", "clips")
+    later = F.when((F.col("matched") > 0) & (F.col("until") > F.col("pos") + 1), F.transform(F.sequence(F.col("pos") + 1, F.col("until") - 1), lambda p: F.struct(p.alias("pos"), F.col("matched").alias("matched"), zero.alias("insertions"), zero.alias("deletions"), zero.alias("clips"))))
+    rows = steps.select("contig", F.explode(F.concat(F.array(first), F.coalesce(later, F.array()))).alias("r")).select("contig", "r.*")
+    # A place where a stretch begins can stand twice: what was carried, and its own events.
+    return rows.groupBy("contig", "pos").agg(*[F.sum(c).alias(c) for c in ("matched", "insertions", "deletions", "clips")]).where("matched + insertions + deletions + clips > 0")

@@ -1,11 +1,12 @@
-"""Queries over CIGAR strings and the filter language."""
+"""Queries over CIGAR strings and conditions on reads."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from locusflow.functions import cigar as cg
-from locusflow.functions.filterlang import matching
+from locusflow.functions.terms import average, both, default, exists, length, matching, no, power, root, some, term
+from locusflow.operators import pileup
 from locusflow.plans import views as v
 from locusflow.plans.views import READS
 
@@ -63,22 +64,21 @@ def aligned_pairs(spark, sf):
 
 @query("cigar_coverage", f"WITH {READS} SELECT contig, pos, count(*) FILTER (op = 'M') AS matched, count(*) FILTER (op = 'I') AS insertions, count(*) FILTER (op = 'D') AS deletions, count(*) FILTER (op = 'S') AS clips FROM (SELECT p.*, r.contig FROM ({PAIRS}) p JOIN (SELECT DISTINCT qname, contig FROM reads WHERE flag & 1024 = 0) r USING (qname)) GROUP BY contig, pos")
 def cigar_coverage(spark, sf):
-    n = lambda op: F.count_if(F.col("op") == op)
-    return _pairs(spark, sf).where(F.col("flag").bitwiseAND(1024) == 0).groupBy("contig", "pos").agg(n("M").alias("matched"), n("I").alias("insertions"), n("D").alias("deletions"), n("S").alias("clips"))
+    return pileup.cigar_coverage(v.reads(spark, sf).where(F.col("flag").bitwiseAND(1024) == 0))
 
 
-#: name: (expression, the same condition in SQL)
+#: name: (conditions, the same in SQL)
 FILTERS = {
-    "arithmetic": ("pos * 2 + mapq / 4 - 1 > 900 && pos % 7 != 0", "pos * 2 + mapq / 4.0 - 1 > 900 AND pos % 7 <> 0"),
-    "precedence": ("mapq > 50 || flag.reverse && pos < 300", "(mapq > 50 OR flag & 16 <> 0) AND pos < 300"),
-    "right_compare": ("0 < pos < 900", "0 < CASE WHEN pos < 900 THEN 1 ELSE 0 END"),
-    "bits": ("flag & 1040 == 16 && (pos ^ 5 | 2) % 3 == 0", "flag & 1040 = 16 AND (xor(pos, 5) | 2) % 3 = 0"),
-    "pattern": ('cigar =~ "^[12]S" && rname !~ "c[34]"', "regexp_matches(cigar, '^[12]S') AND NOT regexp_matches(contig, 'c[34]')"),
-    "strings": ('rname == "c1" || rname == 1 && pos > 0', "contig = 'c1' AND pos > 0"),
-    "functions": ("length(cigar) > 13 && sqrt(pos) < pow(2, 4) && avg(rname) > 73", "length(cigar) > 13 AND sqrt(pos) < 16 AND (99 + ascii(substr(contig, 2, 1))) / 2.0 > 73"),
-    "undefined": ("!(1 % 0) && default(pos % 0, mapq) > 20 && exists(mapq)", "mapq > 20"),
-    "cigar_symbols": ("qlen - sclen > 30 && endpos > 500 && ncigar == 6 && hclen == 0", "m + i + 15 > 30 AND pos + m + 15 + d - 1 > 500"),
-    "flags": ("!flag.dup && ~flag & 16", "flag & 1024 = 0 AND (~flag) & 16 <> 0"),
+    "arithmetic": ([lambda r: r.pos * 2 + r.mapq / 4 - 1 > 900, lambda r: r.pos % 7 != 0], "pos * 2 + mapq / 4.0 - 1 > 900 AND pos % 7 <> 0"),
+    "precedence": ([lambda r: both(some(r.mapq > 50, r.has("reverse")), r.pos < 300)], "(mapq > 50 OR flag & 16 <> 0) AND pos < 300"),
+    "right_compare": ([lambda r: term(0) < (r.pos < 900)], "0 < CASE WHEN pos < 900 THEN 1 ELSE 0 END"),
+    "bits": ([lambda r: (r.flag & 1040) == 16, lambda r: ((r.pos ^ 5) | 2) % 3 == 0], "flag & 1040 = 16 AND (xor(pos, 5) | 2) % 3 = 0"),
+    "pattern": ([lambda r: r.cigar.matches("^[12]S"), lambda r: no(r.rname.matches("c[34]"))], "regexp_matches(cigar, '^[12]S') AND NOT regexp_matches(contig, 'c[34]')"),
+    "strings": ([lambda r: some(r.rname == "c1", r.rname == 1), lambda r: r.pos > 0], "contig = 'c1' AND pos > 0"),
+    "functions": ([lambda r: length(r.cigar) > 13, lambda r: root(r.pos) < power(term(2), 4), lambda r: average(r.rname) > 73], "length(cigar) > 13 AND sqrt(pos) < 16 AND (99 + ascii(substr(contig, 2, 1))) / 2.0 > 73"),
+    "undefined": ([lambda r: both(no(term(1) % 0), default(r.pos % 0, r.mapq) > 20), lambda r: exists(r.mapq)], "mapq > 20"),
+    "cigar_symbols": ([lambda r: r.qlen - r.sclen > 30, lambda r: r.endpos > 500, lambda r: r.ncigar == 6, lambda r: r.hclen == 0], "m + i + 15 > 30 AND pos + m + 15 + d - 1 > 500"),
+    "flags": ([lambda r: no(r.has("dup")), lambda r: ~r.flag & 16], "flag & 1024 = 0 AND (~flag) & 16 <> 0"),
 }
-for _name, (_text, _sql) in FILTERS.items():
-    query(f"filter_{_name}", f"WITH {READS} SELECT qname, pos, mapq, flag FROM reads WHERE {_sql}")(lambda spark, sf, text=_text: matching(v.reads(spark, sf), text).select("qname", "pos", "mapq", "flag"))
+for _name, (_conditions, _sql) in FILTERS.items():
+    query(f"filter_{_name}", f"WITH {READS} SELECT qname, pos, mapq, flag FROM reads WHERE {_sql}")(lambda spark, sf, conditions=_conditions: matching(v.reads(spark, sf), *conditions).select("qname", "pos", "mapq", "flag"))

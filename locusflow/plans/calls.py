@@ -69,12 +69,6 @@ def site_info(spark, sf):
     return out.withColumn("FS", stats.fisher_phred(*four)).withColumn("SOR", stats.odds_ratio(*four))
 
 
-@query("genotypes", f"WITH {OBS} SELECT contig, pos, sample_idx, CASE WHEN base = ref_base THEN '0/.' ELSE './.' END || ':' || base || ':' || strand AS gt FROM obs WHERE pos % 3 = 0")
-def genotypes(spark, sf):
-    gt = F.when(F.col("base") == F.col("ref_base"), "0/.").otherwise("./.")
-    return v.obs(spark, sf).where("pos % 3 = 0").select("contig", "pos", "sample_idx", F.concat_ws(":", gt, "base", "strand").alias("gt"))
-
-
 def neighbours(f):
     """(key, freq): how many rows have a frequency within a tenth of each one's, and how many of those aren't larger.
 
@@ -96,11 +90,6 @@ def neighbours(f):
     return per.select("key", n.alias("neighbours"), below.alias("below"), F.round(below / n, 6).alias("pct"))
 
 
-@query("freq_neighbours", """WITH f AS (SELECT p_partkey AS key, p_retailprice AS freq FROM part WHERE p_partkey % 4 = 0) SELECT a.key, count(*) AS neighbours, count(*) FILTER (b.freq <= a.freq) AS below, round(count(*) FILTER (b.freq <= a.freq) / CAST(count(*) AS DOUBLE), 6) AS pct FROM f a JOIN f b ON b.freq BETWEEN 0.9 * a.freq AND 1.1 * a.freq GROUP BY a.key""")
-def freq_neighbours(spark, sf):
-    return neighbours(v.table(spark, sf, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("freq")))
-
-
 @query("trend_test", f"""WITH {OBS}, c AS (SELECT contig, pos, {", ".join(f"CAST(count(*) FILTER (sample_idx % 3 = {i} AND base <> ref_base) AS DOUBLE) AS c{i}, CAST(count(*) FILTER (sample_idx % 3 = {i}) AS DOUBLE) AS n{i}" for i in range(3))} FROM obs GROUP BY contig, pos),
  q AS (SELECT *, n0 + n1 + n2 AS n, (c0 + c1 + c2) / (n0 + n1 + n2) AS p FROM c), t AS (SELECT *, (c0 - n0 * p) + 2 * (c1 - n1 * p) + 3 * (c2 - n2 * p) AS t, (n0 + 2 * n1 + 3 * n2) / n AS m FROM q), w AS (SELECT *, p * (1 - p) * (n0 + 4 * n1 + 9 * n2 - n * m * m) AS var FROM t)
  SELECT contig, pos, round(CASE WHEN var > 1e-9 THEN t * t / var END, 6) AS chi FROM w""")
@@ -129,11 +118,6 @@ def composition(docs):
     return docs.select("doc_id", n("g").alias("n_g"), n("c").alias("n_c"))
 
 
-@query("base_composition", "SELECT doc_id, length(coalesce(text, '')) - length(replace(lower(coalesce(text, '')), 'g', '')) AS n_g, length(coalesce(text, '')) - length(replace(lower(coalesce(text, '')), 'c', '')) AS n_c FROM documents WHERE lang IN ('en', 'de', 'es')")
-def base_composition(spark, sf):
-    return composition(v.table(spark, sf, "documents").where(F.col("lang").isin("en", "de", "es")))
-
-
 @query("concat_outputs", f"WITH {OBS} SELECT 0 AS part, contig, pos, count(*) AS depth FROM obs WHERE contig IN ('c0', 'c1') GROUP BY contig, pos UNION ALL SELECT 1, contig, pos, count(*) FROM obs WHERE contig NOT IN ('c0', 'c1') GROUP BY contig, pos")
 def concat_outputs(spark, sf):
     """Outputs of two runs under each other, the part kept as the order."""

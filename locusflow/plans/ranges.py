@@ -55,38 +55,6 @@ for _of, _sql in (("left", f'{SHARED} >= 0.5 * (t."end" - t.beg + 1)'), ("right"
     query(f"overlap_fraction_{_of}", f"{BOTH} {PAIR} WHERE {_sql}")(lambda spark, sf, of=_of: iv.overlap_fraction(_pairs(spark, sf), 0.5, of).select(*PAIR_COLUMNS))
 
 
-@query("overlap_semi", f'{BOTH} SELECT tid, contig, beg, "end", payload FROM targets t WHERE EXISTS (SELECT 1 FROM intervals i WHERE {MEETS})')
-def overlap_semi(spark, sf):
-    return iv.overlapping(v.targets(spark, sf), v.intervals(spark, sf).where("id % 7 = 0"), "tid")
-
-
-ORACLE["overlap_semi"] = f'{BOTH} SELECT tid, contig, beg, "end", payload FROM targets t WHERE EXISTS (SELECT 1 FROM intervals i WHERE {MEETS} AND i.id % 7 = 0)'
-
-
-@query("overlap_anti", f'{BOTH} SELECT tid, contig, beg, "end", payload FROM targets t WHERE NOT EXISTS (SELECT 1 FROM intervals i WHERE {MEETS} AND i.id % 7 = 0)')
-def overlap_anti(spark, sf):
-    return iv.overlapping(v.targets(spark, sf), v.intervals(spark, sf).where("id % 7 = 0"), "tid", keep=False)
-
-
-@query("missed_regions", f'WITH {INTERVALS}, {OBS} SELECT id, contig, beg, "end" FROM intervals i WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.base = \'T\' AND o.sample_idx % 10 = 3 AND o.contig = i.contig AND o.pos BETWEEN i.beg AND i."end")')
-def missed_regions(spark, sf):
-    points = v.obs(spark, sf).where("base = 'T' AND sample_idx % 10 = 3").select("contig", F.col("pos").cast("bigint").alias("beg"), F.col("pos").cast("bigint").alias("end")).distinct()
-    return iv.overlapping(v.intervals(spark, sf), points, "id", keep=False).select("id", "contig", "beg", "end")
-
-
-@query("site_except", f'WITH {INTERVALS}, {OBS} SELECT DISTINCT contig, pos FROM obs o WHERE NOT EXISTS (SELECT 1 FROM intervals i WHERE i.id % 11 = 0 AND o.contig = i.contig AND o.pos BETWEEN i.beg AND i."end")')
-def site_except(spark, sf):
-    sites = v.obs(spark, sf).select("contig", "pos").distinct()
-    keyed = sites.select(F.struct("contig", "pos").alias("site"), "contig", F.col("pos").cast("bigint").alias("beg"), F.col("pos").cast("bigint").alias("end"))
-    return iv.overlapping(keyed, v.intervals(spark, sf).where("id % 11 = 0"), "site", keep=False).select("site.contig", "site.pos")
-
-
-@query("merge_intervals", f"""WITH {INTERVALS}, chosen AS (SELECT * FROM intervals WHERE id % 13 = 0), flagged AS (SELECT *, CASE WHEN beg <= 1 + max("end") OVER (PARTITION BY contig ORDER BY beg, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM chosen),
- islands AS (SELECT *, sum(fresh) OVER (PARTITION BY contig ORDER BY beg, "end" ROWS UNBOUNDED PRECEDING) AS island FROM flagged) SELECT contig, min(beg) AS beg, max("end") AS "end", count(*) AS n FROM islands GROUP BY contig, island""")
-def merge_intervals(spark, sf):
-    return iv.merge(v.intervals(spark, sf).where("id % 13 = 0"))
-
-
 @query("annotate", f"""{BOTH}, hits AS (SELECT t.*, i.beg AS ib, i."end" AS ie, i.payload AS value, greatest(t.beg, i.beg) AS lo, least(t."end", i."end") AS hi FROM targets t JOIN intervals i ON {MEETS}),
  bases AS (SELECT tid, count(DISTINCT b) AS nbp FROM (SELECT tid, unnest(range(lo, hi + 1)) AS b FROM hits) GROUP BY tid),
  firsts AS (SELECT tid, value, min((ib, ie, value)) AS f FROM hits GROUP BY tid, value), listed AS (SELECT tid, string_agg(value, ',' ORDER BY f) AS vals FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY f) AS rn FROM firsts) WHERE rn <= 3 GROUP BY tid),
@@ -107,13 +75,17 @@ def region_slices(spark, sf):
     return iv.slices(v.intervals(spark, sf), 7)
 
 
-# The class of an ALT against REF, in SQL.
-CLASS = """CASE WHEN a = ref OR a = '.' THEN 0 WHEN a = '*' THEN 32 WHEN a LIKE '<DEL%' THEN 132 WHEN a LIKE '<INS%' THEN 68 WHEN a LIKE '<%' THEN 8 WHEN length(a) = length(ref) THEN CASE WHEN length(a) = 1 THEN 1 ELSE 2 END
- WHEN length(a) > length(ref) THEN CASE WHEN starts_with(a, ref) OR ends_with(a, ref) THEN 68 ELSE 8 END ELSE CASE WHEN starts_with(ref, a) OR ends_with(ref, a) THEN 132 ELSE 8 END END"""
-EACH = f"{VARIANTS}, each_alt AS (SELECT *, unnest(alts) AS a, unnest(range(1, len(alts) + 1)) AS nth FROM variants), typed AS (SELECT *, {CLASS} AS kind FROM each_alt), bits AS (SELECT key, bit_or(kind) AS bits FROM typed GROUP BY key)"
+# The class of an ALT against REF, in SQL: r and t are left of REF and ALT behind what they begin with alike, e is how much of these ends alike.
+BEGUN = "len(list_filter(range(1, least(length(ref), length(a)) + 1), lambda k: upper(left(ref, k)) = upper(left(a, k))))"
+ENDED = "len(list_filter(range(1, least(length(r), length(t))), lambda k: right(r, k) = right(t, k)))"
+CLASS = """CASE WHEN a = '*' THEN 32 WHEN length(ref) = 1 AND length(a) = 1 THEN CASE WHEN a IN ('.', 'X') OR a = ref THEN 0 ELSE 1 END WHEN starts_with(a, '<X>') OR starts_with(a, '<*>') OR a = '<NON_REF>' THEN 0 WHEN starts_with(a, '<') THEN 8
+ WHEN left(a, 1) IN ('[', ']') THEN 16 WHEN r = '' AND t = '' THEN 0 WHEN r = '' THEN CASE WHEN right(a, 1) IN ('[', ']') THEN 16 ELSE 68 END WHEN t = '' THEN 132 WHEN nr = 1 AND nt = 1 THEN 1
+ WHEN nt = 1 THEN CASE WHEN substr(r, nr, 1) = substr(t, nt, 1) THEN 132 ELSE 8 END WHEN nr = 1 THEN CASE WHEN substr(r, nr, 1) = substr(t, nt, 1) THEN 68 ELSE 8 END WHEN nr = nt THEN 2 ELSE 8 END"""
+CHANGED = """CASE WHEN kind IN (0, 16, 32) OR a LIKE '<%' THEN 0 WHEN kind = 1 THEN 1 WHEN r = '' OR t = '' THEN length(a) - length(ref) WHEN nt = 1 THEN 1 - nr WHEN nr = 1 THEN nt - 1 WHEN nr > nt THEN -nr ELSE nt END"""
+EACH = f"{VARIANTS}, each_alt AS (SELECT *, unnest(alts) AS a, unnest(range(1, len(alts) + 1)) AS nth FROM variants), cut AS (SELECT *, upper(substr(ref, {BEGUN} + 1)) AS r, upper(substr(a, {BEGUN} + 1)) AS t FROM each_alt), ended AS (SELECT *, length(r) - {ENDED} AS nr, length(t) - {ENDED} AS nt FROM cut), typed AS (SELECT *, {CLASS} AS kind FROM ended), bits AS (SELECT key, bit_or(kind) AS bits FROM typed GROUP BY key)"
 
 
-@query("variant_types", f"WITH {EACH} SELECT key, CAST(nth AS INT) AS nth, a AS alt, CAST(kind AS INT) AS kind, CAST(CASE WHEN kind IN (1, 2) THEN length(ref) WHEN a LIKE '<%' OR kind IN (0, 16, 32) THEN 0 ELSE length(a) - length(ref) END AS INT) AS len FROM typed")
+@query("variant_types", f"WITH {EACH} SELECT key, CAST(nth AS INT) AS nth, a AS alt, CAST(kind AS INT) AS kind, CAST({CHANGED} AS INT) AS len FROM typed")
 def variant_types(spark, sf):
     each = v.variants(spark, sf).select("key", "ref", F.posexplode("alts").alias("nth", "alt"))
     ref, alt = F.col("ref"), F.col("alt")
@@ -127,7 +99,7 @@ def variant_masks(spark, sf):
     return rows.select("key", "bits", alleles.has_classes(b, alleles.SNP).alias("any_snp"), alleles.has_classes(b, alleles.SNP | alleles.DEL, "subset").alias("only_snp_or_del"), alleles.has_classes(b, alleles.INDEL, "exact").alias("exactly_indel"))
 
 
-@query("snp_sites", f"WITH {VARIANTS} SELECT key, contig, pos FROM variants WHERE length(ref) = 1 AND len(list_filter(alts, lambda a: NOT (length(a) = 1 AND a <> '*'))) = 0")
+@query("snp_sites", f"WITH {VARIANTS} SELECT key, contig, pos FROM variants WHERE length(ref) = 1 AND len(list_filter(alts, lambda a: NOT (length(a) = 1 AND a <> '*' OR a IN ('<X>', '<*>')))) = 0")
 def snp_sites(spark, sf):
     return v.variants(spark, sf).where(alleles.is_snp(F.col("ref"), F.col("alts"))).select("key", "contig", "pos")
 

@@ -79,11 +79,15 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").cast("int").alias("sample_idx"), F.col("r_name").alias("group"))
 
 
+#: Alleles that classes are easily mistaken for.
+ODD = ["X", "<X>", "<INS>", "ATGGT]c2:7]", "[c3:9[A", "atg", "GCA", "AG", "TTG", "ACCCG"]
+
+
 def variants(spark: SparkSession, sf_dir: str, parity: int | None = None) -> DataFrame:
     """A variant per part and part of sites: alleles of several kinds, made from the keys; parity picks one of two sources."""
     k, z = F.col("p_partkey"), F.col("p_size")
-    ref = F.when(k % 7 == 0, "AT").when(k % 7 == 1, "ATG").otherwise(F.substring(F.lit("ACGT"), (1 + z % 4).cast("int"), F.lit(1)))
-    alt = F.when(k % 11 == 0, "A").when(k % 11 == 1, "ATT").when(k % 11 == 2, "<DEL>").when(k % 11 == 3, "*").when(k % 11 == 4, "AT").otherwise(F.substring(F.lit("ACGT"), (1 + (z + k) % 4).cast("int"), F.lit(1)))
+    ref = F.when(k % 7 == 0, "AT").when(k % 7 == 1, "ATG").when(k % 7 == 2, "ACTG").otherwise(F.substring(F.lit("ACGT"), (1 + z % 4).cast("int"), F.lit(1)))
+    alt = F.when(k % 11 == 0, "A").when(k % 11 == 1, "ATT").when(k % 11 == 2, "<DEL>").when(k % 11 == 3, "*").when(k % 11 == 4, "AT").when(k % 11 == 5, "ACTG").when(k % 11 == 6, F.element_at(F.array(*map(F.lit, ODD)), (1 + k % len(ODD)).cast("int"))).otherwise(F.substring(F.lit("ACGT"), (1 + (z + k) % 4).cast("int"), F.lit(1)))
     second = F.when(k % 3 == 0, F.array(F.lit("G"))).otherwise(F.array().cast("array<string>"))
     out = table(spark, sf_dir, "part").select(
         F.concat(F.lit("c"), (k % 5).cast("string")).alias("contig"), (k / 20).cast("bigint").alias("pos"), F.concat(F.lit("rs"), (k % 900).cast("string")).alias("id"), ref.alias("ref"), F.concat(F.array(alt), second).alias("alts"), k.alias("key"),
@@ -110,7 +114,7 @@ TARGETS = """targets AS (SELECT c_custkey AS tid, 'c' || CAST(c_custkey % 5 AS V
  CAST(greatest(c_custkey % 2000 + 1, c_custkey % 2000 + c_custkey % 17 - 3) AS BIGINT) AS "end", 'Brand#' || CAST(11 + c_custkey % 5 AS VARCHAR) AS payload FROM customer)"""
 GROUPS = """groups AS (SELECT CAST(s_suppkey AS INT) AS sample_idx, r_name AS "group" FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 VARIANTS = """variants AS (SELECT 'c' || CAST(p_partkey % 5 AS VARCHAR) AS contig, CAST(floor(p_partkey / 20) AS BIGINT) AS pos, 'rs' || CAST(p_partkey % 900 AS VARCHAR) AS id,
- CASE WHEN p_partkey % 7 = 0 THEN 'AT' WHEN p_partkey % 7 = 1 THEN 'ATG' ELSE substr('ACGT', CAST(1 + p_size % 4 AS INT), 1) END AS ref,
- list_concat([CASE p_partkey % 11 WHEN 0 THEN 'A' WHEN 1 THEN 'ATT' WHEN 2 THEN '<DEL>' WHEN 3 THEN '*' WHEN 4 THEN 'AT' ELSE substr('ACGT', CAST(1 + (p_size + p_partkey) % 4 AS INT), 1) END],
+ CASE WHEN p_partkey % 7 = 0 THEN 'AT' WHEN p_partkey % 7 = 1 THEN 'ATG' WHEN p_partkey % 7 = 2 THEN 'ACTG' ELSE substr('ACGT', CAST(1 + p_size % 4 AS INT), 1) END AS ref,
+ list_concat([CASE p_partkey % 11 WHEN 0 THEN 'A' WHEN 1 THEN 'ATT' WHEN 2 THEN '<DEL>' WHEN 3 THEN '*' WHEN 4 THEN 'AT' WHEN 5 THEN 'ACTG' WHEN 6 THEN """ + str(ODD) + """[1 + p_partkey % """ + str(len(ODD)) + """] ELSE substr('ACGT', CAST(1 + (p_size + p_partkey) % 4 AS INT), 1) END],
   CASE WHEN p_partkey % 3 = 0 THEN ['G'] ELSE CAST([] AS VARCHAR[]) END) AS alts, p_partkey AS key,
  CASE p_partkey % 4 WHEN 0 THEN ['PASS'] WHEN 1 THEN ['LowQual', 'q10'] WHEN 2 THEN ['q10'] ELSE CAST([] AS VARCHAR[]) END AS filters FROM part)"""

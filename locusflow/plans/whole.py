@@ -1,4 +1,4 @@
-"""Queries over all rows of the tables, where those of ``calls`` and ``ranges`` that bear the same name look at a share of the keys.
+"""Queries over intervals and sites that need geometry of their own.
 
 Intervals here have gaps and targets spread over the whole key range of part, so that semi joins, anti joins and merges
 have something to decide without leaving intervals out.
@@ -51,44 +51,44 @@ def _points(spark, sf):
     return v.obs(spark, sf).select("contig", "pos").distinct().select(F.struct("contig", "pos").alias("site"), "contig", at.alias("beg"), at.alias("end"))
 
 
-@query("genotypes_whole")
-def genotypes_whole(spark, sf):
+@query("genotypes")
+def genotypes(spark, sf):
     """Genotype, base and strand of every observation; an ALT is known by its place in the site's call."""
     obs = v.obs(spark, sf)
     return caller.genotypes(obs, caller.call(obs)).select("contig", "pos", "sample_idx", F.concat_ws(":", "gt", "base", "strand").alias("gt"))
 
 
-@query("freq_neighbours_whole", """WITH f AS (SELECT p_partkey AS key, p_retailprice AS freq FROM part) SELECT a.key, count(*) AS neighbours, count(*) FILTER (b.freq <= a.freq) AS below, round(count(*) FILTER (b.freq <= a.freq) / CAST(count(*) AS DOUBLE), 6) AS pct FROM f a JOIN f b ON b.freq BETWEEN 0.9 * a.freq AND 1.1 * a.freq GROUP BY a.key""")
-def freq_neighbours_whole(spark, sf):
+@query("freq_neighbours", """WITH f AS (SELECT p_partkey AS key, p_retailprice AS freq FROM part) SELECT a.key, count(*) AS neighbours, count(*) FILTER (b.freq <= a.freq) AS below, round(count(*) FILTER (b.freq <= a.freq) / CAST(count(*) AS DOUBLE), 6) AS pct FROM f a JOIN f b ON b.freq BETWEEN 0.9 * a.freq AND 1.1 * a.freq GROUP BY a.key""")
+def freq_neighbours(spark, sf):
     return calls.neighbours(v.table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("freq")))
 
 
-@query("overlap_semi_whole", f'WITH {GAPPED}, {SPREAD} SELECT * FROM targets t WHERE EXISTS (SELECT 1 FROM intervals i WHERE {MEETS})')
-def overlap_semi_whole(spark, sf):
+@query("overlap_semi", f'WITH {GAPPED}, {SPREAD} SELECT * FROM targets t WHERE EXISTS (SELECT 1 FROM intervals i WHERE {MEETS})')
+def overlap_semi(spark, sf):
     return iv.overlapping(spread(spark, sf), gapped(spark, sf), "tid")
 
 
-@query("overlap_anti_whole", f'WITH {GAPPED}, {SPREAD} SELECT * FROM targets t WHERE NOT EXISTS (SELECT 1 FROM intervals i WHERE {MEETS})')
-def overlap_anti_whole(spark, sf):
+@query("overlap_anti", f'WITH {GAPPED}, {SPREAD} SELECT * FROM targets t WHERE NOT EXISTS (SELECT 1 FROM intervals i WHERE {MEETS})')
+def overlap_anti(spark, sf):
     return iv.overlapping(spread(spark, sf), gapped(spark, sf), "tid", keep=False)
 
 
-@query("missed_regions_whole", f'WITH {GAPPED}, {OBS} SELECT * FROM intervals i WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.contig = i.contig AND o.pos BETWEEN i.beg AND i."end")')
-def missed_regions_whole(spark, sf):
+@query("missed_regions", f'WITH {GAPPED}, {OBS} SELECT * FROM intervals i WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.contig = i.contig AND o.pos BETWEEN i.beg AND i."end")')
+def missed_regions(spark, sf):
     return iv.overlapping(gapped(spark, sf), _points(spark, sf), "id", keep=False)
 
 
-@query("site_except_whole", f'WITH {GAPPED}, {OBS} SELECT DISTINCT contig, pos FROM obs o WHERE NOT EXISTS (SELECT 1 FROM intervals i WHERE o.contig = i.contig AND o.pos BETWEEN i.beg AND i."end")')
-def site_except_whole(spark, sf):
+@query("site_except", f'WITH {GAPPED}, {OBS} SELECT DISTINCT contig, pos FROM obs o WHERE NOT EXISTS (SELECT 1 FROM intervals i WHERE o.contig = i.contig AND o.pos BETWEEN i.beg AND i."end")')
+def site_except(spark, sf):
     return iv.overlapping(_points(spark, sf), gapped(spark, sf), "site", keep=False).select("site.contig", "site.pos")
 
 
-@query("merge_intervals_whole", f"""WITH {GAPPED}, flagged AS (SELECT *, CASE WHEN beg <= 1 + max("end") OVER (PARTITION BY contig ORDER BY beg, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM intervals),
+@query("merge_intervals", f"""WITH {GAPPED}, flagged AS (SELECT *, CASE WHEN beg <= 1 + max("end") OVER (PARTITION BY contig ORDER BY beg, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM intervals),
  islands AS (SELECT *, sum(fresh) OVER (PARTITION BY contig ORDER BY beg, "end" ROWS UNBOUNDED PRECEDING) AS island FROM flagged) SELECT contig, min(beg) AS beg, max("end") AS "end", count(*) AS n FROM islands GROUP BY contig, island""")
-def merge_intervals_whole(spark, sf):
+def merge_intervals(spark, sf):
     return iv.merge(gapped(spark, sf))
 
 
-@query("base_composition_whole", "SELECT doc_id, length(coalesce(text, '')) - length(replace(lower(coalesce(text, '')), 'g', '')) AS n_g, length(coalesce(text, '')) - length(replace(lower(coalesce(text, '')), 'c', '')) AS n_c FROM documents")
-def base_composition_whole(spark, sf):
+@query("base_composition", "SELECT doc_id, length(coalesce(text, '')) - length(replace(lower(coalesce(text, '')), 'g', '')) AS n_g, length(coalesce(text, '')) - length(replace(lower(coalesce(text, '')), 'c', '')) AS n_c FROM documents")
+def base_composition(spark, sf):
     return calls.composition(v.table(spark, sf, "documents"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusflow.functions import cigar as cg
-from locusflow.functions.filterlang import matching
+from locusflow.functions.terms import Term, both, default, exists, length, matching, no, some
 from locusflow.sources import bam, sequences, sinks, text
 
 SAM = """@HD\tVN:1.6\tSO:coordinate
@@ -39,14 +39,26 @@ def test_sam_fields_header_and_round_trip(spark, tmp_path, reads):
 
 
 def test_filters_on_reads(reads):
-    names = lambda e: [r.qname for r in matching(reads, e).collect()]
-    assert names('[NM] == "i:3"') == ["r1"]
-    assert names("[XX] == \"\" || qlen > 3 && flag.paired") == ["r1"]
-    assert sorted(names("!exists([NM]) || mapq >= 0")) == ["r1", "r2"]
-    assert names('qname =~ "^r[2-9]$"') == ["r2"]
-    for bad in ("1 +", "qname + 1", "nothing > 1", "(pos", "pos $ 2"):
+    names = lambda *e: [r.qname for r in matching(reads, *e).collect()]
+    assert names(lambda r: r.tag("NM") == "i:3") == ["r1"]
+    assert names(lambda r: some(r.tag("XX") == "", r.qlen > 3), lambda r: r.has("paired")) == ["r1"]
+    assert sorted(names(lambda r: some(no(exists(r.tag("NM"))), r.mapq >= 0))) == ["r1", "r2"]
+    assert names(lambda r: r.qname.matches("^r[2-9]$")) == ["r2"]
+    for bad in (lambda r: r.qname + 1, lambda r: r.pos.matches("1"), lambda r: length(r.pos) > 1):
         with pytest.raises(ValueError):
             matching(reads, bad)
+    with pytest.raises(AttributeError):
+        matching(reads, lambda r: r.nothing > 1)
+
+
+def test_undefined_terms(spark):
+    row = spark.createDataFrame([(1, None)], "x int, y int").select(
+        *[t.column.alias(k) for k, t in {
+            "both": both(Term(F.lit(0)), Term(F.col("y"))), "some": some(Term(F.col("y")), Term(F.col("x"))), "no": no(Term(F.col("y"))), "mixed": Term(F.lit("1"), True) == 1, "unlike": Term(F.lit("1"), True) != 1,
+            "rest": Term(F.lit(7)) % Term(F.col("y")), "default": default(Term(F.col("y")), 4), "bits": (Term(F.lit(6)) & 3) | 8,
+        }.items()]
+    ).first()
+    assert row.asDict() == {"both": None, "some": 1.0, "no": 1.0, "mixed": 0.0, "unlike": 1.0, "rest": None, "default": 4.0, "bits": 10.0}
 
 
 def test_cigar_example(spark):

@@ -19,7 +19,7 @@ def test_genotypes_name_the_called_alternative(spark):
         called = alts.get((r["contig"], r["pos"]), [])
         gt = "0/." if r["base"] == r["ref_base"] else f"./{called.index(r['base']) + 1}" if r["base"] in called else "./."
         want[r["contig"], r["pos"], r["sample_idx"]] = f"{gt}:{r['base']}:{r['strand']}"
-    got = {(r["contig"], r["pos"], r["sample_idx"]): r["gt"] for r in run(spark, "genotypes_whole")}
+    got = {(r["contig"], r["pos"], r["sample_idx"]): r["gt"] for r in run(spark, "genotypes")}
     assert got == want and {p % 3 for _, p, _ in got} == {0, 1, 2} and {g[:3] for g in got.values()} >= {"0/.", "./1", "./2"}
 
 
@@ -31,11 +31,11 @@ def test_genotypes_of_bases_by_hand(spark):
 
 def test_no_key_is_left_out(spark):
     n = {t: v.table(spark, SF, t).count() for t in ("part", "customer", "documents")}
-    assert len(run(spark, "freq_neighbours_whole")) == n["part"]
-    assert len(run(spark, "base_composition_whole")) == n["documents"]
-    merged = run(spark, "merge_intervals_whole")
+    assert len(run(spark, "freq_neighbours")) == n["part"]
+    assert len(run(spark, "base_composition")) == n["documents"]
+    merged = run(spark, "merge_intervals")
     assert sum(r["n"] for r in merged) == n["part"] and 5 < len(merged) < n["part"]
-    semi, anti = run(spark, "overlap_semi_whole"), run(spark, "overlap_anti_whole")
+    semi, anti = run(spark, "overlap_semi"), run(spark, "overlap_anti")
     assert semi and anti and len(semi) + len(anti) == n["customer"]
-    assert 0 < len(run(spark, "missed_regions_whole")) < n["part"]
-    assert 0 < len(run(spark, "site_except_whole")) < v.obs(spark, SF).select("contig", "pos").distinct().count()
+    assert 0 < len(run(spark, "missed_regions")) < n["part"]
+    assert 0 < len(run(spark, "site_except")) < v.obs(spark, SF).select("contig", "pos").distinct().count()
