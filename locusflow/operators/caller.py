@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.functions import stats
-from locusflow.operators.pileup import BASES, SITE, is_base
+from locusflow.operators.pileup import BASES, SITE, is_base, ranksums, strand_counts
 
 ROUNDS, CONVERGED = 100, 0.001
 #: Chi-squared below which the smaller model is taken.
@@ -152,6 +152,28 @@ def genotypes(obs: DataFrame, calls: DataFrame) -> DataFrame:
     return obs.join(alts, SITE, "left").withColumn("gt", F.coalesce(F.when(is_base(F.col("base")), known), F.lit("./."))).drop("alts")
 
 
+def called(obs: DataFrame, calls: DataFrame) -> DataFrame:
+    """The observations of called positions that count for their statistics: the reference's base and the called ALTs."""
+    base = F.col("base")
+    return obs.join(calls.select(*SITE, "alts"), SITE).where((base == F.upper("ref_base")) | F.array_contains("alts", base)).drop("alts")
+
+
+def info(obs: DataFrame, calls: DataFrame) -> DataFrame:
+    """calls with quality by depth, strand counts and bias and the three rank sums, cut to whole numbers, of the reference against the called ALTs."""
+    own = called(obs, calls)
+    names = {"MQRankSum": "mapq", "ReadPosRankSum": "rank", "BaseQRankSum": "qual"}
+    per = ranksums(own, names).groupBy(*SITE).agg(*[F.max(F.when(F.col("name") == n, F.col("phred"))).cast("int").alias(n) for n in names])
+    four = [F.col(c) for c in ("ref_fwd", "ref_rev", "alt_fwd", "alt_rev")]
+    out = calls.join(strand_counts(own).drop("ref_base", "depth"), SITE).join(per, SITE)
+    qd = F.col("qual") / F.aggregate("acs", F.lit(0.0), lambda s, n: s + n)
+    return out.withColumn("QD", qd).withColumn("FS", stats.fisher_phred(*four)).withColumn("SOR", stats.odds_ratio(*four))
+
+
+def sample_text(gt: Column, base: Column, strand: Column, qual: Column) -> Column:
+    """GT:AB:SO:BP of an observation: genotype, base, strand and the chance that the base is right; ./. alone for N and indels."""
+    return F.when(is_base(base), F.concat_ws(":", gt, base, strand, F.format_string("%.6f", 1 - stats.error_of(qual)))).otherwise("./.")
+
+
 def mask_of(bases: Column) -> Column:
     """The bit mask of an array of bases."""
     return F.aggregate(bases, F.lit(0), lambda s, b: s + F.when(b == "A", 1).when(b == "C", 2).when(b == "G", 4).when(b == "T", 8).otherwise(0))

@@ -63,17 +63,25 @@ def coverage(obs: DataFrame) -> DataFrame:
 
 def ranksum(obs: DataFrame, value: str) -> DataFrame:
     """Phred-scaled rank-sum p of a value, reference against other bases: average ranks of ties, no corrections."""
+    return ranksums(obs.withColumn("__value", F.col(value)), {"": "__value"}).drop("name")
+
+
+def ranksums(obs: DataFrame, values: dict[str, str]) -> DataFrame:
+    """The same for several whole-numbered values, one row for each and position; observations are read once and count by value before they are exchanged."""
+    keys = [*SITE, "name"]
     rows = obs.where(is_base(F.col("base"))).withColumn("is_ref", F.col("base") == F.upper("ref_base"))
-    by_value = rows.groupBy(*SITE, value).agg(F.count_if("is_ref").alias("r"), F.count_if(~F.col("is_ref")).alias("a"))
-    above = Window.partitionBy(*SITE).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in values.items()])).alias("v")
+    rows, value = rows.select("contig", "pos", "is_ref", each).select("contig", "pos", "is_ref", "v.*"), "value"
+    by_value = rows.groupBy(*keys, value).agg(F.count_if("is_ref").alias("r"), F.count_if(~F.col("is_ref")).alias("a"))
+    above = Window.partitionBy(*keys).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum(F.col("r") + F.col("a")).over(above), F.lit(0))
     ranked = by_value.withColumn("rank", ahead + (F.col("r") + F.col("a") + 1) / 2)
-    sums = ranked.groupBy(*SITE).agg(F.sum("r").alias("n1"), F.sum("a").alias("n2"), F.sum(F.col("r") * F.col("rank")).alias("r1"))
+    sums = ranked.groupBy(*keys).agg(F.sum("r").alias("n1"), F.sum("a").alias("n2"), F.sum(F.col("r") * F.col("rank")).alias("r1"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     z = F.abs(F.col("r1") - n1 * (n1 + n2 + 1) / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
     # Columns of their own, as the expressions that follow use them many times.
     tested = sums.withColumn("z", F.when((n1 > 0) & (n2 > 0), z)).withColumn("p", 2 * stats.normal_tail(F.col("z")))
-    return tested.select(*SITE, n1.alias("n1"), n2.alias("n2"), stats.phred(F.col("p")).alias("phred"))
+    return tested.select(*keys, n1.alias("n1"), n2.alias("n2"), stats.phred(F.col("p")).alias("phred"))
 
 
 def collected(obs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from locusflow.functions import stats
-from locusflow.operators import caller, pileup
+from locusflow.operators import caller, pileup, report
 from locusflow.operators import intervals as iv
 from locusflow.plans import views as v
 from locusflow.plans.views import OBS, READS, VARIANTS
@@ -60,13 +60,17 @@ def site_calls_by_group(spark, sf):
 
 @query("site_info")
 def site_info(spark, sf):
-    """The calls with strand bias and the three rank sums, cut to whole numbers."""
+    """The calls with strand bias and the three rank sums of the called alleles."""
     obs = v.obs(spark, sf)
-    four = [F.col(c) for c in ("ref_fwd", "ref_rev", "alt_fwd", "alt_rev")]
-    out = caller.call(obs).join(pileup.strand_counts(obs).drop("ref_base"), pileup.SITE)
-    for value, name in (("mapq", "MQRankSum"), ("rank", "ReadPosRankSum"), ("qual", "BaseQRankSum")):
-        out = out.join(pileup.ranksum(obs, value).select("contig", "pos", F.col("phred").cast("int").alias(name)), pileup.SITE)
-    return out.withColumn("FS", stats.fisher_phred(*four)).withColumn("SOR", stats.odds_ratio(*four))
+    return caller.info(obs, caller.call(obs))
+
+
+@query("vcf_lines")
+def vcf_lines(spark, sf):
+    """The variant file's lines: INFO with the groups' frequencies, and a column for each sample that some position has."""
+    obs = v.obs(spark, sf)
+    calls = caller.call(obs)
+    return report.variant_lines(obs, calls, v.groups(spark, sf), v.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("sample_idx")))
 
 
 def neighbours(f):

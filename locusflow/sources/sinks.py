@@ -58,10 +58,3 @@ def variant_line() -> Column:
 def coverage_line() -> Column:
     numbers = ["depth", "depth_A", "depth_C", "depth_G", "depth_T"]
     return F.concat_ws("\t", "contig", F.col("pos").cast("string"), "ref_base", *[F.col(c).cast("string") for c in numbers], "indels", fixed(F.col("fs")), fixed(F.col("sor")), F.concat_ws(",", "ref_fwd", "ref_rev", "alt_fwd", "alt_rev"))
-
-
-def write_lines(df: DataFrame, line: Column, path: str, order: list[str], header: str | None = None) -> None:
-    """Lines in order, range-partitioned; part files in name order are the whole. A header goes to a file that sorts first."""
-    df.select(line.alias("value"), *order).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
-    if header is not None:
-        df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.text(path + ".header")
