@@ -56,6 +56,8 @@ KEPT = 6
 MAP_BITS = 1024
 #: Sets of other components that a set of an unsettled group is compared with before all pairs across are.
 TRIES = 3
+#: Rows of a group whose pairs are looked at one by one where it is formed.
+SMALL = 16
 #: Members of a group of several components that are compared in one cell, from either side.
 BLOCK = 4096
 LOWEST = -(1 << 63)
@@ -280,6 +282,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.add.reduceat(once.astype(np.int64), heads) + np.maximum.reduceat(many, heads)
     head = heads[at]
     keep = once & (size[at] > 1)
+    # In a small group that this task holds whole, a set stays if it can link to another whose first shared gram this is.
+    few = (np.diff(np.append(heads, len(gram))) <= SMALL) & (np.maximum.reduceat(many, heads) == 0)
+    able, rows = np.zeros(len(gram), bool), np.flatnonzero(few[at])
+    for k in range(1, SMALL):
+        rows = rows[rows + k < len(gram)]
+        rows = rows[at[rows] == at[rows + k]]
+        x = rows[(sig[rows] != sig[rows + k]) & _fits(n[rows].astype(np.int64), place[rows], n[rows + k].astype(np.int64), place[rows + k])]
+        able[x] = able[x + k] = True
+    keep &= able | ~few[at]
     fits = _fits(n[head].astype(np.int64), place[head], n.astype(np.int64), place) & (sig != sig[head])
     hub_n = np.where(fits, n[head], 0).astype(np.int32)
     yield from _entries(gram[keep], sig[keep], n[keep], place[keep], sig[head][keep], hub_n[keep])
