@@ -95,3 +95,48 @@ def trend(counts: list[Column], totals: list[Column]) -> Column:
     mean = sum(m * s for s, m in zip(scores, totals)) / n
     v = p * (1 - p) * (sum(m * s * s for s, m in zip(scores, totals)) - n * mean * mean)
     return F.when(v > 0, t * t / v)
+
+
+def log_gamma(z: Column) -> Column:
+    """ln of the gamma function for z > 0, by Stirling's series from z + 9 on."""
+    x = z + 9
+    series = (x - 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return series - F.log(reduce(lambda a, b: a * b, [z + k for k in range(9)]))
+
+
+def gamma_lower(s: Column, z: Column) -> Column:
+    """The regularised lower incomplete gamma function: its power series, or 1 less the upper one's continued fraction where z exceeds s + 1."""
+    return F.when(z <= 0, 0.0).when(z <= s + 1, _gamma_series(s, z)).otherwise(1 - _gamma_fraction(s, z))
+
+
+def gamma_upper(s: Column, z: Column) -> Column:
+    return F.when(z <= 0, 1.0).when(z <= s + 1, 1 - _gamma_series(s, z)).otherwise(_gamma_fraction(s, z))
+
+
+def _gamma_series(s: Column, z: Column) -> Column:
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    step = lambda a, k: F.struct((a["term"] * z / (s + k)).alias("term"), (a["sum"] + a["term"] * z / (s + k)).alias("sum"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, step, lambda a: a["sum"])
+    return F.exp(s * F.log(z) - z - log_gamma(s + 1) + F.log(total))
+
+
+def _gamma_fraction(s: Column, z: Column) -> Column:
+    # The fraction is evaluated from its far end, so that no term has to be guarded against 0.
+    tail = F.aggregate(F.sequence(F.lit(150), F.lit(1), F.lit(-1)), F.lit(0.0), lambda a, k: k * (s - k) / (z + 2 * k + 1 - s + a))
+    return F.exp(s * F.log(z) - z - log_gamma(s)) / (z + 1 - s + tail)
+
+
+def beta_share(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta function, by its continued fraction on the side where that converges fast."""
+    low = x < (a + 1) / (a + b + 2)
+    p, q, y = F.when(low, a).otherwise(b), F.when(low, b).otherwise(a), F.when(low, x).otherwise(1 - x)
+
+    def term(m: Column) -> tuple[Column, Column]:
+        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        return even, odd
+
+    tail = F.aggregate(F.sequence(F.lit(100), F.lit(1), F.lit(-1)), F.lit(0.0), lambda s, m: term(m)[0] / (1 + term(m)[1] / (1 + s)))
+    first = -(p + q) * y / (p + 1)
+    value = F.exp(p * F.log(y) + q * F.log(1 - y) + log_gamma(p + q) - log_gamma(p) - log_gamma(q)) / p / (1 + first / (1 + tail))
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(low, value).otherwise(1 - value)

@@ -58,3 +58,25 @@ def in_region(df: DataFrame, contig: str, beg: int | None = None, end: int | Non
     out = df.where(F.col("contig") == contig)
     out = out if end is None else out.where(F.col(start) <= end)
     return out if beg is None else out.where(F.col(stop) >= beg)
+
+
+def read_group(tags: Column, qname: Column) -> Column:
+    """The RG tag, or else the name up to its first colon; null where it has none."""
+    return F.coalesce(tags["RG"], F.when(F.instr(qname, ":") > 0, F.substring_index(qname, ":", 1)))
+
+
+def marked_failed(flag: Column, failed: Column) -> Column:
+    """flag with the quality failure bit where a mapped read failed."""
+    return F.when(failed & is_mapped(flag), flag.bitwiseOR(FLAGS["qcfail"])).otherwise(flag)
+
+
+def mapping_quality(flag: Column, mapq: Column) -> Column:
+    """0 for reads that aren't mapped."""
+    return F.when(is_mapped(flag), mapq).otherwise(0)
+
+
+def with_tag(tags: Column, name: str, value: Column, where: Column | None = None) -> Column:
+    """tags with one of them set to 'type:value', or removed by a null; only where a condition holds."""
+    rest = F.map_filter(tags, lambda k, v: k != name)
+    edited = F.when(value.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(name), value)))
+    return edited if where is None else F.when(where, edited).otherwise(tags)

@@ -49,3 +49,44 @@ def allele_counts(genotypes: DataFrame, keys: list[str], gt: str = "gt") -> Data
     """AN and AC of ALT 1 and 2 by key from genotype texts."""
     each = genotypes.select(*keys, F.explode(F.split(gt, r"[/|]")).alias("a")).where("a <> '.'")
     return each.groupBy(*keys).agg(F.count("*").alias("an"), F.count_if(F.col("a") == "1").alias("ac1"), F.count_if(F.col("a") == "2").alias("ac2"))
+
+
+def kept_values(values: Column, used: Column, number: str) -> Column:
+    """The values of a field that stay when only the ALTs ``used`` (from 1) do: one value per ALT (A), allele (R) or genotype (G).
+
+    The genotype of alleles a <= b has place b (b + 1) / 2 + a. A field of another length stays as it is null.
+    """
+    alleles_ = F.concat(F.array(F.lit(0)), used)
+    if number == "A":
+        return F.transform(used, lambda i: F.get(values, i - 1))
+    if number == "R":
+        return F.transform(alleles_, lambda i: F.get(values, i))
+    place = lambda a, b: (b * (b + 1) / 2 + a).cast("int")
+    return F.flatten(F.transform(alleles_, lambda b: F.transform(F.filter(alleles_, lambda a: a <= b), lambda a: F.get(values, place(a, b)))))
+
+
+def with_field(info: Column, name: str, value: Column, where: Column | None = None) -> Column:
+    """INFO (a map) with a value set, or removed by a null; only where a condition holds. A flag's value is ''."""
+    rest = F.map_filter(info, lambda k, v: k != name)
+    edited = F.when(value.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(name), value)))
+    return edited if where is None else F.when(where, edited).otherwise(info)
+
+
+def info_text(info: Column) -> Column:
+    """key=value in order of the keys, flags alone; '.' where there is none."""
+    entries = F.transform(F.array_sort(F.map_entries(info)), lambda e: F.when(e["value"] == "", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"])))
+    return F.when(F.size(info) == 0, ".").otherwise(F.array_join(entries, ";"))
+
+
+def with_filter(filters: Column, name: str) -> Column:
+    """FILTER with one more; PASS goes when another comes, and PASS clears all others."""
+    if name == "PASS":
+        return F.array(F.lit("PASS"))
+    return F.when(F.array_contains(filters, name), filters).otherwise(F.concat(F.filter(filters, lambda f: f != "PASS"), F.array(F.lit(name))))
+
+
+def samples_kept(calls: Column, names: list[str], wanted: list[str], invert: bool = False) -> Column:
+    """The calls of the wanted samples, or of all others, in the header's order; a name that the header lacks is refused."""
+    if unknown := [w for w in wanted if w not in names]:
+        raise ValueError(f"no such samples: {unknown}")
+    return F.array(*[F.get(calls, F.lit(i)) for i, n in enumerate(names) if (n in wanted) != invert])
