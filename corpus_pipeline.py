@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.llm import bpe, jaccard, mixing, rlz, toxicity
-from locusflow.llm.common import forget, table, written
+from locusflow.llm.common import forget, noted, table, written
 
 #: SQL can't express the stages; tests/llm hold each against a brute-force version.
 ORACLE_SQL = None
@@ -102,8 +102,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. A stage's intermediate tables, and its input, go once its result is written."""
     docs = table(spark, sf_dir, "documents")
+    before = []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with noted() as tables:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(*before, *tables[:-1])  # what the stage was made of; its own result is the last
+        before = [docs]
     return docs

@@ -16,6 +16,8 @@ GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of a batch for Python workers.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
+_noted: list[list] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory, read by Spark so that any Hadoop path works."""
@@ -66,9 +68,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    for tables in _noted:
+        tables.append(out)
     return out
 
 
+@contextmanager
+def noted() -> Iterator[list[DataFrame]]:
+    """The list of tables that are written while it lasts."""
+    _noted.append(tables := [])
+    try:
+        yield tables
+    finally:
+        _noted.remove(tables)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables of ``written`` once nothing reads them any more: what was made of them must be written itself."""
     for df in tables:

@@ -4,7 +4,8 @@ The source ``warc`` writes one archive file per task, every record a gzip member
 files, packed to about ``bytesPerPartition``; filters on record_type, page_id, target_uri, payload_digest and
 refers_to are pushed down. Headers are parsed first: of a record that a filter turns away, only the header is
 inflated; the rest is skipped by the lengths that the member's ``sl`` field gives. Payloads that nobody asks for
-(option ``payload`` = false) are skipped too.
+(option ``payload`` = false) are skipped too. Archives of other writers, gzip members without that field or plain files
+(.warc), are read as well: rows without page_id, the payload of an HTTP response without its HTTP header.
 
 Defined results of ``archive``: a null html is an empty payload, and empty payloads are equal payloads; of the
 rows with equal payloads that with the largest page_id is the response (a null page_id is smaller than any;
@@ -152,7 +153,7 @@ class WarcReader(DataSourceReader):
         fs, root = files_of(self.path)
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
         out, size = [Files([])], 0
-        for info in sorted((i for i in found if i.path.endswith(".warc.gz")), key=lambda i: i.path):
+        for info in sorted((i for i in found if i.path.endswith((".warc.gz", ".warc"))), key=lambda i: i.path):
             if out[-1].paths and size + info.size > self.per_partition:
                 out.append(Files([]))
                 size = 0
@@ -165,25 +166,60 @@ class WarcReader(DataSourceReader):
         for path in part.paths:
             with fs.open_input_file(path) as raw:
                 reader = _Buffered(raw)
-                while start := reader.read(MEMBER):
-                    size, _ = struct.unpack("<II", start[-8:])
-                    inflate, plain, left = zlib.decompressobj(-15), b"", size
-                    while b"\r\n\r\n" not in plain and left:
-                        data = reader.read(min(HEADER, left))
-                        left -= len(data)
-                        plain += inflate.decompress(data)
-                    head, _, plain = plain.partition(b"\r\n\r\n")
-                    row = from_header(fields := fields_of(head))
-                    row["payload"] = None
-                    wanted = self.wanted(row)
-                    if wanted and self.payload and row["record_type"] == "response":
-                        row["payload"] = (plain + inflate.decompress(reader.read(left)))[: int(fields["content-length"])]
-                        left = 0
-                        if digest(row["payload"]) != row["payload_digest"]:
-                            raise ValueError(f"{path}: the payload of page {row['page_id']} doesn't match its digest")
-                    reader.skip(left + 8)
-                    if wanted:
-                        yield row
+                start = reader.peek(MEMBER)
+                if start[:2] != b"\x1f\x8b":
+                    yield from self.plain(path, reader)
+                elif len(start) == MEMBER and start[3] & 4 and start[12:14] == b"sl":
+                    yield from self.members(path, reader)
+                else:
+                    yield from self.plain(path, _Inflated(reader))
+
+    def members(self, path: str, reader: _Buffered) -> Iterator[dict]:
+        """The records of members with lengths, as the writer makes them."""
+        while start := reader.read(MEMBER):
+            if len(start) < MEMBER or start[:2] != b"\x1f\x8b" or not start[3] & 4 or start[12:14] != b"sl":
+                raise ValueError(f"{path}: a member without its lengths among others with them")
+            size, _ = struct.unpack("<II", start[-8:])
+            inflate, plain, left = zlib.decompressobj(-15), b"", size
+            while b"\r\n\r\n" not in plain and left:
+                data = reader.read(min(HEADER, left))
+                left -= len(data)
+                plain += inflate.decompress(data)
+            head, _, plain = plain.partition(b"\r\n\r\n")
+            row = from_header(fields := fields_of(head))
+            row["payload"] = None
+            wanted = self.wanted(row)
+            if wanted and self.payload and row["record_type"] == "response":
+                row["payload"] = (plain + inflate.decompress(reader.read(left)))[: int(fields["content-length"])]
+                left = 0
+                if digest(row["payload"]) != row["payload_digest"]:
+                    raise ValueError(f"{path}: the payload of page {row['page_id']} doesn't match its digest")
+            reader.skip(left + 8)
+            if wanted:
+                yield row
+
+    def plain(self, path: str, reader) -> Iterator[dict]:
+        """The records of any archive, from its plain bytes: a header, then as many bytes as it says, then two line ends.
+
+        The payload of an HTTP response is what follows its own header.
+        """
+        while head := reader.until(b"\r\n\r\n").lstrip(b"\r\n"):
+            row = from_header(fields := fields_of(head))
+            size = int(fields.get("content-length", 0))
+            row["payload"] = None
+            if row["payload_bytes"] is None and not fields.get("content-type", "").startswith("application/http"):
+                row["payload_bytes"] = size
+            wanted = self.wanted(row)
+            if wanted and self.payload and row["record_type"] != "revisit":
+                block = reader.read(size)
+                if fields.get("content-type", "").startswith("application/http"):
+                    block = block.partition(b"\r\n\r\n")[2]
+                row["payload"], row["payload_bytes"] = block, len(block)
+            else:
+                reader.skip(size)
+            reader.skip(4)
+            if wanted:
+                yield row
 
     def read(self, part: Files) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -211,10 +247,24 @@ class _Buffered:
         self.held, self.at = self.held[self.at :] + more, 0
         return bool(more)
 
-    def read(self, n: int) -> bytes:
+    def peek(self, n: int) -> bytes:
         while len(self.held) - self.at < n and self._fill():
             pass
-        out, self.at = self.held[self.at : self.at + n], self.at + n
+        return self.held[self.at : self.at + n]
+
+    def read(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.at += len(out)
+        return out
+
+    def until(self, mark: bytes) -> bytes:
+        """The bytes up to a mark, which is passed over; all that is left where there is none."""
+        seen = 0
+        while (found := self.held.find(mark, self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - len(mark) + 1)
+            if not self._fill():
+                return self.read(len(self.held) - self.at)
+        out, self.at = self.held[self.at : found], found + len(mark)
         return out
 
     def skip(self, n: int) -> None:
@@ -226,6 +276,35 @@ class _Buffered:
             self.held, self.at = b"", 0
 
 
+class _Inflated(_Buffered):
+    """The plain bytes of gzip members one after the other; what is skipped is inflated and forgotten."""
+
+    def __init__(self, packed: _Buffered, size: int = 1 << 18):
+        super().__init__(None, size)
+        self.packed, self.inflate, self.left = packed, zlib.decompressobj(31), b""
+
+    def _fill(self) -> bool:
+        more = b""
+        while not more:
+            data = self.left or self.packed.read(self.size)
+            if not data:
+                return False
+            if self.inflate.eof:
+                self.inflate = zlib.decompressobj(31)
+            more = self.inflate.decompress(data, self.size)
+            self.left = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+        self.held, self.at = self.held[self.at :] + more, 0
+        return True
+
+    def skip(self, n: int) -> None:
+        while n > len(self.held) - self.at:
+            n -= len(self.held) - self.at
+            self.held, self.at = b"", 0
+            if not self._fill():
+                return
+        self.at += n
+
+
 class WarcSource(DataSource):
     """spark.read.format("warc").load(folder); options bytesPerPartition and payload."""
 
