@@ -8,10 +8,12 @@ number of tokens. A token may follow another if the two bytes strings together e
 one candidate fits, so the transducer is deterministic. States and transitions are compiled when first met and
 kept for the worker's later batches; beyond STATES the table starts anew.
 
-Texts are cut into chunks at piece starts, where the transducer is back in its start state. Chunks are run side
-by side, one byte of each at a time. A chunk's state map is thus constant, start to start, with a count; maps
-compose by addition, so that a prefix sum over the chunks gives the count at any chunk bound and a document's count
-is the difference of two.
+Texts are cut into chunks, which are run side by side, one byte of each at a time. Most chunks begin at a piece, where
+the transducer is back in its start state: their state map has one entry. A piece longer than LONG bytes is cut inside
+as well. Such a chunk's state map is made for the states that may reach it: first the one that the bytes before it lead
+to from the start state, then whatever the maps of the chunk before it lead to, until each chunk has all that its
+predecessor's map gives. A parallel prefix scan composes the maps of a piece's chunks, counts added, so that each
+chunk's own entry is known and a document's count is a difference of two sums.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; strings of special tokens are ordinary text or
 special as the library's default has it (they are looked up before splitting and count as one); repeated rows stay;
@@ -36,6 +38,8 @@ from locusflow.llm.common import table
 from locusflow.llm.pretoken import starts
 
 CHUNK = 192
+#: Bytes from which a piece is cut inside, those read ahead of such a chunk to guess its state, and rounds after which only the true states are followed.
+LONG, AHEAD, ROUNDS = 4 * CHUNK, 64, 16
 PIECE_BYTES = 4 << 20
 STATES = 1_500_000
 
@@ -127,20 +131,20 @@ class Transducer:
         return at
 
     def compile(self, keys: np.ndarray) -> None:
-        for key in keys.tolist():
-            target, more = self.step(key >> 8, key & 255)
-            at = int(self.find(np.array([key]))[0])
-            self.keys[at], self.targets[at], self.counts[at] = key, target, more
-            self.used += 1
-
-    def run(self, raw: np.ndarray, first: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Tokens in each chunk raw[bounds[i]:bounds[i + 1]]; first marks the bytes that begin pieces."""
-        if len(self.states) > STATES or self.used > (1 << self.slots) // 2:
-            self.clear()
-        lengths = np.diff(bounds)
-        order = np.argsort(-lengths, kind="stable")  # long chunks first: those still running are a prefix
-        at, left = bounds[:-1][order], lengths[order]
-        state, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        made = [self.step(key >> 8, key & 255) for key in keys.tolist()]
+        targets, counts = (np.array(x) for x in zip(*made))
+        self.used += len(keys)
+        left = np.arange(len(keys))
+        while len(left):  # of keys that belong in the same free place one takes it, the others look on
+            at, own = np.unique(self.find(keys[left]), return_index=True)
+            put = left[own]
+            self.keys[at], self.targets[at], self.counts[at] = keys[put], targets[put], counts[put]
+            left = np.delete(left, own)
+
+    def lanes(self, raw: np.ndarray, first: np.ndarray, at: np.ndarray, lengths: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The end state and the tokens of stretches of raw, each from its own start state; first marks the bytes that begin pieces."""
+        order = np.argsort(-lengths, kind="stable")  # long ones first: those still running are a prefix
+        at, left, state, total = at[order], lengths[order], start[order].astype(np.int64), np.zeros(len(at), np.int64)
         running = len(at)
         for step in range(int(left[0]) if len(left) else 0):
             while running and left[running - 1] <= step:
@@ -153,9 +157,52 @@ class Transducer:
                 slot = self.find(key)
             state[:running] = self.targets[slot]
             total[:running] += self.counts[slot]
-        out = np.empty(len(at), np.int64)
-        out[order] = total
-        return out
+        ends, out = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        ends[order], out[order] = state, total
+        return ends, out
+
+    def run(self, raw: np.ndarray, first: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Tokens in each chunk raw[bounds[i]:bounds[i + 1]]. Chunks that don't begin at a piece continue that of the chunk before."""
+        if len(self.states) > STATES or self.used > (1 << self.slots) // 2:
+            self.clear()
+        at, lengths = bounds[:-1], np.diff(bounds)
+        inside = np.flatnonzero(~first[at])
+        start = np.zeros(len(at), np.int64)
+        if len(inside):
+            start[inside], _ = self.lanes(raw, first, at[inside] - AHEAD, np.full(len(inside), AHEAD), start[inside])
+        ends, total = self.lanes(raw, first, at, lengths, start)
+        if not len(inside):
+            return total
+        maps = [{int(s): (int(e), int(n))} for s, e, n in zip(start, ends, total)]
+        for _ in range(ROUNDS):
+            lacking = [(i, s) for i in inside.tolist() for s in {e for e, _ in maps[i - 1].values()} - maps[i].keys()]
+            if not lacking:
+                break
+            chunk, state = np.array(lacking, np.int64).T
+            for (i, s), e, n in zip(lacking, *self.lanes(raw, first, at[chunk], lengths[chunk], state)):
+                maps[i][s] = (int(e), int(n))
+        # A chunk's function: which entry of its map each entry of the map before leads to; the last column stands for unknown.
+        wide = max(map(len, maps))
+        leads = np.zeros((len(maps), wide + 1), np.int64)
+        for i in inside.tolist():
+            place = {s: k for k, s in enumerate(maps[i])}
+            leads[i] = wide
+            leads[i, : len(maps[i - 1])] = [place.get(e, wide) for e, _ in maps[i - 1].values()]
+        reach = 1
+        while reach < len(maps):  # prefix scan: each round composes with what lies twice as far back
+            leads[reach:] = np.take_along_axis(leads[reach:], leads[:-reach], 1)
+            reach *= 2
+        for i in inside.tolist():
+            entries, k = list(maps[i].values()), int(leads[i, 0])
+            if k < wide:
+                ends[i], total[i] = entries[k]
+            else:  # beyond ROUNDS the true state alone is followed, chunk after chunk
+                state = int(ends[i - 1])
+                if state not in maps[i]:
+                    e, n = self.lanes(raw, first, at[i : i + 1], lengths[i : i + 1], np.array([state]))
+                    maps[i][state] = (int(e[0]), int(n[0]))
+                ends[i], total[i] = maps[i][state]
+        return total
 
     def count(self, texts: list[bytes]) -> np.ndarray:
         """The number of tokens of each text."""
@@ -184,7 +231,11 @@ class Transducer:
             grid = heads // CHUNK
             cut[0], cut[1:] = True, grid[1:] != grid[:-1]
             cut |= np.isin(heads, ends)
-        bounds = np.append(heads[cut], len(raw))
+            size = np.diff(np.append(heads, len(raw)))
+            cut |= size > LONG
+            cut[1:] |= size[:-1] > LONG
+        more = [np.arange(h + CHUNK, h + n - AHEAD, CHUNK) for h, n in zip(heads[size > LONG].tolist(), size[size > LONG].tolist())] if len(heads) else []
+        bounds = np.sort(np.concatenate([heads[cut], *more, [len(raw)]]))
         sums = np.concatenate([[0], np.cumsum(self.run(raw, first, bounds))])
         per = sums[np.searchsorted(bounds, ends[1:])] - sums[np.searchsorted(bounds, ends[:-1])]
         np.add.at(extra, np.asarray(owners, np.int64), per)
