@@ -140,3 +140,20 @@ def beta_share(a: Column, b: Column, x: Column) -> Column:
     first = -(p + q) * y / (p + 1)
     value = F.exp(p * F.log(y) + q * F.log(1 - y) + log_gamma(p + q) - log_gamma(p) - log_gamma(q)) / p / (1 + first / (1 + tail))
     return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(low, value).otherwise(1 - value)
+
+
+def fisher_2x3(x: list[Column], n: list[Column]) -> Column:
+    """Fisher's exact p of two rows x and n - x over three columns: the tables with the same margins that are as rare or rarer, within 1e-7."""
+    given = F.struct(*[c.cast("bigint").alias(k) for k, c in zip(("a", "b", "c", "n1", "n2", "n3"), [*x, *n])])
+
+    def tested(m: Column) -> Column:
+        row = m["a"] + m["b"] + m["c"]
+        ways = lambda k, total: log_gamma(total + 1.0) - log_gamma(k + 1.0) - log_gamma(total - k + 1.0)
+        weight = lambda i, j: ways(i, m["n1"]) + ways(j, m["n2"]) + ways(row - i - j, m["n3"])
+        span = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+        zero = F.lit(0).cast("bigint")
+        every = F.flatten(F.transform(span(zero, F.least(m["n1"], row)), lambda i: F.transform(span(F.greatest(zero, row - i - m["n3"]), F.least(m["n2"], row - i)), lambda j: F.exp(weight(i, j) - weight(m["a"], m["b"])))))
+        sums = F.aggregate(every, F.struct(F.lit(0.0).alias("all"), F.lit(0.0).alias("rare")), lambda s, w: F.struct((s["all"] + w).alias("all"), (s["rare"] + F.when(w <= 1 + 1e-7, w).otherwise(0.0)).alias("rare")))
+        return sums["rare"] / sums["all"]
+
+    return F.get(F.transform(F.array(given), tested), F.lit(0))

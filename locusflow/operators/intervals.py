@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Default bin width; near the median interval length keeps both the copies per interval and the candidates few.
-BIN = 64
+#: Width of the finest bins, and how many times as wide those of the next level are.
+BIN, STEP = 64, 8
+#: Reference bases of a span that one task merges.
+SPAN = 1 << 20
 
 
 def normalised(df: DataFrame, beg: str = "beg", end: str = "end") -> DataFrame:
@@ -18,32 +20,64 @@ def overlap_length(b1: Column, e1: Column, b2: Column, e2: Column) -> Column:
     return F.greatest(F.least(e1, e2) - F.greatest(b1, b2) + 1, F.lit(0))
 
 
-def _binned(df: DataFrame, width: int) -> DataFrame:
-    return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("beg") / width), F.floor(F.col("end") / width))))
+def _level(df: DataFrame, width: int) -> Column:
+    """The finest level whose bins are at least as wide as the interval is long; bins of a level are STEP times as wide as those of the level below."""
+    size = F.greatest(F.col("end") - F.col("beg") + 1, F.lit(1))
+    return F.greatest(F.ceil(F.log(size / F.lit(float(width))) / F.log(F.lit(float(STEP)))), F.lit(0)).cast("int")
+
+
+def _on(level: int):
+    return lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"))
+
+
+def _binned(df: DataFrame, width: int, own: list[int], other: list[int]) -> DataFrame:
+    """A row for each of the few bins that an interval meets on its own level and on the coarser levels that the other side has."""
+    cells = []
+    for level in sorted({*own, *other}):
+        size = width * STEP**level
+        used = (F.col("__level") == level) if level not in other else (F.col("__level") <= level)
+        bins = F.sequence(F.floor(F.col("beg") / size), F.floor(F.col("end") / size))
+        cells.append(F.when(used, F.transform(bins, _on(level))))
+    every = F.flatten(F.filter(F.array(*cells), lambda c: c.isNotNull()))
+    return df.withColumn("__cell", F.explode(every))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN, on: list[str] | None = None) -> DataFrame:
     """All overlapping pairs of (contig, beg, end) intervals, each once: left columns as l_*, right as r_*.
 
-    An equi-join on contig and bin; a pair belongs to the later of the two first bins, so no distinct is needed.
+    An equi-join on contig, level and bin: an interval meets two or three bins of its level however long it is, and a
+    pair meets on the coarser level of its two. A pair belongs to the later of the two first bins, so no distinct is
+    needed. Which levels there are is asked of both sides first, a handful of numbers.
     on: further columns that must be equal.
     """
-    l = _binned(left, width).select("bin", *[F.col(c).alias(f"l_{c}") for c in left.columns])  # noqa: E741
-    r = _binned(right, width).select(F.col("bin").alias("r_bin"), *[F.col(c).alias(f"r_{c}") for c in right.columns])
-    same = (F.col("l_contig") == F.col("r_contig")) & (F.col("bin") == F.col("r_bin"))
+    left, right = left.withColumn("__level", _level(left, width)), right.withColumn("__level", _level(right, width))
+    levels = [[r[0] for r in side.select("__level").distinct().collect()] for side in (left, right)]
+    named = lambda df, p, *sides: _binned(df, width, *sides).select(F.col("__cell.level").alias(f"{p}level"), F.col("__cell.bin").alias(f"{p}bin"), F.col("__level").alias(f"{p}own"), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "__level"])
+    l, r = named(left, "l", levels[0], levels[1]), named(right, "r", levels[1], levels[0])  # noqa: E741
+    same = (F.col("l_contig") == F.col("r_contig")) & (F.col("llevel") == F.col("rlevel")) & (F.col("lbin") == F.col("rbin"))
     for c in on or []:
         same = same & (F.col(f"l_{c}") == F.col(f"r_{c}"))
-    meets = (F.col("l_beg") <= F.col("r_end")) & (F.col("l_end") >= F.col("r_beg"))
-    owner = F.col("bin") == F.greatest(F.floor(F.col("l_beg") / width), F.floor(F.col("r_beg") / width))
-    return l.join(r, same & meets & owner).drop("bin", "r_bin")
+    meets = (F.col("l_beg") <= F.col("r_end")) & (F.col("l_end") >= F.col("r_beg")) & (F.col("llevel") == F.greatest("lown", "rown"))
+    wide = F.lit(width) * F.pow(F.lit(float(STEP)), F.col("llevel")).cast("bigint")
+    owner = F.col("lbin") == F.floor(F.greatest("l_beg", "r_beg") / wide)
+    return l.join(r, same & meets & owner).drop("llevel", "rlevel", "lbin", "rbin", "lown", "rown")
+
 
+def merge(df: DataFrame, span: int = SPAN) -> DataFrame:
+    """Overlapping or touching intervals of a contig as one, with the number merged.
 
-def merge(df: DataFrame) -> DataFrame:
-    """Overlapping or touching intervals of a contig as one, with the number merged."""
-    w = Window.partitionBy("contig").orderBy("beg", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("beg") <= before + 1, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.select("contig", "beg", "end", island.alias("island")).groupBy("contig", "island").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")
+    A contig is cut into spans by where intervals begin. Each span's task needs two numbers from the spans before it:
+    how far their intervals reach, and how many islands they begin; both come from a row for each span.
+    """
+    rows = df.select("contig", "beg", "end").withColumn("part", F.floor(F.col("beg") / span))
+    earlier = Window.partitionBy("contig").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy("contig", "part").agg(F.max("end").alias("far")).withColumn("reach", F.max("far").over(earlier)).drop("far")
+    inside = Window.partitionBy("contig", "part").orderBy("beg", "end")
+    before = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("reach"))  # greatest passes over nulls
+    flagged = rows.join(reach, ["contig", "part"]).withColumn("fresh", F.when(F.col("beg") <= before + 1, 0).otherwise(1))
+    begun = flagged.groupBy("contig", "part").agg(F.sum("fresh").alias("n")).withColumn("begun", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    island = F.col("begun") + F.sum("fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return flagged.join(begun, ["contig", "part"]).select("contig", "beg", "end", island.alias("island")).groupBy("contig", "island").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, keep: bool = True, width: int = BIN) -> DataFrame:

@@ -90,3 +90,14 @@ def samples_kept(calls: Column, names: list[str], wanted: list[str], invert: boo
     if unknown := [w for w in wanted if w not in names]:
         raise ValueError(f"no such samples: {unknown}")
     return F.array(*[F.get(calls, F.lit(i)) for i, n in enumerate(names) if (n in wanted) != invert])
+
+
+def spanned(df: DataFrame, mode: str) -> DataFrame:
+    """df with beg and end of a record: its position alone ("pos"), its REF ("record"), or what is left of REF behind what all ALTs begin with alike ("variant").
+
+    In the last an insertion lies between two bases: it begins behind its end, and only a region that holds both meets it.
+    """
+    pos, last = F.col("pos").cast("bigint"), (F.col("pos") + F.length("ref") - 1).cast("bigint")
+    alike = F.array_min(F.transform("alts", lambda a: alleles.common_prefix(F.col("ref"), a)))
+    beg, end = {"pos": (pos, pos), "record": (pos, last), "variant": (pos + F.coalesce(alike, F.lit(0)), last)}[mode]
+    return df.withColumn("beg", beg).withColumn("end", end)

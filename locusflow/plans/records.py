@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from locusflow.functions import stats
+from locusflow.functions import published, stats
+from locusflow.operators import intervals as iv
 from locusflow.operators import observe, reads, variants
 from locusflow.plans import views as v
 from locusflow.plans.views import READS, VARIANTS
+from locusflow.sources import text as text_source
 
 QUERIES, ORACLE = {}, {}
 
@@ -150,3 +152,55 @@ def gamma_tails(spark, sf):
 @query("contigs_by_length", f"WITH {READS} SELECT contig, CAST(max(pos) AS BIGINT) AS length FROM reads GROUP BY contig HAVING max(pos) >= 100")
 def contigs_by_length(spark, sf):
     return v.reads(spark, sf).groupBy("contig").agg(F.max("pos").cast("bigint").alias("length")).where("length >= 100")
+
+
+SPANS = {
+    "pos": "pos AS beg, pos AS e", "record": "pos AS beg, pos + length(ref) - 1 AS e",
+    "variant": "pos + list_min(list_transform(alts, lambda a: len(list_filter(range(1, least(length(ref), length(a)) + 1), lambda k: left(ref, k) = left(a, k))))) AS beg, pos + length(ref) - 1 AS e",
+}
+REGIONS = """regions AS (SELECT 'c' || CAST(c_custkey % 5 AS VARCHAR) AS contig, CAST(c_custkey % 97 AS BIGINT) * 3 + 1 AS beg, CAST(c_custkey % 97 AS BIGINT) * 3 + 1 + c_custkey % 2 AS "end" FROM customer WHERE c_custkey % 97 % 2 = c_custkey % 5 % 2)"""
+
+
+def regions(spark, sf):
+    """Regions of one or two bases with gaps between them; customers that don't name one are those without a region."""
+    k = F.col("c_custkey")
+    beg = (k % 97).cast("bigint") * 3 + 1
+    return v.table(spark, sf, "customer").where(k % 97 % 2 == k % 5 % 2).select(F.concat(F.lit("c"), (k % 5).cast("string")).alias("contig"), beg.alias("beg"), (beg + k % 2).alias("end"))
+
+
+for _mode, _sql in SPANS.items():
+    query(f"records_in_regions_{_mode}", f'WITH {VARIANTS}, {REGIONS}, spans AS (SELECT key, contig, pos, {_sql} FROM variants) SELECT key, contig, pos FROM spans s WHERE EXISTS (SELECT 1 FROM regions r WHERE r.contig = s.contig AND r.beg <= s.e AND r."end" >= s.beg)')(
+        lambda spark, sf, mode=_mode: iv.overlapping(variants.spanned(v.variants(spark, sf), mode), regions(spark, sf), "key").select("key", "contig", "pos")
+    )
+
+
+@query(
+    "site_table",
+    """WITH t AS (SELECT 'c' || p_partkey % 5 AS contig, p_partkey AS pos, unnest(CASE WHEN p_partkey % 3 = 0 THEN ['A', 'G'] ELSE ['T'] END) AS alt, unnest(range(CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END)) AS i, p_size AS a, p_partkey % 7 AS b, p_partkey % 4 AS c, p_partkey % 3 = 0 AS two FROM part WHERE p_partkey % 10 <> 0)
+ SELECT contig, pos, alt, CASE WHEN i = 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS freq, a::BIGINT AS central_ref, CASE WHEN i = 0 THEN b ELSE c END::BIGINT AS central_alt, round(b / (a + b + CASE WHEN two THEN c ELSE 0 END), 5) AS central_af, b::BIGINT AS north_ref, c::BIGINT AS north_alt, CASE WHEN b + c * CASE WHEN two THEN 2 ELSE 1 END > 0 THEN round(c / (b + c * CASE WHEN two THEN 2 ELSE 1 END), 5) END AS north_af,
+ c::BIGINT AS south_ref, CASE WHEN i = 0 THEN a ELSE b END::BIGINT AS south_alt, round(a / (a + c + CASE WHEN two THEN b ELSE 0 END), 5) AS south_af FROM t""",
+)
+def site_table(spark, sf):
+    """Lines of nine fields made from part, some of them cut short, read back by region."""
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    two = k % 3 == 0
+    a, b, c = text(F.col("p_size")), F.concat(text(k % 7), F.lit(".9")), text(k % 4)
+    depths = lambda x, y, z: F.when(two, F.concat_ws(":", x, y, z)).otherwise(F.concat_ws(":", x, y))
+    line = F.concat_ws("\t", F.concat(F.lit("c"), text(k % 5)), text(k), F.lit("C"), F.when(two, "a,g").otherwise("t"), F.when(two, "0.25,0.5").otherwise("0.25"), depths(a, b, c), depths(b, c, c), depths(c, a, b), F.when(k % 10 != 0, "x"))
+    return text_source.site_table(v.table(spark, sf, "part").select(line.alias("value")))
+
+
+@query("regional_fisher", """WITH t AS (SELECT DISTINCT l_linenumber AS a, l_quantity::INT % 5 AS b, l_orderkey % 4 AS c FROM lineitem), m AS (SELECT *, a + b + c AS r, 9 AS n1, 8 AS n2, 7 AS n3 FROM t), w AS (SELECT *, lgamma(n1 + 1) + lgamma(n2 + 1) + lgamma(n3 + 1) AS k FROM m),
+ each_table AS (SELECT w.*, i.i, j.j FROM w, range(0, 10) i(i), range(0, 9) j(j) WHERE i.i + j.j <= r AND r - i.i - j.j <= n3), p AS (SELECT a, b, c, exp(k - lgamma(i + 1) - lgamma(n1 - i + 1) - lgamma(j + 1) - lgamma(n2 - j + 1) - lgamma(r - i - j + 1) - lgamma(n3 - r + i + j + 1)) AS x, exp(k - lgamma(a + 1) - lgamma(n1 - a + 1) - lgamma(b + 1) - lgamma(n2 - b + 1) - lgamma(c + 1) - lgamma(n3 - c + 1)) AS own FROM each_table)
+ SELECT a, b, c, round(sum(CASE WHEN x <= own * (1 + 1e-7) THEN x ELSE 0 END) / sum(x), 8) AS p FROM p GROUP BY a, b, c""")
+def regional_fisher(spark, sf):
+    """Depths of an allele in three regions of 9, 8 and 7 samples, for every combination that the line items have."""
+    t = v.table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("a"), (F.col("l_quantity").cast("int") % 5).alias("b"), (F.col("l_orderkey") % 4).alias("c")).distinct()
+    return t.withColumn("p", F.round(stats.fisher_2x3([F.col("a"), F.col("b"), F.col("c")], [F.lit(9), F.lit(8), F.lit(7)]), 8))
+
+
+@query("published_functions", f"WITH {READS} SELECT qname, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand, flag & 1024 <> 0 AS dup, CAST(m + 15 + d AS INT) AS ref_length, CAST(s + m + i + 15 AS INT) AS query_length, round(exp(-mapq * ln(10) / 10), 8) AS error FROM reads")
+def published_functions(spark, sf):
+    """Functions that a session's SQL can call once they are registered."""
+    published.register(spark)
+    return spark.sql("SELECT qname, strand_of(flag) AS strand, has_flag(flag, 1024) AS dup, reference_length(cigar) AS ref_length, query_length(cigar) AS query_length, round(error_of(mapq), 8) AS error FROM {reads}", reads=v.reads(spark, sf))

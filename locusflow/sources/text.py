@@ -90,12 +90,19 @@ def vcf_header(text: str) -> dict:
     return out
 
 
+# Places of contig, begin and end in a line, and what begins are short of counting from 1.
+PRESETS = {"gff": (0, 3, 4, 0), "psltbl": (14, 16, 17, 1), "sam": (2, 3, None, 0)}
+
+
 def regions(spark: SparkSession, path: str, form: str = "tab") -> DataFrame:
-    """contig, beg, end (closed, from 1) of bed, tab, reg (one region text per line) or vcf files; comments are left out."""
+    """contig, beg, end (closed, from 1) of bed, tab, reg (one region text per line), vcf, gff, psltbl or sam files; comments are left out."""
     rows = lines(spark, path).where(~F.col("value").rlike(r"^\s*(#|$)"))
     p = F.split(F.trim("value"), r"\s+")
     if form == "bed":
         beg, end = _column(p, 1).cast("bigint") + 1, _column(p, 2).cast("bigint")
+    elif form in PRESETS:
+        contig, b, e, shift = PRESETS[form]
+        return rows.where("NOT startswith(value, '@')").select(_column(p, contig).alias("contig"), (_column(p, b).cast("bigint") + shift).alias("beg"), (_column(p, e).cast("bigint") if e is not None else cg.end_of(_column(p, b).cast("bigint"), cg.blocks(_column(p, 5)))).alias("end"))
     elif form == "vcf":
         beg, end = _column(p, 1).cast("bigint"), _column(p, 1).cast("bigint") + F.length(_column(p, 3)) - 1
     elif form == "reg":
@@ -135,3 +142,22 @@ def first_column(spark: SparkSession, path: str) -> DataFrame:
 def fai(spark: SparkSession, path: str, contigs: list[str] | None = None) -> DataFrame:
     rows = spark.read.csv(path, sep="\t", schema="contig string, length bigint, offset bigint, line_bases int, line_width int")
     return rows.where(F.col("contig").isin(contigs)) if contigs else rows
+
+
+def site_table(rows: DataFrame, value: str = "value") -> DataFrame:
+    """Lines of contig, pos, ref, ALTs, frequencies and three regions' depths (reference first), as a row for each ALT.
+
+    Lines of other than nine fields, and comments, are left out. A region's share is that of the first ALT's depth, whichever ALT the row
+    has, to five places; null where the region has no depth.
+    """
+    p = F.split(F.trim(value), r"\s+")
+    ok = rows.where((F.size(p) == 9) & ~F.startswith(F.col(value), F.lit("#")))
+    whole = lambda i: F.transform(F.split(_column(p, i), ":"), lambda x: x.cast("double").cast("bigint"))
+    names = ("central", "north", "south")
+    each = ok.select(_column(p, 0).alias("contig"), _column(p, 1).cast("bigint").alias("pos"), F.split(_column(p, 4), ",").alias("freqs"), *[whole(5 + i).alias(n) for i, n in enumerate(names)], F.posexplode(F.split(_column(p, 3), ",")).alias("i", "alt"))
+
+    def region(n: str) -> list[Column]:
+        total = F.aggregate(n, F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return [F.get(n, F.lit(0)).alias(f"{n}_ref"), F.get(n, F.col("i") + 1).alias(f"{n}_alt"), F.when(total > 0, F.round(F.get(n, F.lit(1)) / total, 5)).alias(f"{n}_af")]
+
+    return each.select("contig", "pos", F.upper("alt").alias("alt"), F.get("freqs", F.col("i")).cast("double").alias("freq"), *[c for n in names for c in region(n)])
