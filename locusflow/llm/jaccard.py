@@ -13,12 +13,12 @@ piece of one set meets the same piece of the other and counts its own overlap, a
 Groups aren't expanded into pairs. A task joins the members of a group that it holds itself to their most central
 one, the one with the fewest rarer grams; those central ones alone meet in the group's own task, which joins them in
 the same way, so that a group of any size sends at most a few rows per task. Of these proposals a set keeps the
-one that most of its groups make. The components of the links found tell which groups are settled: all members in one
-component. Only where a group spans several components are pairs across them formed, by length and place of the
-shared gram, large groups in cells of two blocks of members. Bit maps of the sets turn most of these away before they
-are verified in a second round: a bit says whether an odd number of a set's grams falls on it, so that two sets differ
-by at least as many grams as their maps differ by bits. So no link between components is missed, and a large group of
-near copies costs one pair per copy.
+one that most of its groups make, and in large groups a few more, drawn by hashes. The components of the links found
+tell which groups are settled: all members in one component. Only where a group spans several components are pairs
+across them formed, by length and place of the shared gram, large groups in cells of two blocks of members, and verified
+in a second round. Bit maps of the sets turn most pairs away before either round: a bit says whether an odd number of
+a set's grams falls on it, so that two sets differ by at least as many grams as their maps differ by bits. So no link
+between components is missed, and a large group of near copies costs a few pairs per copy.
 
 Of a round's texts only those of documents in its pairs are exchanged. Verification compares 48 bits of a gram's hash.
 
@@ -54,8 +54,8 @@ FILTER_BITS = 1 << 26
 KEPT = 6
 #: Bits of the maps that turn pairs away where they meet.
 MAP_BITS = 1024
-#: Sets of other components that a set of an unsettled group is compared with before all pairs across are.
-TRIES = 3
+#: Sets that a set of a large group is compared with besides its hub, and the members from which a group is large.
+TRIES, MANY = 3, 8
 #: Rows of a group whose pairs are looked at one by one where it is formed.
 SMALL = 16
 #: Members of a group of several components that are compared in one cell, from either side.
@@ -441,14 +441,14 @@ def _placed(members: DataFrame, classes: DataFrame) -> DataFrame:
     return out
 
 
-def _drawn(members: DataFrame, tries: int = TRIES) -> DataFrame:
-    """For each member up to ``tries`` sets of other components: what hashes with as many seeds put first in a group, and most groups of the member so."""
-    first = [F.min_by(F.struct("sig", "n", "component"), F.xxhash64("sig", F.lit(seed))) for seed in range(tries)]
-    drawn = members.groupBy("gram").agg(F.array(*[F.struct(F.lit(seed).alias("seed"), x.alias("hub")) for seed, x in enumerate(first)]).alias("drawn"))
-    other = F.filter("drawn", lambda d: (d["hub"]["component"] != F.col("component")) & (F.ceil(F.greatest(d["hub"]["n"], F.col("n")) * PART / WHOLE) <= F.least(d["hub"]["n"], F.col("n"))))
-    met = members.join(drawn, "gram").select("sig", "n", F.explode(other).alias("d")).groupBy("sig", "n", "d.seed", "d.hub").count()
-    best = met.groupBy("sig", "n", "seed").agg(F.max_by("hub", F.struct("count", "hub.sig")).alias("hub"))
-    return _ordered(best.select(*[F.col(c).alias(name) for c, name in zip(("sig", "n", "hub.sig", "hub.n"), PAIR)])).distinct()
+def _drawn(groups: DataFrame, tries: int = TRIES) -> DataFrame:
+    """For each set in groups of MANY or more up to ``tries`` others: what hashes with as many seeds put first in a group, and most groups of the set so."""
+    first = [F.min_by(F.struct("sig", "n"), F.xxhash64("sig", F.lit(seed))) for seed in range(tries)]
+    drawn = groups.groupBy("gram").agg(F.count("*").alias("members"), F.array(*[F.struct(F.lit(seed).alias("seed"), x.alias("hub")) for seed, x in enumerate(first)]).alias("drawn")).where(F.col("members") >= MANY)
+    need = F.ceil(F.greatest(F.col("d.hub.n"), F.col("n")) * PART / WHOLE)
+    met = groups.join(drawn.select("gram", "drawn"), "gram").select("sig", "n", F.explode("drawn").alias("d")).where((F.col("d.hub.sig") != F.col("sig")) & (need <= F.least("d.hub.n", "n")))
+    best = met.groupBy("sig", "n", "d.seed", "d.hub").count().groupBy("sig", "n", "seed").agg(F.max_by("hub", F.struct("count", "hub.sig")).alias("hub"))
+    return best.select(*[F.col(c).cast("bigint").alias(name) for c, name in zip(("sig", "n", "hub.sig", "hub.n"), PAIR)])
 
 
 def _unsettled(members: DataFrame, maps: DataFrame, parts: int) -> DataFrame:
@@ -484,11 +484,6 @@ def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return pairs.join(side("a"), ["a", "n_a"]).join(side("b"), ["b", "n_b"]).mapInArrow(_possible_rows, "a bigint, n_a bigint, b bigint, n_b bigint")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    a, b = F.struct(F.col("a").alias("x"), F.col("n_a").alias("n")), F.struct(F.col("b").alias("x"), F.col("n_b").alias("n"))
-    return pairs.select(F.greatest(a, b).alias("p"), F.least(a, b).alias("q")).select(*[F.col(c).alias(n) for c, n in zip(("p.x", "p.n", "q.x", "q.n"), PAIR)])
-
-
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
     """(doc, n) of every row, and (node, component) of the documents with links."""
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
@@ -505,42 +500,33 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fragment
     least: Column = F.ceil((F.col("n") + F.col("hub_n")) * PART / (PART + WHOLE)) - F.greatest(need("n"), need("hub_n")) + 1
     votes = groups.where("hub is not null and hub != sig").groupBy("sig", "n", "hub", "hub_n").count().where(2 * F.col("count") >= least)
     best = votes.groupBy("sig", "n").agg(F.max_by(F.struct("hub", "hub_n"), F.struct("count", "hub")).alias("best"))
-    tried = written(best.select(*[F.col(c).cast("bigint").alias(name) for c, name in zip(("sig", "n", "best.hub", "best.hub_n"), PAIR)]), "tried")
+    best = best.select(*[F.col(c).cast("bigint").alias(name) for c, name in zip(("sig", "n", "best.hub", "best.hub_n"), PAIR)])
+    grouped = groups.select("sig", F.col("n").cast("bigint").alias("n")).distinct()
+    maps = written(first.where("bits is not null").select("sig", "n", "bits").join(grouped, ["sig", "n"]).groupBy("sig", "n").agg(F.any_value("bits").alias("bits")), "maps")
 
     def in_documents(pairs: DataFrame) -> DataFrame:
         ends = [firsts.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("doc").alias(f"doc_{x}")) for x in "ab"]
         return pairs.join(ends[0], ["a", "n_a"]).join(ends[1], ["b", "n_b"]).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
-    pieces = _cut(rows, tried, firsts, order)
-    links = written(in_documents(verified(tried, pieces, fragments)).union(same), "links")
-    forget(pieces)
-    forget(tried)
-    found = components(links)
-    maps = first.where("bits is not null").select("sig", "n", "bits")
-
-    def classes(found: DataFrame) -> DataFrame:
-        return firsts.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "n", F.coalesce("component", "doc").alias("component"))
-
-    def more(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        """found with the links among pairs, a written table that goes."""
+    def joined(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """The components of the links among pairs and of those known, a written table."""
+        pairs = written(_possible(pairs, maps), "pairs")
         pieces = _cut(rows, pairs, firsts, order)
-        links = written(in_documents(verified(pairs, pieces, fragments)).union(found.select("node", "component")), "links")
-        forget(pieces, pairs, found)
+        links = written(in_documents(verified(pairs, pieces, fragments)).union(known), "links")
+        forget(pieces, pairs)
         out = components(links)
         forget(links)
         return out
 
-    members = _placed(groups, classes(found))
-    forget(groups, links)
-    ends = members.select("sig", "n").distinct()
-    maps = written(maps.join(ends, ["sig", "n"]).groupBy("sig", "n").agg(F.any_value("bits").alias("bits")), "maps")
-    found = more(written(_possible(_drawn(members), maps), "drawn"), found)
-    left = _placed(members, classes(found))
+    found = joined(best.union(_drawn(groups)).distinct(), same)
+    classes = firsts.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "n", F.coalesce("component", "doc").alias("component"))
+    members = _placed(groups, classes)
+    forget(groups)
+    across = written(_unsettled(members, maps, n), "across")
     forget(members)
-    across = written(_unsettled(left, maps, n), "across")
-    rest = written(_possible(across, maps), "rest")
-    forget(left, maps, across)
-    return sizes.select("doc", "n"), more(rest, found)
+    whole = joined(across, found.select("node", "component"))
+    forget(across, maps, found)
+    return sizes.select("doc", "n"), whole
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
