@@ -141,13 +141,14 @@ class Bits:
     """The bits of one restart interval."""
 
     def __init__(self, data: bytes):
-        self.data, self.n, self.at = int.from_bytes(data, "big"), 8 * len(data), 0
+        self.data, self.at = data, 0
 
     def take(self, k: int) -> int:
-        self.at += k
-        if self.at > self.n:
-            return (self.data << (self.at - self.n)) & ((1 << k) - 1)
-        return self.data >> (self.n - self.at) & ((1 << k) - 1)
+        """The next k bits; zeros stand behind the end."""
+        first, self.at = self.at >> 3, self.at + k
+        size = ((self.at + 7) >> 3) - first
+        held = int.from_bytes(self.data[first : first + size].ljust(size, b"\0"), "big")
+        return held >> (-self.at & 7) & ((1 << k) - 1)
 
     def symbol(self, table: dict) -> int:
         code, width = 0, 0

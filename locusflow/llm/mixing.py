@@ -118,7 +118,9 @@ def mix(docs: DataFrame, carry: list[str], text: str = "text", source: str = "so
     largest = goals.agg(F.max("n")).first()[0] or 0
     mixed = written(joined, "mixed")
     rounded = round_pivotally(mixed.where(open_).select("source", "n", "key", F.col("size").cast("double").alias("a"), "p"), largest, seed)
-    done = mixed.join(rounded.select("key", F.col("copies").alias("extra")), "key", "left")
+    # A hash of 64 bits identifies a row within its source.
+    extra = rounded.select(F.col("source").alias("__of"), F.col("key").alias("__key"), F.col("copies").alias("extra"))
+    done = mixed.join(extra, (mixed["key"] == extra["__key"]) & mixed["source"].eqNullSafe(extra["__of"]), "left").drop("__of", "__key")
     copies = F.when(F.col("size") > 0, (F.col("base") + F.coalesce("extra", F.lit(0.0))).cast("long")).otherwise(F.lit(0).cast("long"))
     done = done.withColumn("copies", copies)
     return done.select(*[F.col(x).alias(c) for x, c in zip(carried, carry)], "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
