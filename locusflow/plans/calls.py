@@ -159,9 +159,10 @@ def json_values(spark, sf):
 
 @query("contig_order", f"WITH {OBS} SELECT contig, pos, depth, row_number() OVER (ORDER BY contig DESC, pos) AS nth FROM (SELECT contig, pos, count(*) AS depth FROM obs GROUP BY contig, pos)")
 def contig_order(spark, sf):
-    """Sites in the order of a contig table (here c4 to c0): running numbers by range of contig, without one global task per row order."""
-    sites = v.obs(spark, sf).groupBy("contig", "pos").agg(F.count("*").alias("depth"))
-    per = sites.groupBy("contig").agg(F.count("*").alias("n"))
-    ahead = per.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("contig")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    nth = F.row_number().over(Window.partitionBy("contig").orderBy("pos"))
-    return sites.join(ahead, "contig").select("contig", "pos", "depth", (F.col("ahead") + nth).alias("nth"))
+    """Sites in the order of a contig table (here c4 to c0): numbers inside a span of a contig, and the spans' counts before it."""
+    sites = v.obs(spark, sf).groupBy("contig", "pos").agg(F.count("*").alias("depth")).withColumn("part", F.floor(F.col("pos") / iv.SPAN))
+    per = sites.groupBy("contig", "part").agg(F.count("*").alias("n"))
+    before = Window.orderBy(F.desc("contig"), "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    ahead = per.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    nth = F.row_number().over(Window.partitionBy("contig", "part").orderBy("pos"))
+    return sites.join(ahead, ["contig", "part"]).select("contig", "pos", "depth", (F.col("ahead") + nth).alias("nth"))
