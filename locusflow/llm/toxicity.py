@@ -5,8 +5,9 @@ documents. The toxic one holds the stretches of toxic documents that set them ap
 toxic text, in many surroundings, far more often than in ordinary text, grown to the left and right as long as most of
 their occurrences go on alike, the most frequent first. Behind them it ends as the ordinary one does, so that common
 text costs the same in both and lengths differ by what is special alone: with a toxic dictionary trained as the
-ordinary one is, the chance differences of common text hide the few toxic words of a window (AUC 0.64 to 0.77 on the
-held-out fold at sf0.1, against 0.95).
+ordinary one is, the chance differences of common text hide the few toxic words of a window. On the
+held-out fold at sf0.1, learned from all other labelled documents, with the same windows and search, the AUC is 0.74
+and 0.66 for dictionaries of 4 and 16 KB trained alike, and 0.97 for these.
 
 Every window of WINDOW words is compressed with either dictionary. The bytes that the toxic one saves, as the largest,
 the mean of the three largest, mean, deviation, and how often they reach each of some bounds, go through logistic
