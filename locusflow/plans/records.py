@@ -24,16 +24,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: What orders the reads of a sample.
+ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax"]
+
+
 def sequenced(spark, sf):
     """The alignments of ``views.reads`` with bases, qualities, sample and order."""
-    line = v.table(spark, sf, "lineitem").select(
-        F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("qname"), F.col("l_suppkey").cast("int").alias("sample_idx"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("nth"), "l_partkey", (F.col("l_linenumber") + F.col("l_quantity").cast("int") + 1 + F.col("l_linenumber") % 2 + 15).cast("int").alias("n"),
-    )
-    seq = F.substring(F.repeat(F.lit("ACGT"), F.lit(40)), (1 + F.col("l_partkey") % 4).cast("int"), F.col("n"))
-    qual = F.substring(F.repeat(F.lit("".join(chr(53 + i) for i in range(20))), F.lit(8)), F.lit(1), F.col("n"))
-    # One line item is one alignment; its name identifies it.
-    return v.reads(spark, sf).join(line, "qname").select("qname", "contig", "pos", "cigar", "mapq", "flag", "sample_idx", "nth", seq.alias("seq"), qual.alias("qual"))
+    n = (F.col("l_linenumber") + F.col("l_quantity").cast("int") + 1 + F.col("l_linenumber") % 2 + 15).cast("int")
+    seq = F.substring(F.repeat(F.lit("ACGT"), F.lit(40)), (1 + F.col("l_partkey") % 4).cast("int"), n)
+    qual = F.substring(F.repeat(F.lit("".join(chr(53 + i) for i in range(20))), F.lit(8)), F.lit(1), n)
+    rows = v.reads(spark, sf, "l_suppkey", "l_partkey", "l_quantity", *ORDER)
+    return rows.select("qname", "contig", "pos", "cigar", "mapq", "flag", F.col("l_suppkey").cast("int").alias("sample_idx"), F.struct(*ORDER).alias("nth"), seq.alias("seq"), qual.alias("qual"))
 
 
 def reference(spark, sf, chunk=1024):
@@ -43,18 +44,18 @@ def reference(spark, sf, chunk=1024):
     return per.select("contig", F.explode(F.sequence(F.lit(1).cast("bigint"), "n", F.lit(chunk).cast("bigint"))).alias("start")).withColumn("seq", F.repeat(F.lit("CGTA"), F.lit(chunk // 4)))
 
 
-SAID = """base_at AS (SELECT *, CAST(floor((20 * (s + m + i + 15) + list_sum(list_transform(range(s + m + i + 15), lambda q: q % 20))) / (s + m + i + 15)) AS INT) AS mean FROM reads JOIN
- (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS qname, l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_partkey FROM lineitem) USING (qname) WHERE mapq >= 10 AND NOT (flag & 1024 <> 0 AND flag & 4 = 0) AND NOT (flag & 512 <> 0 AND flag & 4 = 0)),
+WIDE = READS.replace(" FROM lineitem)", ", l_suppkey, l_partkey, l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_discount, l_tax FROM lineitem)")
+SAID = """base_at AS (SELECT *, CAST(floor((20 * (s + m + i + 15) + list_sum(list_transform(range(s + m + i + 15), lambda q: q % 20))) / (s + m + i + 15)) AS INT) AS mean FROM reads WHERE mapq >= 10 AND NOT (flag & 1024 <> 0 AND flag & 4 = 0) AND NOT (flag & 512 <> 0 AND flag & 4 = 0)),
  said AS (SELECT *, pos + k AS p, s + k AS q, k AS o, 'M' AS kind FROM (SELECT *, unnest(range(m)) AS k FROM base_at) UNION ALL SELECT *, 0, pos + m - 1, s + m, m, 'I' FROM base_at
  UNION ALL SELECT *, pos + m + k, s + m + i + k, m + 1 + k, 'M' FROM (SELECT *, unnest(range(10)) AS k FROM base_at) UNION ALL SELECT *, 0, pos + m + 9, s + m + i + 10, m + 11, 'D' FROM base_at
  UNION ALL SELECT *, pos + m + 10 + d + k, s + m + i + 10 + k, m + 12 + k, 'M' FROM (SELECT *, unnest(range(5)) AS k FROM base_at)),
- won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contig, p, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, o) AS rn FROM said) WHERE rn = 1)"""
+ won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contig, p, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_discount, l_tax, o) AS rn FROM said) WHERE rn = 1)"""
 _AT = "substr(repeat('ACGT', 50), CAST({} AS INT), CAST({} AS INT))"
 
 
 @query(
     "read_observations",
-    f"""WITH {READS}, {SAID} SELECT contig, CAST(p AS INT) AS pos, CAST(l_suppkey AS INT) AS sample_idx, CASE kind WHEN 'M' THEN {_AT.format("1 + (l_partkey + q) % 4", 1)} WHEN 'I' THEN '+' || {_AT.format("1 + p % 4", 1)} || {_AT.format("1 + (l_partkey + q) % 4", "i")}
+    f"""WITH {WIDE}, {SAID} SELECT contig, CAST(p AS INT) AS pos, CAST(l_suppkey AS INT) AS sample_idx, CASE kind WHEN 'M' THEN {_AT.format("1 + (l_partkey + q) % 4", 1)} WHEN 'I' THEN '+' || {_AT.format("1 + p % 4", 1)} || {_AT.format("1 + (l_partkey + q) % 4", "i")}
  ELSE '-' || {_AT.format("1 + p % 4", "1 + d")} END AS base, CAST(CASE kind WHEN 'M' THEN 20 + q % 20 ELSE mean END AS INT) AS qual, mapq, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand, CAST(q + 1 AS INT) AS rank, {_AT.format("1 + p % 4", 1)} AS ref_base FROM won""",
 )
 def read_observations(spark, sf):

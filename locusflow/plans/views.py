@@ -37,8 +37,8 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_wins(passing(obs_raw(spark, sf_dir), 10), ["contig", "pos", "sample_idx"], "ord").drop("ord")
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One alignment per line item with a CIGAR of six or seven operations."""
+def reads(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """One alignment per line item with a CIGAR of six or seven operations, and more columns of the line item."""
     text = lambda c: c.cast("string")
     cigar = F.concat(
         text(F.col("l_linenumber")), F.lit("S"), text(F.col("l_quantity").cast("int")), F.lit("M"), text(1 + F.col("l_linenumber") % 2), F.lit("I10M"), text(1 + F.col("l_orderkey") % 3), F.lit("D5M")
@@ -50,6 +50,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         cigar.alias("cigar"),
         (F.round(F.col("l_discount") * 100).cast("int") * 6).alias("mapq"),
         (F.col("l_linenumber") + F.when(F.col("l_linestatus") == "O", 16).otherwise(0) + F.when(F.col("l_tax") > 0.07, 1024).otherwise(0)).cast("int").alias("flag"),
+        *more,
     )
 
 
