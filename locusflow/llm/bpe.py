@@ -143,9 +143,10 @@ def load(content: bytes, pattern: str) -> Vocabulary:
     return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}, pattern)
 
 
-def _mapped(docs: DataFrame, vocabulary: str, pattern: str, source: str, name: str, make) -> DataFrame:
-    if name in docs.columns:
-        raise ValueError(f"column {name} exists already")
+def _mapped(docs: DataFrame, vocabulary: str, pattern: str, source: str, names: list[str], make) -> DataFrame:
+    """docs with binary columns; make turns a vocabulary and some values of source into their values."""
+    if clash := set(names) & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} exist already")
     with open(vocabulary, "rb") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -158,20 +159,30 @@ def _mapped(docs: DataFrame, vocabulary: str, pattern: str, source: str, name: s
                 size += len(held[-1] or "")
                 if size >= BATCH_BYTES or i + 1 == batch.num_rows:
                     part = batch.slice(start, i + 1 - start)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(make(words, held), pa.binary())], names=[*part.schema.names, name])
+                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.binary()) for x in make(words, held))], names=[*part.schema.names, *names])
                     start, held, size = i + 1, [], 0
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.BinaryType()) for n in names)]))
 
 
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with ids, the tokens of the text as little-endian unsigned 32-bit integers. The file's content is broadcast (about 1 MB)."""
-    return _mapped(docs, vocabulary, pattern, text, ids, lambda words, held: words.ids([t or "" for t in held]))
+    return _mapped(docs, vocabulary, pattern, text, [ids], lambda words, held: [words.ids([t or "" for t in held])])
 
 
 def decoded(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", raw: str = "decoded") -> DataFrame:
     """docs with decoded, the bytes of the ids; a null for null ids."""
-    return _mapped(docs, vocabulary, pattern, ids, raw, lambda words, held: [None if x is None else words.decode(x) for x in held])
+    return _mapped(docs, vocabulary, pattern, ids, [raw], lambda words, held: [[None if x is None else words.decode(x) for x in held]])
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", raw: str = "decoded") -> DataFrame:
+    """docs with ids and what they decode to, in one Python worker a task."""
+
+    def make(words: Vocabulary, held: list[str | None]) -> list[list[bytes]]:
+        made = words.ids([t or "" for t in held])
+        return [made, [words.decode(x) for x in made]]
+
+    return _mapped(docs, vocabulary, pattern, text, [ids, raw], make)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -57,6 +57,11 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(BATCH) if held is None else spark.conf.set(BATCH, held)
 
 
+def bounded(spark: SparkSession) -> None:
+    """The same for the rest of the session."""
+    spark.conf.set(BATCH, BATCH_BYTES)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and nothing is computed twice.
 
