@@ -9,22 +9,22 @@ from locusflow.operators import caller
 from locusflow.operators.pileup import BASES, SITE
 from locusflow.sources import sinks
 
-# The fields of the variant file.
-FILTERS = [("LowQual", "Low quality (QUAL < 60)")]
-FORMATS = [("GT", "Genotype"), ("AB", "Allele Base"), ("SO", "Strand orientation of the mapping base. Marked as + or -"), ("BP", "Base Probability which calculate by base quality")]
+# The names, numbers and types of the variant file's fields. The descriptions are this package's own.
+FILTERS = [("LowQual", "The quality is too low")]
+FORMATS = [("GT", "Genotype: 0/. for REF, ./i for the i-th ALT"), ("AB", "Observed base"), ("SO", "Strand of the read, + or -"), ("BP", "Chance that the base is right, from its quality")]
 INFOS = [
-    ("CM_AF", "A", "Float", "An ordered, comma delimited list of allele frequencies base on LRT algorithm"),
-    ("CM_CAF", "A", "Float", "An ordered, comma delimited list of allele frequencies just base on read count"),
-    ("CM_AC", "A", "Integer", "An ordered, comma delimited allele depth in CMDB"),
-    ("CM_DP", "A", "Integer", "Total Depth in CMDB"),
-    ("SB_REF", "A", "Integer", "Read number support REF: Forward,Reverse"),
-    ("SB_ALT", "A", "Integer", "Read number support ALT: Forward,Reverse"),
-    ("FS", "1", "Float", "Phred-scaled p-value using Fisher's exact test to detect strand bias"),
-    ("BaseQRankSum", "1", "Float", "Phred-score from Wilcoxon rank sum test of Alt Vs. Ref base qualities"),
-    ("SOR", "1", "Float", "Symmetric Odds Ratio of 2x2 contingency table to detect strand bias"),
-    ("MQRankSum", "1", "Float", "Phred-score From Wilcoxon rank sum test of Alt vs. Ref read mapping qualities"),
-    ("ReadPosRankSum", "1", "Float", "Phred-score from Wilcoxon rank sum test of Alt vs. Ref read position bias"),
-    ("QD", "1", "Float", "Variant Confidence Quality by Depth"),
+    ("CM_AF", "A", "Float", "Frequency of each ALT by expectation-maximisation"),
+    ("CM_CAF", "A", "Float", "Share of each ALT among the observations"),
+    ("CM_AC", "A", "Integer", "Observations of each ALT"),
+    ("CM_DP", "A", "Integer", "Observations of the position"),
+    ("SB_REF", "A", "Integer", "Observations of REF on the forward and the reverse strand"),
+    ("SB_ALT", "A", "Integer", "Observations of the ALTs on the forward and the reverse strand"),
+    ("FS", "1", "Float", "Strand bias: phred-scaled p of Fisher's exact test"),
+    ("BaseQRankSum", "1", "Float", "Phred-scaled p of the rank-sum test of base qualities, REF against ALTs"),
+    ("SOR", "1", "Float", "Strand bias: odds ratio"),
+    ("MQRankSum", "1", "Float", "Phred-scaled p of the rank-sum test of mapping qualities, REF against ALTs"),
+    ("ReadPosRankSum", "1", "Float", "Phred-scaled p of the rank-sum test of places in the read, REF against ALTs"),
+    ("QD", "1", "Float", "Quality by the depth of the ALTs"),
 ]
 
 
@@ -34,7 +34,7 @@ def variant_header(contigs: list[tuple[str, int]], samples: list[str], groups: l
     return [
         "##fileformat=VCFv4.2", *[named("FILTER", n, text) for n, text in FILTERS], *[f'##FORMAT=<ID={n},Number=1,Type=String,Description="{text}">' for n, text in FORMATS],
         *[f'##INFO=<ID={n},Number={k},Type={kind},Description="{text}">' for n, k, kind, text in INFOS],
-        *[f'##INFO=<ID={g}_AF,Number=A,Type=Float,Description="Allele frequency in the {g} populations calculated base on LRT, in the range (0,1)">' for g in sorted(groups)],
+        *[f'##INFO=<ID={g}_AF,Number=A,Type=Float,Description="Frequency of each ALT in {g}">' for g in sorted(groups)],
         *[f"##contig=<ID={n},length={length},assembly={reference}>" for n, length in contigs], f"##reference=file://{reference}", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples]),
     ]
 
