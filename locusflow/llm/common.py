@@ -62,15 +62,16 @@ def bounded(spark: SparkSession) -> None:
     spark.conf.set(BATCH, BATCH_BYTES)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and nothing is computed twice.
 
-    Files in the shared folder outlive executors, so a lost executor costs only its running tasks.
+    Files in the shared folder outlive executors, so a lost executor costs only its running tasks. by: a column
+    whose values get folders of their own.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     for tables in _noted:

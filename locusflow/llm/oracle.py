@@ -70,3 +70,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 QUALITY = _quality()
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+w AS (SELECT r, lang, source, unnest(ts) AS t FROM d),
+kept AS (SELECT lang, t FROM w GROUP BY lang, t HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, t, count(*) AS n FROM w JOIN kept USING (lang, t) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT e.lang, e.source, coalesce(v, 0) AS v, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) e LEFT JOIN l ON e.lang = l.lang LEFT JOIN c ON c.lang = e.lang AND c.source = e.source GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.t, coalesce(c.n, 0) AS k, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // CAST(g.n + g.v AS HUGEINT) AS p FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = kept.t),
+q AS (SELECT c.lang, c.t, 1 + (CAST(1000000000 AS HUGEINT) * (sum(c.n) + 1)) // CAST(any_value(every + v) AS HUGEINT) AS q FROM c JOIN l ON l.lang = c.lang JOIN (SELECT lang, sum(n) AS every FROM c GROUP BY lang) s ON s.lang = c.lang GROUP BY c.lang, c.t),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN (SELECT x.lang, x.source AS s1, y.source AS s2, sum((x.p - y.p) * (x.p - y.p) // y.p) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.t = y.t AND x.source <> y.source GROUP BY ALL) z ON z.lang = a.lang AND s1 = a.source AND s2 = b.source),
+marked AS (SELECT p.lang, p.source, 'term' AS part, p.t AS item, (p - q) * (p - q) // q AS value FROM p JOIN q ON p.lang = q.lang AND p.t = q.t WHERE k > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM marked))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
