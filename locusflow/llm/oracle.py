@@ -85,3 +85,32 @@ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f,
 marked AS (SELECT p.lang, p.source, 'term' AS part, p.t AS item, (p - q) * (p - q) // q AS value FROM p JOIN q ON p.lang = q.lang AND p.t = q.t WHERE k > 0 AND p > q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM marked))
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS shown, replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') AS head FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(length('### ' || head || ': ' || shown || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+REPAIR = r"""
+WITH RECURSIVE src AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hits AS (SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS hit FROM src),
+dam AS (SELECT r, conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE hit WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM hits WHERE hit <> 0),
+num AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, r, copy) AS i FROM dam),
+cls AS (SELECT *, substr(role, 1, 1) AS c, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+ CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM num),
+tally AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM cls GROUP BY conv_id),
+ins(p, j, q) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+moves AS (SELECT p, 'D' AS l, q, j, 4 AS cost, '' AS need FROM ins UNION ALL SELECT p, 'R', CASE q WHEN 2 THEN 3 ELSE 2 END, j, 3, '' FROM ins UNION ALL SELECT p, 'K', 1, j, 0, 's' FROM ins WHERE q = 0 UNION ALL SELECT p, 'K', 2, j, 0, 'u' FROM ins WHERE q <> 2 UNION ALL SELECT p, 'K', 3, j, 0, 'a' FROM ins WHERE q = 2),
+dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS audit FROM tally UNION ALL
+ SELECT conv_id, i, q, cost, audit FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) AS rn FROM
+  (SELECT dp.conv_id, cls.i, m.q, CAST(dp.cost + 3 * m.j + m.cost + CASE WHEN l <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS BIGINT) AS cost, dp.audit || repeat('I', m.j) || l AS audit
+   FROM dp JOIN cls ON cls.conv_id IS NOT DISTINCT FROM dp.conv_id AND cls.i = dp.i + 1 JOIN moves m ON m.p = dp.q WHERE (l = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (l <> 'K' OR need = c))) WHERE rn = 1),
+best AS (SELECT conv_id, cost, audit FROM (SELECT dp.conv_id, cost + 3 * [0, 2, 1, 0][q + 1] AS cost, audit || repeat('I', [0, 2, 1, 0][q + 1]) AS audit, row_number() OVER (PARTITION BY dp.conv_id ORDER BY cost + 3 * [0, 2, 1, 0][q + 1], audit || repeat('I', [0, 2, 1, 0][q + 1])) AS rn FROM dp JOIN tally t ON t.conv_id IS NOT DISTINCT FROM dp.conv_id AND t.n = dp.i) WHERE rn = 1),
+steps AS (SELECT conv_id, k, l, count(*) FILTER (WHERE l <> 'I') OVER w AS i, count(*) FILTER (WHERE l <> 'D') OVER w AS m FROM (SELECT conv_id, k, substr(audit, CAST(k AS INT), 1) AS l FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM best)) WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+shown AS (SELECT s.conv_id, k, l, role, text, m - max(CASE WHEN l = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id) AS m FROM steps s LEFT JOIN cls ON l <> 'I' AND cls.conv_id IS NOT DISTINCT FROM s.conv_id AND cls.i = s.i),
+texts AS (SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN role WHEN m % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS t FROM shown WHERE l <> 'D' GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN tally ON tally.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM e.conv_id"""

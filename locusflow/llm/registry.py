@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from locusflow.llm import bpe, divergence, extract, jaccard, media, mixing, oracle, quality, rlz, tokens, toxicity, warc
+from locusflow.llm import bpe, chat, divergence, extract, jaccard, media, mixing, oracle, quality, repair, rlz, tokens, toxicity, warc
 
 _QUERIES: dict[str, Callable] = {
     "op1_substring_dedup": rlz.query,
@@ -18,6 +18,8 @@ _QUERIES: dict[str, Callable] = {
     "op8_toxicity": toxicity.query,
     "op9_ngram_jaccard": jaccard.query,
     "op10_source_mix": mixing.query,
+    "op11_conversation_repair": repair.query,
+    "op12_chat_format": chat.query,
     "op13_source_divergence": divergence.query,
 }
 _QUERIES["pipeline"] = corpus_pipeline.run
@@ -26,6 +28,8 @@ _ORACLE: dict[str, str] = {
     "op4_quality_rules": oracle.QUALITY,
     "op6_warc": oracle.WARC,
     "op9_ngram_jaccard": oracle.JACCARD,
+    "op11_conversation_repair": oracle.REPAIR,
+    "op12_chat_format": oracle.CHAT,
     "op13_source_divergence": oracle.DIVERGENCE,
 }
 
