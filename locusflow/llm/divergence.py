@@ -118,7 +118,7 @@ def shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.asarray(lists.value_lengths(), dtype=np.int64)
         flat = lists.flatten()
         s, p, p0 = (np.asarray(flat.field(k), dtype=np.int64) for k in range(3))
-        names = sorted(set(langs))
+        names, most = sorted(set(langs)), int(s.max(initial=0)) + 1
         number = {x: i for i, x in enumerate(names)}
         lang = np.repeat(np.array([number[x] for x in langs], dtype=np.int64), sizes)
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)  # of the term that an entry belongs to
@@ -131,10 +131,18 @@ def shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = np.repeat(first[done:end], times) + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
             a, b = a[s[a] != s[b]], b[s[a] != s[b]]
             value = _f(p[a], p[b]) - _f(p[a], p0[b]) - _f(p0[a], p[b]) + _f(p0[a], p0[b])
-            keys, place = np.unique(np.stack([lang[a], s[a], s[b]]), axis=1, return_inverse=True)
-            sums = np.zeros(keys.shape[1], dtype=np.int64)
-            np.add.at(sums, place.reshape(-1), value)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in keys[0]], pa.string()), pa.array(keys[1]), pa.array(keys[2]), pa.array(sums)], ["lang", "a", "b", "value"])
+            pair = (lang[a] * most + s[a]) * most + s[b]
+            if len(names) * most * most <= 4 * PAIRS:
+                keys = np.flatnonzero(np.bincount(pair))
+                sums = np.zeros(len(names) * most * most, dtype=np.int64)
+                np.add.at(sums, pair, value)
+                sums = sums[keys]
+            else:
+                keys, place = np.unique(pair, return_inverse=True)
+                sums = np.zeros(len(keys), dtype=np.int64)
+                np.add.at(sums, place, value)
+            of = pa.array(names, pa.string()).take(pa.array(keys // (most * most)))
+            yield pa.RecordBatch.from_arrays([of, pa.array(keys // most % most), pa.array(keys % most), pa.array(sums)], ["lang", "a", "b", "value"])
             done = end
 
 
