@@ -86,6 +86,10 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, keep: bool = True,
     return left.join(hit, key, "left_semi" if keep else "left_anti")
 
 
+def not_overlapping(left: DataFrame, right: DataFrame, key: str, width: int = BIN) -> DataFrame:
+    return overlapping(left, right, key, False, width)
+
+
 def overlap_fraction(pairs: DataFrame, least: float, of: str = "either") -> DataFrame:
     """Pairs whose overlap is at least a share of the left interval, the right one, either or both."""
     shared = overlap_length(F.col("l_beg"), F.col("l_end"), F.col("r_beg"), F.col("r_end"))
