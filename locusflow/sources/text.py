@@ -127,6 +127,17 @@ def parse_region(text: str) -> tuple[str, int, int | None]:
     return m[1] or m[2], beg, end
 
 
+def merged_regions(text: str, far: int = 1 << 40) -> list[tuple[str, int, int]]:
+    """Regions between spaces, those of a contig that overlap or touch as one, in order of contig and place."""
+    out: list[tuple[str, int, int]] = []
+    for contig, beg, end in sorted((c, b, far if e is None else e) for c, b, e in map(parse_region, text.split())):
+        if out and out[-1][0] == contig and beg <= out[-1][2] + 1:
+            out[-1] = (contig, out[-1][1], max(end, out[-1][2]))
+        else:
+            out.append((contig, beg, end))
+    return out
+
+
 def groups(spark: SparkSession, path: str) -> DataFrame:
     """sample and group of a two-column list; of lines with one sample the last counts."""
     p = F.split(F.trim("value"), r"\s+")
