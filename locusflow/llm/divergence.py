@@ -5,8 +5,8 @@ integer, so that none is cut off) and turns documents into exact sparse vectors;
 sparse too, and pairs of sources are evaluated from what is in the sums. A term bears its lang in front, so that one
 fit serves all langs and counts each lang's documents apart.
 
-The driver and the executors hold the vocabulary of a fit. Its size is therefore bounded: above TERMS distinct terms
-the terms are dealt by hash into shards, each with a fit of its own over its own terms of every document. Shards share
+The driver and the executors hold the vocabulary of a fit. Its size is therefore bounded: terms are dealt by hash into
+shards, and shards of TERMS distinct terms in all share a fit over their own terms of every document; larger ones are split. Shards share
 no term, so the sums are the same, and no shard's vocabulary grows with the input.
 
 All arithmetic is of integers. A share is p = 1 + floor(10^9 * (count + smooth) / (N + smooth * V)), by long division
@@ -26,10 +26,12 @@ columns, whatever their names, aren't read.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,18 +44,52 @@ MIN_DOCS = 3
 VOCABULARY = 2**31 - 1
 SMOOTH = 1
 TOP = 200
-#: Distinct terms of one fit, and into how many shards a table is split at a time.
-TERMS, FAN = 1 << 20, 16
+#: Distinct terms of one fit, the shards that terms are dealt to from the start, and into how many more a shard is split at a time.
+TERMS, PARTS, FAN = 1 << 20, 4, 16
 #: Pairs of sources that numpy holds at a time.
 PAIRS = 1 << 20
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def terms(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, terms) for each row: the text's terms in order, A-Z in lower case, each behind its lang and a NUL."""
-    held = docs.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), F.split(F.coalesce(text, F.lit("")), GAPS).alias("found"))
-    lower = lambda t: F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
-    return held.select("lang", "source", F.transform(F.array_remove("found", ""), lambda t: F.concat("lang", F.lit("\0"), lower(t))).alias("terms"))
+    """(lang, source, terms, shard): the terms of each text that a hash deals to a shard, A-Z in lower case, each behind its lang and a NUL.
+
+    A text is a row for each of PARTS shards that it has terms in: a term is in one of them, so that counts of rows are counts of documents.
+    """
+    held = docs.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), F.coalesce(text, F.lit("")).alias("text"))
+    return held.mapInArrow(_dealt, "lang string, source string, terms array<string>, shard int")
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = pc.split_pattern_regex(pc.ascii_lower(batch.column("text")), GAPS)
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(lists)))
+        coded = lists.flatten().dictionary_encode()
+        part = np.array([zlib.crc32(t.as_buffer()) % PARTS if t.as_py() else -1 for t in coded.dictionary], dtype=np.int64)[np.asarray(coded.indices)]
+        order = np.argsort(part, kind="stable")
+        order = order[np.searchsorted(part[order], 0) :]  # '' goes
+        part, row = part[order], row[order]
+        begins = np.flatnonzero(np.r_[True, (np.diff(part) != 0) | (np.diff(row) != 0)]) if len(order) else np.zeros(0, dtype=np.int64)
+        of = pa.array(row)
+        named = pc.binary_join_element_wise(batch.column("lang").take(of), coded.dictionary.take(coded.indices.take(pa.array(order))), "\0")
+        texts = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(order)], pa.int32()), named)
+        firsts = of.take(pa.array(begins))
+        yield pa.RecordBatch.from_arrays([batch.column("lang").take(firsts), batch.column("source").take(firsts), texts, pa.array(part[begins], pa.int32())], ["lang", "source", "terms", "shard"])
+
+
+def fits(held: DataFrame, bound: int) -> Iterator[DataFrame]:
+    """The tables of the fits: shards together as long as they have bound distinct terms or fewer, larger ones split."""
+    sizes = held.select("shard", F.explode("terms").alias("t")).groupBy("shard").agg(F.approx_count_distinct("t").alias("n")).collect()  # a row for each of PARTS
+    together, total = [], 0
+    for shard, n in sorted(map(tuple, sizes)):
+        if n > bound:
+            yield from shards(held.where(F.col("shard") == shard).drop("shard"), -(-n // bound))
+            continue
+        if together and total + n > bound:
+            yield held.where(F.col("shard").isin(together)).drop("shard")
+            together, total = [], 0
+        together, total = [*together, shard], total + n
+    if together or not sizes:
+        yield held.where(F.col("shard").isin(together)).drop("shard")
 
 
 def shards(held: DataFrame, n: int, seed: int = 0) -> Iterator[DataFrame]:
@@ -70,10 +106,10 @@ def shards(held: DataFrame, n: int, seed: int = 0) -> Iterator[DataFrame]:
     forget(dealt)
 
 
-def group_sums(held: DataFrame, n: int, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+def group_sums(held: DataFrame, bound: int = TERMS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, n) for the kept terms that a group has, and (lang, term) for all kept terms."""
     spark, sums = held.sparkSession, f"{shared_dir(held.sparkSession)}/sums-{uuid.uuid4().hex}"
-    for i, shard in enumerate(shards(held, n)):
+    for i, shard in enumerate(fits(held, bound)):
         # A vocabulary mustn't be empty: '' is in three documents more and stays out of what follows.
         shown = shard.select("terms").union(spark.range(min_docs).select(F.array(F.lit(""))))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=VOCABULARY).fit(shown)
@@ -81,7 +117,7 @@ def group_sums(held: DataFrame, n: int, min_docs: int = MIN_DOCS) -> tuple[DataF
         vocabulary = _vocabulary(spark, f"{sums}-model/{i}/data")
         vectors = model.transform(shard).select("lang", "source", F.unwrap_udt("vector").alias("v"))
         cells = vectors.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("c")).groupBy("lang", "source", F.col("c.indices").alias("place")).agg(F.sum("c.values").cast("long").alias("n"))
-        # At most TERMS terms or so, by the choice of n.
+        # At most bound terms or so, by the choice of the fits.
         cells.join(F.broadcast(vocabulary.select("place", "term")), "place").select("lang", "source", "term", "n").write.parquet(f"{sums}/part={i}")
     kept = _vocabulary(spark, f"{sums}-model/*/data").where("place_of <> ''").select("lang", "term")
     return spark.read.parquet(sums).drop("part"), kept
@@ -148,11 +184,10 @@ def shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP, bound: int = TERMS) -> DataFrame:
     """lang, source, part, item, value, rank: ``pair`` against each other source, ``term`` the terms above the lang's share."""
-    held = written(terms(docs, text, lang, source), "terms")
-    groups = held.select("lang", "source").distinct()
+    held = written(terms(docs, text, lang, source), "terms", by="shard")
+    groups = docs.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source")).distinct()
     groups = written(groups.withColumn("id", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long")), "groups")
-    distinct = held.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
-    sums, kept = group_sums(held, -(-distinct // bound), min_docs)
+    sums, kept = group_sums(held, bound, min_docs)
     of_lang = sums.groupBy("lang").agg(F.sum("n").alias("all_n")).join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang", "right")
     of_group = sums.groupBy("lang", "source").agg(F.sum("n").alias("own_n"))
     # A row per group, with what its shares divide by.
