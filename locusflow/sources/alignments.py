@@ -24,7 +24,8 @@ def alignments(spark: SparkSession, path: str, **options: str) -> DataFrame:
         return text.sam(spark, path).select(*COLUMNS)
     if kind == "bam":
         spark.dataSource.register(bam.BamSource)
-        rows = spark.read.format("bam").options(**options).load(path)
+        push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+        rows = spark.read.format("bam").options(**({"pushdown": push} | options)).load(path)
         return rows.withColumn("end_pos", cg.end_of(F.col("pos"), cg.blocks(F.col("cigar")))).select(*COLUMNS)
     if kind in ("fasta", "fastq"):
         rows = sequences.fastq(spark, path) if kind == "fastq" else sequences.records(sequences.fasta(spark, path))

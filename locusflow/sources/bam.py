@@ -292,7 +292,8 @@ class BamReader(DataSourceReader):
         self.contigs: set[str] | None = None
         self.low, self.high = 0, FAR
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+    def keep(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Notes the filters that ranges and records are chosen by; those that it can't apply come back."""
         for f in filters:
             if f.attribute == ("contig",) and isinstance(f, (EqualTo, In)):
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
@@ -382,6 +383,13 @@ class BamReader(DataSourceReader):
         return order[0] == tid and lo <= order[1] <= hi and (self.regions is None or order[1] + _span(data) > beg)
 
 
+class PushingBamReader(BamReader):
+    """For sessions with spark.sql.python.filterPushdown.enabled; without it Spark refuses a reader that takes filters."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        return self.keep(filters)
+
+
 def _last(n: int, holds) -> int:
     """The last of n numbers for which a test holds that holds for all before it."""
     lo, hi = 0, n - 1
@@ -404,7 +412,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class BamSource(DataSource):
-    """spark.read.format("bam").load(a file, a folder or a pattern of files); options split, regions, longest.
+    """spark.read.format("bam").load(a file, a folder or a pattern of files); options split, regions, longest, and pushdown.
+
+    With pushdown "true", filters reach the reader; the session must allow it (spark.sql.python.filterPushdown.enabled).
 
     nth is a record's place in its file: the block it begins in and the byte in that.
     """
@@ -417,4 +427,5 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> BamReader:
-        return BamReader(dict(self.options))
+        options = dict(self.options)
+        return (PushingBamReader if options.get("pushdown", "false").lower() == "true" else BamReader)(options)

@@ -55,7 +55,7 @@ def span(ops):
 
 def rows(options, filters=()):
     reader = bam.BamReader(options)
-    assert not list(reader.pushFilters(list(filters)))
+    assert not list(reader.keep(list(filters)))
     return [x for p in reader.partitions() for b in reader.read(p) for x in b.to_pylist()]
 
 
@@ -110,11 +110,12 @@ def test_spark_reads_ranges_and_pushes_filters(spark, tmp_path):
     write(tmp_path / "y.bam", reads[:3], 700)
     spark.dataSource.register(bam.BamSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    df = spark.read.format("bam").option("split", "4000").load(str(tmp_path))
+    df = spark.read.format("bam").options(split="4000", pushdown="true").load(str(tmp_path))
     assert df.rdd.getNumPartitions() > 4 and df.count() == 508
     near = df.where("contig = 'c1' AND pos BETWEEN 1000 AND 1500")
     assert {(r["qname"], r["pos"]) for r in near.collect()} >= {(r[0], r[2]) for r in reads if r[1] == 0 and 1000 <= r[2] <= 1500}
     assert near.rdd.getNumPartitions() < df.rdd.getNumPartitions()
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     with pytest.raises(Exception, match="no such contig"):
         spark.read.format("bam").option("regions", "c7").load(str(tmp_path / "x.bam")).count()
 
