@@ -103,6 +103,7 @@ class Blocks:
     def __init__(self, path: str):
         self.file, self.read = files.opened(path), 0
         self.size = self.file.size()
+        self.cut = self._head(0) is not None  # whether the file is of blocks that tell their sizes
 
     def _head(self, offset: int) -> int | None:
         """The length of the block at offset if one begins there."""
@@ -119,11 +120,6 @@ class Blocks:
             at += 4 + n
         return None
 
-    @property
-    def cut(self) -> bool:
-        """Whether the file is of blocks that tell their sizes."""
-        return self._head(0) is not None
-
     def first(self, begin: int) -> int:
         """The first block at begin or behind it; the file's size if there is none. A block's head must be followed by another, or by the file's end."""
         while begin < self.size:
