@@ -26,7 +26,6 @@ columns, whatever their names, aren't read.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +37,19 @@ from pyspark.sql import functions as F
 
 from locusflow.llm.common import forget, shared_dir, table, written
 
-#: What separates terms: everything below U+0080 but letters.
-GAPS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = 32
+#: By byte of a text: terms are runs of A-Z, a-z and whatever lies above U+007F.
+LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else GAP for c in range(256)], dtype=np.uint8)
+#: Odd factors for the bytes of a term, by their place.
+MIX = np.random.Generator(np.random.Philox(13)).integers(1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIN_DOCS = 3
 VOCABULARY = 2**31 - 1
 SMOOTH = 1
 TOP = 200
 #: Distinct terms of one fit, the shards that terms are dealt to from the start, and into how many more a shard is split at a time.
 TERMS, PARTS, FAN = 1 << 20, 4, 16
+#: One in so many terms, by their hash, is counted to tell how many there are.
+SAMPLE = 64
 #: Pairs of sources that numpy holds at a time.
 PAIRS = 1 << 20
 
@@ -53,34 +57,68 @@ PAIRS = 1 << 20
 def terms(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, terms, shard): the terms of each text that a hash deals to a shard, A-Z in lower case, each behind its lang and a NUL.
 
-    A text is a row for each of PARTS shards that it has terms in: a term is in one of them, so that counts of rows are counts of documents.
+    A text is a row for each of PARTS shards that it has terms in: a term is in one of them, so that counts of rows are
+    counts of documents. Shards below 0 hold a sample of the distinct terms of the shards -1 - shard.
     """
     held = docs.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), F.coalesce(text, F.lit("")).alias("text"))
     return held.mapInArrow(_dealt, "lang string, source string, terms array<string>, shard int")
 
 
+def _cut(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letters of all terms in order, A-Z in lower case; where each term begins in them, and the end; the text of each term)."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = LETTERS[np.frombuffer(held, dtype=np.uint8)[offsets[0] : offsets[-1]]] if held is not None else np.zeros(0, dtype=np.uint8)
+    letter, at = data != GAP, offsets - offsets[0]
+    begins = letter & np.r_[True, ~letter[:-1]][: len(letter)]
+    firsts = at[:-1][at[:-1] < len(data)]
+    begins[firsts] = letter[firsts]  # a text's first letter begins a term, whatever the text before ends with
+    places = np.flatnonzero(begins)
+    return data[letter], np.r_[np.cumsum(letter)[places] - 1, letter.sum()], np.searchsorted(at, places, "right") - 1
+
+
+def _hashes(letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each term's bytes and their places."""
+    if len(bounds) < 2:
+        return np.zeros(0, dtype=np.uint64)
+    place = np.arange(len(letters)) - np.repeat(bounds[:-1], np.diff(bounds))
+    h = np.add.reduceat(letters * MIX[place % len(MIX)], bounds[:-1])
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(named: pa.Array, part: np.ndarray, row: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Terms sorted by part and text as a row for each of the two."""
+        begins = np.flatnonzero(np.r_[True, (np.diff(part) != 0) | (np.diff(row) != 0)]) if len(part) else np.zeros(0, dtype=np.int64)
+        texts = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(part)], pa.int32()), named)
+        of = pa.array(row[begins])
+        return pa.RecordBatch.from_arrays([batch.column("lang").take(of), batch.column("source").take(of), texts, pa.array(part[begins], pa.int32())], ["lang", "source", "terms", "shard"])
+
     for batch in batches:
-        lists = pc.split_pattern_regex(pc.ascii_lower(batch.column("text")), GAPS)
-        row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(lists)))
-        coded = lists.flatten().dictionary_encode()
-        part = np.array([zlib.crc32(t.as_buffer()) % PARTS if t.as_py() else -1 for t in coded.dictionary], dtype=np.int64)[np.asarray(coded.indices)]
+        letters, bounds, row = _cut(batch.column("text"))
+        h = _hashes(letters, bounds)
+        part = (h % np.uint64(PARTS)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        order = order[np.searchsorted(part[order], 0) :]  # '' goes
-        part, row = part[order], row[order]
-        begins = np.flatnonzero(np.r_[True, (np.diff(part) != 0) | (np.diff(row) != 0)]) if len(order) else np.zeros(0, dtype=np.int64)
-        of = pa.array(row)
-        named = pc.binary_join_element_wise(batch.column("lang").take(of), coded.dictionary.take(coded.indices.take(pa.array(order))), "\0")
-        texts = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(order)], pa.int32()), named)
-        firsts = of.take(pa.array(begins))
-        yield pa.RecordBatch.from_arrays([batch.column("lang").take(firsts), batch.column("source").take(firsts), texts, pa.array(part[begins], pa.int32())], ["lang", "source", "terms", "shard"])
+        found = pa.StringArray.from_buffers(len(h), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(letters))
+        named = pc.binary_join_element_wise(batch.column("lang").take(pa.array(row[order])), found.take(pa.array(order)), "\0")
+        yield rows(named, part[order], row[order], batch)
+        drawn = np.flatnonzero((h[order] >> np.uint64(20)) % np.uint64(SAMPLE) == 0)
+        if len(drawn):
+            some = named.take(pa.array(drawn)).dictionary_encode()
+            _, first = np.unique(np.asarray(some.indices), return_index=True)
+            yield rows(some.dictionary, -1 - part[order][drawn][first], np.zeros(len(first), dtype=np.int64), batch)
 
 
 def fits(held: DataFrame, bound: int) -> Iterator[DataFrame]:
-    """The tables of the fits: shards together as long as they have bound distinct terms or fewer, larger ones split."""
-    sizes = held.select("shard", F.explode("terms").alias("t")).groupBy("shard").agg(F.approx_count_distinct("t").alias("n")).collect()  # a row for each of PARTS
+    """The tables of the fits: shards together as long as they have bound distinct terms or so, larger ones split."""
+    drawn = held.where("shard < 0").select((-1 - F.col("shard")).alias("shard"), F.explode("terms").alias("t")).distinct()
+    sizes = {r["shard"]: r["n"] * SAMPLE for r in drawn.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row for each of PARTS
+    held = held.where("shard >= 0")
     together, total = [], 0
-    for shard, n in sorted(map(tuple, sizes)):
+    for shard in range(PARTS):
+        n = sizes.get(shard, 0)
         if n > bound:
             yield from shards(held.where(F.col("shard") == shard).drop("shard"), -(-n // bound))
             continue
@@ -88,7 +126,7 @@ def fits(held: DataFrame, bound: int) -> Iterator[DataFrame]:
             yield held.where(F.col("shard").isin(together)).drop("shard")
             together, total = [], 0
         together, total = [*together, shard], total + n
-    if together or not sizes:
+    if together:
         yield held.where(F.col("shard").isin(together)).drop("shard")
 
 

@@ -45,6 +45,7 @@ def rows_of(seed, n):
 def test_audit(spark, bound, monkeypatch):
     """One fit, several shards, shards of shards; sums over more than one cut of pairs."""
     monkeypatch.setattr(divergence, "FAN", 3)
+    monkeypatch.setattr(divergence, "SAMPLE", 1)
     monkeypatch.setattr(divergence, "PAIRS", 50 if bound > 7 else 5)  # a table of sums, or the sums that occur
     rows = [*rows_of(1, 150), ("only once", "fr", "s1"), (None, "fr", "s2"), ("", "it", "s1"), ("a" * 500_000 + " tea", "en", "s1")]
     docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("id", "terms", "part", "n", "shard")})
@@ -62,3 +63,16 @@ def test_shares_are_exact_for_large_counts(spark):
     cases = [(0, 1), (10**15 - 1, 10**15), (3 * 10**14, 7 * 10**14 + 1), (5, 9)]
     got = spark.createDataFrame(cases, "n bigint, every bigint").select("n", "every", divergence.share(F.col("n"), F.col("every")).alias("p")).collect()
     assert all(r["p"] == 1 + 10**9 * (r["n"] + 1) // r["every"] for r in got)
+
+
+def test_terms_of_a_batch():
+    """Terms end with their text, empty texts have none, and slices of a batch are read as such."""
+    import pyarrow as pa
+
+    texts = pa.array(["zz", "Ab", "cD e", "", "..", "\u00c9a-b"]).slice(1)
+    letters, bounds, rows = divergence._cut(texts)
+    assert [bytes(letters[a:b]).decode() for a, b in zip(bounds, bounds[1:])] == ["ab", "cd", "e", "\u00c9a", "b"] and list(rows) == [0, 1, 1, 4, 4]
+    h = divergence._hashes(letters, bounds)
+    assert len(set(h.tolist())) == 5
+    for empty in (pa.array([], pa.string()), pa.array(["", ""])):
+        assert divergence._cut(empty)[2].size == 0
