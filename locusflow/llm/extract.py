@@ -46,13 +46,22 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embe
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 NAMES = set("ad ads advert adverts advertisement sponsor sponsored banner cookie cookies consent notice notices sidebar menu nav navbar navigation footer header masthead comment comments disqus share sharing social related recommended subscribe newsletter promo breadcrumb breadcrumbs popup modal contentinfo complementary search".split())
 
+#: What a furniture name may be joined to and still be one.
+BOXES = set("area bar block body box button buttons column container content field form group holder inner item items label left line link links list main outer panel right row section slot text title top bottom unit widget wrap wrapper".split())
+
+
+def _names_furniture(word: str, inside_main: bool) -> bool:
+    """Whether a class, id or role says furniture and nothing else: ``ad-box`` does, ``share-price`` and ``ad-hoc`` don't."""
+    parts = [p for p in re.split(r"[^a-z]+", word) if p]
+    found = NAMES.intersection(parts)
+    return bool(found - {"header"} if inside_main else found) and all(p in NAMES or p in BOXES for p in parts)
+
 
 def _kind(name: str, attributes: str, inside_main: bool) -> int | None:
     """What an element makes of the text in it; None leaves that to what it stands in."""
     if attributes and "=" in attributes:
         for value in MARK.findall(attributes):
-            found = NAMES.intersection(re.split(r"[^a-z]+", "".join(value).lower()))
-            if found - {"header"} if inside_main else found:
+            if any(_names_furniture(word, inside_main) for word in "".join(value).lower().split()):
                 return FURNITURE
     if name in MAIN:
         return ARTICLE

@@ -6,7 +6,7 @@ are counted, one fold over that small array estimates each rule's accuracies and
 and a scalar subquery hands the estimates to the scoring projection.
 
 Defined results: a null or empty text has no words and fails the base test; extra columns pass through
-``features`` untouched unless they bear the name of a feature, which is replaced; repeated rows are scored
+untouched, and one that bears the name of a column that is added is refused with a ValueError; repeated rows are scored
 one by one and equal texts get equal verdicts; an empty table gives an empty result.
 """
 
@@ -42,11 +42,21 @@ def _stage(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns(columns)
 
 
+#: The columns that are added.
+ADDED = {"n_words", "word_chars", "n_symbols", "n_shouts", "n_upper", "n_stops", "n_distinct", "n_lines", "n_dup_lines", "n_repeat_words", "votes", "base_failed", "quality", "kept"}
+
+
+def _free(columns: list[str]) -> None:
+    if taken := sorted(ADDED.intersection(c.lower() for c in columns)):
+        raise ValueError(f"columns of these names are added: {taken}")
+
+
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the base features: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and more.
 
     n_repeat_words counts the words inside 8-word windows that occur at least twice in the text.
     """
+    _free(docs.columns)
     t = F.coalesce(F.col(text), F.lit(""))
     df = _stage(docs, __words=words(F.col(text)))
     df = _stage(

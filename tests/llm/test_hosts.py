@@ -41,3 +41,10 @@ def test_equal_pages_count_once(spark, monkeypatch):
     assert texts(spark, rows) == want
     monkeypatch.setattr(extract, "GROUP", 3)
     assert texts(spark, rows) == want
+
+
+def test_class_names_that_only_hold_a_furniture_word():
+    """A name drops text only if it says furniture and nothing else."""
+    page = "<article><div class='share-price'>a</div><p class='ad-hoc'>b</p><section id='search-results'>c</section><div class='ad'>d</div><div class='x ad-box'>e</div><div class='comment-list'>f</div><div role='search'>g</div><p>h</p></article>"
+    assert [t for k, t in extract.blocks(page) if k == extract.ARTICLE] == ["a", "b", "c", "h"]
+    assert [(k, t) for k, t in extract.blocks("<div class='promo-code-guide'>a</div><div id=cookie_banner>b</div>")] == [(extract.PLAIN, "a"), (extract.FURNITURE, "b")]

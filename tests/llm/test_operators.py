@@ -136,6 +136,9 @@ def test_quality_features_and_verdicts(spark, empty):
         assert 0 <= r["quality"] <= 1 and not (r["base_failed"] and r["kept"])
     assert all(got[i]["kept"] for i in range(30)) and not any(got[i]["kept"] for i in (*range(200, 212), *range(300, 312)))
     assert quality.score(empty).collect() == []
+    for name in ("quality", "votes", "kept", "N_Words"):
+        with pytest.raises(ValueError, match="are added"):
+            quality.score(empty.withColumn(name, F.lit(1)))
 
 
 # -- 5 and 7: tokens
