@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from locusflow.operators import pairing
 from locusflow.plans import views as v
 from locusflow.plans.ranges import EACH
-from locusflow.plans.records import SPANS
+from locusflow.plans.records import REGIONS, SPANS, regions
 from locusflow.plans.views import VARIANTS
 
 QUERIES, ORACLE = {}, {}
@@ -55,17 +55,9 @@ for _logic in SCORES:
     )
 
 
-REGIONS = """regions AS (SELECT DISTINCT 'c' || CAST(c_custkey % 5 AS VARCHAR) AS contig, CAST(c_custkey // 5 * 3 + c_custkey % 2 AS BIGINT) AS beg, CAST(c_custkey // 5 * 3 + c_custkey % 2 + c_custkey % 4 AS BIGINT) AS "end" FROM customer)"""
 TARGETS = """targets AS (SELECT 'c' || CAST(s_suppkey % 5 AS VARCHAR) AS contig, CAST(s_suppkey * 7 AS BIGINT) AS beg, CAST(s_suppkey * 7 + s_suppkey % 3 AS BIGINT) AS "end" FROM supplier)"""
 
 
-def regions(spark, sf):
-    """Regions of 1 to 4 bases, one per customer, some of them overlapping, with gaps between others."""
-    k = F.col("c_custkey")
-    beg = F.floor(k / 5).cast("bigint") * 3 + k % 2
-    return v.table(spark, sf, "customer").select(F.concat(F.lit("c"), (k % 5).cast("string")).alias("contig"), beg.alias("beg"), (beg + k % 4).alias("end"))
-
-
 def targets(spark, sf):
     k = F.col("s_suppkey")
     return v.table(spark, sf, "supplier").select(F.concat(F.lit("c"), (k % 5).cast("string")).alias("contig"), (k * 7).alias("beg"), (k * 7 + k % 3).alias("end"))

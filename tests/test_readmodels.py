@@ -49,7 +49,7 @@ def test_deep_sites_are_sampled_alike(spark):
     rows = [("c", 1, "ACGT"[(k % 10 == 0)], 20 + k % 15, "+-"[k % 2]) for k in range(2000)] + [("c", 2, "N", 30, "+"), ("c", 2, "A", 30, "+"), ("c", 3, "A", 30, "+")]
     obs = spark.createDataFrame(rows, "contig string, pos int, base string, qual int, strand string")
     one, two = ([(r["pos"], r["depth"], r["likelihoods"]) for r in errormodel.genotype_likelihoods(obs.repartition(n)).orderBy("pos").collect()] for n in (1, 7))
-    assert one == two and [x[:2] for x in one] == [(1, 2000), (2, 1), (3, 1)] and one[0][2][1] < one[0][2][0] < one[0][2][4]
+    assert one == two and [x[:2] for x in one] == [(1, 2000), (2, 1), (3, 1)] and one[0][2][0] < one[0][2][4]
     counts = np.array([1000, 0, 500, 1])
     assert errormodel.sampled(counts, "c:1", 0).sum() == 255 and (errormodel.sampled(counts, "c:1", 0) == errormodel.sampled(counts, "c:1", 0)).all()
 
