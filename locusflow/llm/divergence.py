@@ -47,7 +47,7 @@ VOCABULARY = 2**31 - 1
 SMOOTH = 1
 TOP = 200
 #: Distinct terms of one fit, the shards that terms are dealt to from the start, and into how many more a shard is split at a time.
-TERMS, PARTS, FAN = 1 << 20, 4, 16
+TERMS, PARTS, FAN = 1 << 21, 2, 16
 #: One in so many terms, by their hash, is counted to tell how many there are.
 SAMPLE = 64
 #: Pairs of sources that numpy holds at a time.
