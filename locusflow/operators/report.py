@@ -41,7 +41,7 @@ def variant_header(contigs: list[tuple[str, int]], samples: list[str], groups: l
 
 def coverage_header() -> list[str]:
     """The header lines of a coverage file."""
-    return ["##fileformat=CVGv1.0", "##Group information is the depth of A:C:G:T:Indel", "\t".join(["#CHROM", "POS", "REF", "Depth", *BASES, "Indels", "FS", "SOR", "Strand_Coverage(REF_FWD,REF_REV,ALT_FWD,ALT_REV)"])]
+    return ["##fileformat=CVGv1.0", "\t".join(["#CHROM", "POS", "REF", "Depth", *BASES, "Indels", "FS", "SOR", "Strand_Coverage(REF_FWD,REF_REV,ALT_FWD,ALT_REV)"])]
 
 
 def variant_lines(obs: DataFrame, calls: DataFrame, groups: DataFrame, samples: DataFrame) -> DataFrame:

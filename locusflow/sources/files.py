@@ -38,3 +38,16 @@ def listed(pattern: str) -> list[tuple[str, int]]:
     if not files:
         raise FileNotFoundError(pattern)
     return [(head + p if head else p, n) for p, n in files]
+
+
+def scratch(spark, label: str) -> str:
+    """A path of its own in the folder that the session's executors share (spark.checkpoint.dir); a local one only where all run in one process."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
