@@ -113,6 +113,11 @@ def gamma_upper(s: Column, z: Column) -> Column:
     return F.when(z <= 0, 1.0).when(z <= s + 1, 1 - _gamma_series(s, z)).otherwise(_gamma_fraction(s, z))
 
 
+def chi_squared_tail(x: Column, degrees: Column) -> Column:
+    """The chance that a chi-squared value of any number of degrees of freedom exceeds x."""
+    return gamma_upper(degrees / 2.0, x / 2.0)
+
+
 def _gamma_series(s: Column, z: Column) -> Column:
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
     step = lambda a, k: F.struct((a["term"] * z / (s + k)).alias("term"), (a["sum"] + a["term"] * z / (s + k)).alias("sum"))
@@ -152,8 +157,11 @@ def fisher_2x3(x: list[Column], n: list[Column]) -> Column:
         weight = lambda i, j: ways(i, m["n1"]) + ways(j, m["n2"]) + ways(row - i - j, m["n3"])
         span = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
         zero = F.lit(0).cast("bigint")
-        every = F.flatten(F.transform(span(zero, F.least(m["n1"], row)), lambda i: F.transform(span(F.greatest(zero, row - i - m["n3"]), F.least(m["n2"], row - i)), lambda j: F.exp(weight(i, j) - weight(m["a"], m["b"])))))
-        sums = F.aggregate(every, F.struct(F.lit(0.0).alias("all"), F.lit(0.0).alias("rare")), lambda s, w: F.struct((s["all"] + w).alias("all"), (s["rare"] + F.when(w <= 1 + 1e-7, w).otherwise(0.0)).alias("rare")))
+        start = F.struct(F.lit(0.0).alias("all"), F.lit(0.0).alias("rare"))
+        add = lambda s, w: F.struct((s["all"] + w).alias("all"), (s["rare"] + F.when(w <= 1 + 1e-7, w).otherwise(0.0)).alias("rare"))
+        # One fold inside the other: what is held is a row of places, never all tables.
+        others = lambda i: span(F.greatest(zero, row - i - m["n3"]), F.least(m["n2"], row - i))
+        sums = F.aggregate(span(zero, F.least(m["n1"], row)), start, lambda s, i: F.aggregate(others(i), s, lambda t, j: add(t, F.exp(weight(i, j) - weight(m["a"], m["b"])))))
         return sums["rare"] / sums["all"]
 
     return F.get(F.transform(F.array(given), tested), F.lit(0))

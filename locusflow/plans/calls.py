@@ -73,25 +73,47 @@ def vcf_lines(spark, sf):
     return report.variant_lines(obs, calls, v.groups(spark, sf), v.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("sample_idx")))
 
 
-def neighbours(f):
-    """(key, freq): how many rows have a frequency within a tenth of each one's, and how many of those aren't larger.
+def ranked_bounds(f):
+    """key, rank (how many values are smaller or come before), low, own and high: how many values lie below a tenth less, up to it, and up to a tenth more.
 
-    Both numbers follow from the ranks of the bounds: a union of values and bounds is sorted once by a range window, and
-    no pairs are made.
+    All follow from the ranks of the bounds: a union of values and bounds is sorted once by a range window, and no pairs
+    are made.
     """
     # A value counts before the bounds at it, but for the lower bound, which looks at smaller values alone.
     marks = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("at"), F.lit(o).alias("o"), F.lit(n).alias("one")) for k, x, o, n in (("value", F.col("freq"), 1, 1), ("low", F.col("freq") * 0.9, 0, 0), ("own", F.col("freq") * 1.0, 2, 0), ("high", F.col("freq") * 1.1, 2, 0))]))
     rows = f.select("key", marks.alias("m")).select("key", "m.*")
-    # Buckets of equal width keep the running count from one task: counts of earlier buckets are added.
-    bucket = F.floor(F.col("at") / 64)
+    # Buckets keep the running count from one task: counts of earlier buckets are added. They are as wide as a hundredth
+    # of what is in them, whatever the scale of the values.
+    bucket = F.when(F.col("at") > 0, F.floor(F.log("at") * 100)).otherwise(F.lit(-(1 << 40)))
     rows = rows.withColumn("bucket", bucket)
     sums = rows.groupBy("bucket").agg(F.sum("one").alias("n"))
     before = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     run = F.sum("one").over(Window.partitionBy("bucket").orderBy("at", "o", "key").rowsBetween(Window.unboundedPreceding, 0))
     ranked = rows.withColumn("run", run).join(before, "bucket").withColumn("upto", F.col("run") + F.col("before"))
-    per = ranked.groupBy("key").agg(*[F.max(F.when(F.col("kind") == k, F.col("upto"))).alias(k) for k in ("low", "own", "high")])
+    return ranked.groupBy("key").agg(*[F.max(F.when(F.col("kind") == k, F.col("upto"))).alias(n) for k, n in (("value", "rank"), ("low", "low"), ("own", "own"), ("high", "high"))])
+
+
+def neighbours(f):
+    """(key, freq): how many rows have a frequency within a tenth of each one's, and how many of those aren't larger."""
     n, below = F.col("high") - F.col("low"), F.col("own") - F.col("low")
-    return per.select("key", n.alias("neighbours"), below.alias("below"), F.round(below / n, 6).alias("pct"))
+    return ranked_bounds(f).select("key", n.alias("neighbours"), below.alias("below"), F.round(below / n, 6).alias("pct"))
+
+
+def sampled_neighbours(f, most: int, seed: int = 0):
+    """key, n and the key and freq of each neighbour within a tenth of a row's frequency, at most ``most`` of them.
+
+    Up to ``most``, all are taken; beyond, one is drawn from each of ``most`` equal shares of their ranks by a hash of
+    the key, so that none comes twice and reruns agree. A row is joined to what it draws alone.
+    """
+    ranked = ranked_bounds(f)
+    n = (F.col("high") - F.col("low")).cast("bigint")
+    lo = lambda j: F.floor(j * F.col("n") / most)
+    drawn = lambda j: lo(j) + F.pmod(F.xxhash64(F.lit(seed), "key", j), lo(j + 1) - lo(j))
+    places = F.when(F.col("n") <= most, F.transform(F.sequence(F.lit(1).cast("bigint"), "n"), lambda i: F.col("low") + i)).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(most - 1).cast("bigint")), lambda j: F.col("low") + 1 + drawn(j)))
+    asked = ranked.withColumn("n", n).select("key", "n", F.explode(places).alias("rank")).withColumn("rank", F.col("rank").cast("bigint"))
+    # The values under their ranks, from 1.
+    values = ranked.join(f, "key").select(F.col("rank").cast("bigint").alias("rank"), F.col("key").alias("neighbour"), F.col("freq").alias("neighbour_freq"))
+    return asked.join(values, "rank").drop("rank")
 
 
 @query("trend_test", f"""WITH {OBS}, c AS (SELECT contig, pos, {", ".join(f"CAST(count(*) FILTER (sample_idx % 3 = {i} AND base <> ref_base) AS DOUBLE) AS c{i}, CAST(count(*) FILTER (sample_idx % 3 = {i}) AS DOUBLE) AS n{i}" for i in range(3))} FROM obs GROUP BY contig, pos),

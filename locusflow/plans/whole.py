@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from locusflow.functions import stats
 from locusflow.operators import caller
 from locusflow.operators import intervals as iv
 from locusflow.plans import calls
@@ -92,3 +93,33 @@ def merge_intervals(spark, sf):
 @query("base_composition", "SELECT doc_id, length(coalesce(text, '')) - length(replace(lower(coalesce(text, '')), 'g', '')) AS n_g, length(coalesce(text, '')) - length(replace(lower(coalesce(text, '')), 'c', '')) AS n_c FROM documents")
 def base_composition(spark, sf):
     return calls.composition(v.table(spark, sf, "documents"))
+
+
+MOST = 20
+
+
+@query("sampled_neighbours", f"""WITH f AS (SELECT p_partkey AS key, CAST((p_partkey + 1) * (p_partkey + 1) AS DOUBLE) AS freq FROM part), n AS (SELECT a.key, count(*) AS n, sum(b.key) AS total FROM f a JOIN f b ON b.freq BETWEEN 0.9 * a.freq AND 1.1 * a.freq GROUP BY a.key)
+ SELECT key, n, least(n, {MOST}) AS taken, least(n, {MOST}) AS distinct_taken, least(n, {MOST}) AS near, CASE WHEN n <= {MOST} THEN CAST(total AS BIGINT) END AS total FROM n""")
+def sampled_neighbours(spark, sf):
+    """At most MOST neighbours in frequency of every site; the sum of their keys where all are taken."""
+    k = F.col("p_partkey")
+    f = v.table(spark, sf, "part").select(k.alias("key"), ((k + 1) * (k + 1)).cast("double").alias("freq"))
+    drawn = calls.sampled_neighbours(f, MOST).join(f, "key")
+    near = F.count_if(F.col("neighbour_freq").between(F.col("freq") * 0.9, F.col("freq") * 1.1))
+    per = drawn.groupBy("key", "n").agg(F.count("*").alias("taken"), F.countDistinct("neighbour").alias("distinct_taken"), near.alias("near"), F.sum("neighbour").alias("total"))
+    return per.withColumn("total", F.when(F.col("n") <= MOST, F.col("total")))
+
+
+@query("chi_squared_tails", "SELECT DISTINCT l_quantity AS x, round(exp(-l_quantity / 2), 9) AS p2, round(exp(-l_quantity / 2) * (1 + l_quantity / 2), 9) AS p4, round(exp(-l_quantity / 2) * (1 + l_quantity / 2 + l_quantity * l_quantity / 8), 9) AS p6 FROM lineitem")
+def chi_squared_tails(spark, sf):
+    """Chances that a chi-squared value of 2, 4 and 6 degrees of freedom exceeds each quantity."""
+    x = v.table(spark, sf, "lineitem").select(F.col("l_quantity").alias("x")).distinct()
+    return x.select("x", *[F.round(stats.chi_squared_tail(F.col("x"), F.lit(n)), 9).alias(f"p{n}") for n in (2, 4, 6)])
+
+
+@query("reversed_targets", f'WITH {GAPPED}, turned AS (SELECT c_custkey AS tid, \'c\' || CAST(c_custkey % 5 AS VARCHAR) AS contig, CAST(c_custkey + c_custkey % 7 AS BIGINT) AS a, CAST(c_custkey + c_custkey % 11 AS BIGINT) AS b FROM customer), targets AS (SELECT tid, contig, least(a, b) AS beg, greatest(a, b) AS "end" FROM turned) SELECT * FROM targets t WHERE EXISTS (SELECT 1 FROM intervals i WHERE {MEETS})')
+def reversed_targets(spark, sf):
+    """Targets some of which end before they begin, turned round and then met with intervals."""
+    c = F.col("c_custkey")
+    turned = v.table(spark, sf, "customer").select(c.alias("tid"), F.concat(F.lit("c"), (c % 5).cast("string")).alias("contig"), (c + c % 7).alias("beg"), (c + c % 11).alias("end"))
+    return iv.overlapping(iv.normalised(turned), gapped(spark, sf), "tid").select("tid", "contig", "beg", "end")
