@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
+
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 #: name: (parameters, result, expression)
 FUNCTIONS = {
@@ -21,3 +26,42 @@ def register(spark: SparkSession, prefix: str = "") -> None:
     """Make the functions known to the session's SQL, under their names or with a prefix."""
     for name, (parameters, result, expression) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameters}) RETURNS {result} RETURN {expression}")
+
+
+class AlignedPairs:
+    """Rows (op, pos, qpos, n) of an alignment, as cigar.aligned_pairs has them."""
+
+    def eval(self, pos: int, cigar: str):
+        if pos is None or cigar is None:
+            return
+        at = 0
+        for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
+            n = int(n)
+            if op in "M=X":
+                for k in range(n):
+                    yield op, pos + k, at + k, 1
+            elif op != "H":
+                yield op, pos, at if op in "ISP" else None, n
+            pos += n if op in "MDN=X" else 0
+            at += n if op in "MIS=X" else 0
+
+
+def rank_sum(value: pd.Series, is_ref: pd.Series) -> float:
+    """z of the rank-sum test of the values where is_ref holds against the others: average ranks of ties, no corrections; null where a side is empty."""
+    kept = value.notna() & is_ref.notna()
+    first = is_ref[kept].astype(bool)
+    n1, n2 = int(first.sum()), int((~first).sum())
+    if not n1 or not n2:
+        return None
+    total = value[kept].rank(method="average")[first].sum()
+    return float(abs(total - n1 * (n1 + n2 + 1) / 2) / math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12))
+
+
+def register_python(spark: SparkSession, prefix: str = "") -> None:
+    """A table function and an aggregate for the session's SQL: aligned_pairs(pos, cigar) after LATERAL, rank_sum(value, is_ref) over groups.
+
+    A group's values meet in one Arrow batch, so that rank_sum is for groups that fit a worker; ranksums of
+    operators.pileup has no such bound.
+    """
+    spark.udtf.register(f"{prefix}aligned_pairs", F.udtf(AlignedPairs, returnType="op string, pos bigint, qpos int, n int", useArrow=True))
+    spark.udf.register(f"{prefix}rank_sum", F.pandas_udf(rank_sum, "double", F.PandasUDFType.GROUPED_AGG))
