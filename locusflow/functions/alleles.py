@@ -106,7 +106,8 @@ def trimmed(alts: Column, used: Column) -> Column:
 
 
 def renumbered(gt: Column, used: Column) -> Column:
-    """A genotype text after the unused ALTs are gone; removed alleles become missing."""
-    parts = F.split(gt, r"[/|]")
-    place = lambda p: F.when((p == "0") | (p == "."), p).when(F.array_position(used, p.cast("int")) > 0, F.array_position(used, p.cast("int")).cast("string")).otherwise(".")
-    return F.array_join(F.transform(parts, place), "/")
+    """A genotype text after the unused ALTs are gone; removed alleles become missing, and phase stays as it is."""
+    parts, between = F.split(gt, r"[/|]"), F.concat(F.regexp_extract_all(gt, F.lit(r"([/|])"), 1), F.array(F.lit("")))
+    at = lambda p: F.array_position(used, p.try_cast("int"))
+    place = lambda p: F.when((p == "0") | (p == "."), p).when(at(p) > 0, at(p).cast("string")).otherwise(".")
+    return F.array_join(F.zip_with(parts, between, lambda p, b: F.concat(place(p), b)), "")

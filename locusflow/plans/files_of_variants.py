@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from locusflow.functions import alleles
 from locusflow.operators import report
 from locusflow.plans import views as v
 from locusflow.plans.views import VARIANTS
@@ -49,3 +50,22 @@ def typed_variants(spark, sf):
     said = F.array_join(F.array_sort(F.filter("faults", lambda x: ~x.startswith("INFO KEY"))), "")
     ad = F.aggregate(F.get("calls", F.lit(0))["AD"], F.lit(0).cast("bigint"), lambda s, x: s + x)
     return back.select(F.col("other_info")["KEY"].cast("bigint").alias("key"), "contig", "pos", F.array_join("alts", ",").alias("alts"), F.col("info.DP").alias("dp"), said.alias("faults"), add("info.AF").alias("af"), F.col("info.DB").alias("db"), F.get("calls", F.lit(1))["GT"].alias("gt_2"), ad.alias("ad_1"), F.col("other_info")["KEY"].cast("bigint").alias("other"))
+
+
+_GTS = "[CASE key % 4 WHEN 0 THEN '0/1' WHEN 1 THEN '0|2' WHEN 2 THEN '2/2' ELSE './0' END, CASE key % 5 WHEN 0 THEN '0/0' WHEN 1 THEN '0|1' WHEN 2 THEN './.' ELSE '0/2' END]"
+
+
+@query(
+    "renumbered_genotypes",
+    f"""WITH {VARIANTS}, g AS (SELECT key, alts, list_transform({_GTS}, lambda x: replace(x, '2', CAST(len(alts) AS VARCHAR))) AS gts FROM variants),
+ u AS (SELECT *, array_to_string(gts, ' ') LIKE '%1%' AS one, array_to_string(gts, ' ') LIKE '%2%' AS two FROM g)
+ SELECT key, array_to_string(list_concat(CASE WHEN one THEN [alts[1]] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN two THEN [alts[2]] ELSE CAST([] AS VARCHAR[]) END), ',') AS alts, array_to_string(list_transform(gts, lambda x: CASE WHEN one THEN x ELSE replace(x, '2', '1') END), ' ') AS gts FROM u""",
+)
+def renumbered_genotypes(spark, sf):
+    """ALTs that no genotype has are taken out, and genotypes numbered anew."""
+    k, n = F.col("key"), F.size("alts")
+    one = F.when(k % 4 == 0, "0/1").when(k % 4 == 1, "0|2").when(k % 4 == 2, "2/2").otherwise("./0")
+    two = F.when(k % 5 == 0, "0/0").when(k % 5 == 1, "0|1").when(k % 5 == 2, "./.").otherwise("0/2")
+    rows = v.variants(spark, sf).select("key", "alts", *[F.replace(g, F.lit("2"), n.cast("string")).alias(c) for c, g in (("one", one), ("two", two))])
+    rows = rows.withColumn("used", alleles.used_alleles(F.array("one", "two"), n))
+    return rows.select("key", F.array_join(alleles.trimmed(F.col("alts"), F.col("used")), ",").alias("alts"), F.concat_ws(" ", alleles.renumbered(F.col("one"), F.col("used")), alleles.renumbered(F.col("two"), F.col("used"))).alias("gts"))

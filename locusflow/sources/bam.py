@@ -5,7 +5,7 @@ range and, in it, for the first record: a place from which whole valid records f
 that begin in its blocks and reads on to finish the last. A gzip file without block sizes is one range.
 
 Equalities and bounds on contig and pos are pushed down, and the option ``regions`` ("c1:100-200 c2") keeps the
-alignments that meet any of several regions, each once. In a file sorted by coordinate the ranges are chosen by binary
+alignments that meet any of several regions, each once; ``*`` stands for those without a place, ``.`` for all. In a file sorted by coordinate the ranges are chosen by binary
 search over the first records of ranges, a few blocks of a file, and a task ends at the first record behind the last
 wanted place. Without an index nothing bounds how far back an alignment that reaches into a region begins; the option
 ``longest`` (reference bases of an alignment) does, else its contig is read from the start. Only the fixed fields of a
@@ -309,16 +309,18 @@ class BamReader(DataSourceReader):
 
         if self.regions is None and self.contigs is None and self.low <= 0 and self.high >= FAR:
             return None
-        asked = merged_regions(self.regions) if self.regions is not None else [(c, 1, FAR) for c in (names if self.contigs is None else self.contigs)]
-        if unknown := [c for c, *_ in asked if c not in names and self.regions is not None]:
+        texts = (self.regions or "").split()
+        near = self.regions is not None and "." not in texts
+        asked = merged_regions(" ".join(x for x in texts if x != "*")) if near else [(c, 1, FAR) for c in (names if self.contigs is None else self.contigs)]
+        if unknown := [c for c, *_ in asked if c not in names and near]:
             raise ValueError(f"no such contig: {unknown[0]}")
         out = []
         for contig, beg, end in asked:
             if contig in names and (self.contigs is None or contig in self.contigs):
-                lo = self.low if self.regions is None else max(self.low, beg - self.longest + 1)
+                lo = max(self.low, beg - self.longest + 1) if near else self.low
                 if lo <= (hi := min(self.high, end)):
                     out.append((names.index(contig), lo, hi, beg, end))
-        if self.regions is None and self.contigs is None and self.low <= 0 <= self.high:
+        if ("*" in texts or not near) and self.contigs is None and self.low <= 0 <= self.high:
             out.append((-1, 0, FAR, 0, FAR))  # unplaced alignments have no contig and pos 0
         return sorted(out)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,18 +116,43 @@ def regions(spark: SparkSession, path: str, form: str = "tab") -> DataFrame:
     return rows.select(_column(p, 0).alias("contig"), F.least(beg, end).alias("beg"), F.greatest(beg, end).alias("end"))
 
 
-def parse_region(text: str) -> tuple[str, int, int | None]:
-    """contig, beg, end of 'c', 'c:', 'c:5', 'c:-9', 'c:5-9', with thousands separators and {c}:... for names with colons."""
-    m = re.fullmatch(r"(?:\{(.+)\}|([^:]+))(?::(?:([\d,]+))?(?:(-)([\d,]+)?)?)?", text)
+#: What a number in a region may end with.
+SCALES = {"": 1, "k": 10**3, "m": 10**6, "g": 10**9}
+_NUMBER = r"[\d,]+(?:\.\d+)?(?:[eE]\d+)?[kKmMgG]?"
+
+
+def _number(text: str | None) -> int | None:
+    """1,000 or 1e3 or 1k; ValueError where a fraction is left."""
+    if not text:
+        return None
+    scale = text[-1].lower() if text[-1].lower() in SCALES else ""
+    value = Decimal(text.replace(",", "").rstrip("kKmMgG")) * SCALES[scale]
+    if value != int(value):
+        raise ValueError(f"not a whole number: {text!r}")
+    return int(value)
+
+
+def parse_region(text: str) -> tuple[str | None, int, int | None]:
+    """contig, beg, end of 'c', 'c:', 'c:5', 'c:-9', 'c:5-9', with thousands separators, exponents or k, M, G, and {c}:... for names with colons.
+
+    '.' is every contig (None), and '*' the contig '*' of unplaced reads.
+    """
+    if text in (".", "*"):
+        return (None if text == "." else "*"), 1, None
+    m = re.fullmatch(rf"(?:\{{(.+)\}}|([^:]+))(?::(?:({_NUMBER}))?(?:(-)({_NUMBER})?)?)?", text)
     if not m:
         raise ValueError(f"not a region: {text!r}")
-    number = lambda x: int(x.replace(",", "")) if x else None
-    beg, end = number(m[3]) or 1, number(m[5])
+    beg, end = _number(m[3]) or 1, _number(m[5])
     if end is not None and end < beg:
         raise ValueError(f"the region ends before it starts: {text!r}")
     return m[1] or m[2], beg, end
 
 
+def region_list(text: str) -> list[tuple[str | None, int, int | None]]:
+    """Regions between commas; a comma that splits a number is one of its separators."""
+    return [parse_region(x) for x in re.split(r",(?!\d{3}(?:\D|$))", text) if x]
+
+
 def merged_regions(text: str, far: int = 1 << 40) -> list[tuple[str, int, int]]:
     """Regions between spaces, those of a contig that overlap or touch as one, in order of contig and place."""
     out: list[tuple[str, int, int]] = []

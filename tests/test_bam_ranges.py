@@ -74,6 +74,8 @@ def test_any_cut_gives_the_same_records(tmp_path, size, order):
     asked = {"path": str(tmp_path / "x.bam"), "split": "999", "regions": "c1:100-220 c1:200-300 c3:4,000"}
     meets = lambda r: r[1] == 0 and r[2] <= 300 and r[2] + span(r[3]) > 100 or r[1] == 2 and r[2] + span(r[3]) > 4000
     assert [x["qname"] for x in rows(asked)] == [r[0] for r in reads if meets(r)]
+    assert [x["qname"] for x in rows(asked | {"regions": "c3:4000 *"})] == [r[0] for r in reads if r[1] < 0 or r[1] == 2 and r[2] + span(r[3]) > 4000]
+    assert len(rows(asked | {"regions": "."})) == len(reads)
     assert [x["qname"] for x in rows(asked | {"longest": "543"})] == [r[0] for r in reads if meets(r)]
 
 
