@@ -47,11 +47,13 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN, on: list[s
 
     An equi-join on contig, level and bin: an interval meets two or three bins of its level however long it is, and a
     pair meets on the coarser level of its two. A pair belongs to the later of the two first bins, so no distinct is
-    needed. Which levels there are is asked of both sides first, a handful of numbers.
+    needed. Which levels there are is asked of both sides first, a handful of numbers. All that a long interval meets
+    shares its coarse bins: large partitions of them are split by the adaptive skew join, which may repeat the few long ones.
     on: further columns that must be equal.
     """
     left, right = left.withColumn("__level", _level(left, width)), right.withColumn("__level", _level(right, width))
-    levels = [[r[0] for r in side.select("__level").distinct().collect()] for side in (left, right)]
+    found = left.select(F.lit(0), "__level").union(right.select(F.lit(1), "__level")).distinct().collect()  # one job, a number for each level
+    levels = [[level for side, level in found if side == k] for k in (0, 1)]
     named = lambda df, p, *sides: _binned(df, width, *sides).select(F.col("__cell.level").alias(f"{p}level"), F.col("__cell.bin").alias(f"{p}bin"), F.col("__level").alias(f"{p}own"), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "__level"])
     l, r = named(left, "l", levels[0], levels[1]), named(right, "r", levels[1], levels[0])  # noqa: E741
     same = (F.col("l_contig") == F.col("r_contig")) & (F.col("llevel") == F.col("rlevel")) & (F.col("lbin") == F.col("rbin"))
