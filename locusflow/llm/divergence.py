@@ -47,7 +47,7 @@ VOCABULARY = 2**31 - 1
 SMOOTH = 1
 TOP = 200
 #: Distinct terms of one fit, the shards that terms are dealt to from the start, and into how many more a shard is split at a time.
-TERMS, PARTS, FAN = 1 << 21, 2, 16
+TERMS, PARTS, FAN = 1 << 20, 4, 16
 #: One in so many terms, by their hash, is counted to tell how many there are.
 SAMPLE = 64
 #: Pairs of sources that numpy holds at a time.
@@ -144,8 +144,11 @@ def shards(held: DataFrame, n: int, seed: int = 0) -> Iterator[DataFrame]:
     forget(dealt)
 
 
-def group_sums(held: DataFrame, bound: int = TERMS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, n) for the kept terms that a group has, and (lang, term) for all kept terms."""
+def group_sums(held: DataFrame, groups: DataFrame, bound: int = TERMS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(group, lang, term, n) for the kept terms that a group of groups (lang, source, group) has, and (lang, term) for all kept terms.
+
+    group is a number, so that the sums over documents have keys of fixed width.
+    """
     spark, sums = held.sparkSession, f"{shared_dir(held.sparkSession)}/sums-{uuid.uuid4().hex}"
     for i, shard in enumerate(fits(held, bound)):
         # A vocabulary mustn't be empty: '' is in three documents more and stays out of what follows.
@@ -153,10 +156,10 @@ def group_sums(held: DataFrame, bound: int = TERMS, min_docs: int = MIN_DOCS) ->
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=VOCABULARY).fit(shown)
         model.write().save(f"{sums}-model/{i}")
         vocabulary = _vocabulary(spark, f"{sums}-model/{i}/data")
-        vectors = model.transform(shard).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-        cells = vectors.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("c")).groupBy("lang", "source", F.col("c.indices").alias("place")).agg(F.sum("c.values").cast("long").alias("n"))
+        vectors = model.transform(shard.join(groups.select("lang", "source", "group"), ["lang", "source"]).select("group", "terms")).select("group", F.unwrap_udt("vector").alias("v"))
+        cells = vectors.select("group", F.explode(F.arrays_zip("v.indices", "v.values")).alias("c")).groupBy("group", F.col("c.indices").alias("place")).agg(F.sum("c.values").cast("long").alias("n"))
         # At most bound terms or so, by the choice of the fits.
-        cells.join(F.broadcast(vocabulary.select("place", "term")), "place").select("lang", "source", "term", "n").write.parquet(f"{sums}/part={i}")
+        cells.join(F.broadcast(vocabulary.select("place", "lang", "term")), "place").select("group", "lang", "term", "n").write.parquet(f"{sums}/part={i}")
     kept = _vocabulary(spark, f"{sums}-model/*/data").where("place_of <> ''").select("lang", "term")
     return spark.read.parquet(sums).drop("part"), kept
 
@@ -224,15 +227,15 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """lang, source, part, item, value, rank: ``pair`` against each other source, ``term`` the terms above the lang's share."""
     held = written(terms(docs, text, lang, source), "terms", by="shard")
     groups = docs.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source")).distinct()
-    groups = written(groups.withColumn("id", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long")), "groups")
-    sums, kept = group_sums(held, bound, min_docs)
+    groups = written(groups.withColumn("id", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long")).withColumn("group", F.monotonically_increasing_id()), "groups")
+    sums, kept = group_sums(held, groups, bound, min_docs)
     of_lang = sums.groupBy("lang").agg(F.sum("n").alias("all_n")).join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang", "right")
-    of_group = sums.groupBy("lang", "source").agg(F.sum("n").alias("own_n"))
+    of_group = sums.groupBy("group").agg(F.sum("n").alias("own_n"))
     # A row per group, with what its shares divide by.
-    stats = groups.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(0, ["own_n", "all_n", "v"])
-    stats = stats.select("lang", "source", "id", "v", (F.col("own_n") + SMOOTH * F.col("v")).alias("own"), (F.col("all_n") + SMOOTH * F.col("v")).alias("all"))
+    stats = groups.join(of_group, "group", "left").join(of_lang, "lang", "left").fillna(0, ["own_n", "all_n", "v"])
+    stats = stats.select("lang", "source", "group", "id", "v", (F.col("own_n") + SMOOTH * F.col("v")).alias("own"), (F.col("all_n") + SMOOTH * F.col("v")).alias("all"))
     stats = written(stats.withColumn("p0", F.when(F.col("v") > 0, share(F.lit(0).cast("long"), F.greatest("own", F.lit(1))))), "groups")
-    each = sums.join(stats, ["lang", "source"]).select("lang", "term", "id", "n", "all", share(F.col("n"), F.col("own")).alias("p"), "p0")
+    each = sums.join(stats.drop("lang"), "group").select("lang", "term", "id", "n", "all", share(F.col("n"), F.col("own")).alias("p"), "p0")
     # At most one entry per source of the lang.
     by_term = each.groupBy("lang", "term").agg(F.collect_list(F.struct("id", "p", "p0")).alias("sources"), F.sum("n").alias("n"), F.first("all").alias("all"))
     by_term = written(by_term.select("lang", "term", "sources", share(F.col("n"), F.col("all")).alias("q")), "by_term")
