@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of a batch for Python workers.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+#: Whether a finished query's shuffle files are deleted at once; what is written is read from the shared folder alone.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _noted: list[list] = []
 
@@ -47,30 +49,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, batches for Python are bounded by bytes as well as rows, so that long texts don't fill a worker."""
-    held = spark.conf.get(BATCH, None)
-    spark.conf.set(BATCH, BATCH_BYTES)
+def settings_for_a_while(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session with these settings while it lasts, and with its own again after it."""
+    held = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(BATCH) if held is None else spark.conf.set(BATCH, held)
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def bounded(spark: SparkSession) -> None:
-    """The same for the rest of the session."""
+    """For the rest of the session batches for Python are bounded by bytes as well as rows, so that long texts don't fill a worker."""
     spark.conf.set(BATCH, BATCH_BYTES)
 
 
 def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and nothing is computed twice.
 
-    Files in the shared folder outlive executors, so a lost executor costs only its running tasks. by: a column
-    whose values get folders of their own.
+    Files in the shared folder outlive executors, so a lost executor costs only its running tasks. The shuffle files
+    of the writing go when it is done. by: a column whose values get folders of their own.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with settings_for_a_while(spark, {BATCH: BATCH_BYTES, CLEANUP: "true"}):
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

@@ -485,15 +485,15 @@ def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
-    """(doc, n) of every row, and (node, component) of the documents with links."""
+    """(doc, n, sig) of every row, and (node, component) of the documents with links: written tables, which ``forget`` takes."""
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LOWEST)).alias("doc"), F.col(text).alias("text"))
     first = written(rows.mapInArrow(_sizes, "doc bigint, n bigint, sig bigint, bits binary, block int, cells binary, counts binary"), "sizes")
-    sizes = first.where("block is null").select("doc", "n", "sig")
+    sizes = written(first.where("block is null").select("doc", "n", "sig"), "signatures")
     order = spark.sparkContext.broadcast(gram_order(first.where("block is not null").select("block", "cells", "counts"), fragments))
     # Equal sets: each document links to the smallest of its set.
     firsts = written(sizes.where("n > 0").groupBy("sig", "n").agg(F.min("doc").alias("doc")), "firsts")
-    same = sizes.join(firsts.withColumnRenamed("doc", "b"), ["sig", "n"]).select(F.col("doc").alias("a"), "b").where("a != b")
+    same = sizes.where("n > 0").join(firsts.withColumnRenamed("doc", "b"), ["sig", "n"]).select(F.col("doc").alias("a"), "b").where("a != b")
     groups = written(rows.mapInArrow(_leads(order, n), SENT).repartitionById(n, "bucket").mapInArrow(_groups, GROUPS), "groups")
     need = lambda n: F.ceil(F.col(n) * PART / WHOLE)
     # Two linked sets share at least so many leading grams; half of them will do, as other groups may have other hubs.
@@ -503,6 +503,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fragment
     best = best.select(*[F.col(c).cast("bigint").alias(name) for c, name in zip(("sig", "n", "best.hub", "best.hub_n"), PAIR)])
     grouped = groups.select("sig", F.col("n").cast("bigint").alias("n")).distinct()
     maps = written(first.where("bits is not null").select("sig", "n", "bits").join(grouped, ["sig", "n"]).groupBy("sig", "n").agg(F.any_value("bits").alias("bits")), "maps")
+    forget(first)
 
     def in_documents(pairs: DataFrame) -> DataFrame:
         ends = [firsts.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("doc").alias(f"doc_{x}")) for x in "ab"]
@@ -525,8 +526,8 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fragment
     across = written(_unsettled(members, maps, n), "across")
     forget(members)
     whole = joined(across, found.select("node", "component"))
-    forget(across, maps, found)
-    return sizes.select("doc", "n"), whole
+    forget(across, maps, found, firsts)
+    return sizes, whole
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
