@@ -62,10 +62,12 @@ def _anchors(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _pack(first, second, doc, row, pos, known: bool, buckets: int) -> Iterator[dict]:
-    """Entries by bucket, the partition of their hash; those already settled by that of their row."""
+    """Entries by bucket, the partition of their hash; those already settled by that of their row. Without a second hash half of the first is sent."""
     place = ((row.astype(np.uint64) if known else first) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(place, kind="stable")
     cuts = np.flatnonzero(np.diff(place[order])) + 1
+    if first is not None and second is None:
+        first = (first >> np.uint64(32)).astype(np.uint32)
     for part in np.split(order, cuts) if len(order) else []:
         raw = lambda x: x[part].tobytes() if x is not None else b""
         yield {"bucket": int(place[part[0]]), "first": raw(first), "second": raw(second), "doc": raw(doc), "row": raw(row), "pos": raw(pos), "known": known}
@@ -95,7 +97,7 @@ def _settle(held: list[tuple], buckets: int, anchors: bool) -> pa.RecordBatch:
     first, second, doc, row, pos = (np.concatenate(x) for x in zip(*held))
     order, later, new = _later(first, second, doc, row, pos)
     ask, done = order[new], order[_shared(new) if anchors else later]
-    out = [*_pack(first[ask], second[ask], None if anchors else doc[ask], row[ask], pos[ask], False, buckets), *_pack(None, None, None, row[done], pos[done], True, buckets)]
+    out = [*_pack(first[ask], None if anchors else second[ask], None if anchors else doc[ask], row[ask], pos[ask], False, buckets), *_pack(None, None, None, row[done], pos[done], True, buckets)]
     return pa.RecordBatch.from_pylist(out, ARROW)
 
 
@@ -142,8 +144,11 @@ def _meet(anchors: bool):
             for r in batch.to_pylist():
                 row, pos = np.frombuffer(r["row"], np.int64), np.frombuffer(r["pos"], np.int32)
                 if not r["known"]:
-                    doc = np.zeros(len(row), np.int64) if anchors else np.frombuffer(r["doc"], np.int64)
-                    for x, v in zip(asks, (np.frombuffer(r["first"], np.uint64), np.frombuffer(r["second"], np.uint32), doc, row, pos)):
+                    if anchors:  # 32 bits inside a bucket: anchors that fall together only have windows looked up in vain
+                        held = ((np.uint64(r["bucket"]) << np.uint64(32)) | np.frombuffer(r["first"], np.uint32), np.zeros(len(row), np.uint32), np.zeros(len(row), np.int64))
+                    else:
+                        held = (np.frombuffer(r["first"], np.uint64), np.frombuffer(r["second"], np.uint32), np.frombuffer(r["doc"], np.int64))
+                    for x, v in zip(asks, (*held, row, pos)):
                         x.append(v)
                     continue
                 order = np.lexsort((pos, row))
