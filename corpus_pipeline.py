@@ -39,8 +39,10 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     held, restored = _aside(docs, "doc_id", "text")
     keyed = held.withColumn("__row", rlz.row_key(F.col("doc_id"), F.col("text")))
-    _, found = jaccard.linked(keyed, "__row")
-    found = written(found.union(found.select("component", "component")).distinct(), "classes")
+    sizes, links = jaccard.linked(keyed, "__row")
+    forget(sizes)
+    found = written(links.union(links.select("component", "component")).distinct(), "classes")
+    forget(links)
     ids = keyed.select(F.col("__row").alias("node"), "doc_id").distinct().join(found, "node")
     kept = ids.groupBy("component").agg(F.min(F.struct("doc_id", "node"))["node"].alias("node"))
     others = written(ids.where("doc_id is not null").select("node").distinct().join(kept, "node", "left_anti").withColumnRenamed("node", "__row"), "others")
