@@ -16,9 +16,12 @@ the same way, so that a group of any size sends at most a few rows per task. Of
 one that most of its groups make, and in large groups a few more, drawn by hashes. The components of the links found
 tell which groups are settled: all members in one component. Only where a group spans several components are pairs
 across them formed, by length and place of the shared gram, large groups in cells of two blocks of members, and verified
-in a second round. Bit maps of the sets turn most pairs away before either round: a bit says whether an odd number of
-a set's grams falls on it, so that two sets differ by at least as many grams as their maps differ by bits. So no link
-between components is missed, and a large group of near copies costs a few pairs per copy.
+in further rounds. Bit maps of the sets turn most pairs away before any round: a bit says whether an odd number of
+a set's grams falls on it, so that two sets differ by at least as many grams as their maps differ by bits. A cell with
+more pairs left than a few per member sends a spanning forest of them alone, over its components, the nearest pairs
+first; what they link makes most of the others needless. Rounds go on, with twice as many pairs per member each time,
+until every cell has sent all its pairs. So no link between components is missed, and a large group of near copies
+costs a few pairs per copy.
 
 Of a round's texts only those of documents in its pairs are exchanged. Verification compares 48 bits of a gram's hash.
 
@@ -60,6 +63,8 @@ TRIES, MANY = 3, 8
 SMALL = 16
 #: Members of a group of several components that are compared in one cell, from either side.
 BLOCK = 4096
+#: Pairs per member up to which a cell sends all of them in the first round across components.
+TIMES = 2
 LOWEST = -(1 << 63)
 
 PAIR = ["a", "n_a", "b", "n_b"]
@@ -386,50 +391,89 @@ def verified(pairs: DataFrame, pieces: DataFrame, fragments: int = FRAGMENTS) ->
     return total.where(WHOLE * F.col("shared") >= PART * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select(*PAIR)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one group and cell in different components whose sizes, places and maps allow a link, each once for a task's flush.
+def _forest(u: np.ndarray, v: np.ndarray, nodes: int) -> np.ndarray:
+    """Places of the edges of the least spanning forest; edges (u, v) come in order of weight. Each node takes its first edge, and what these join is one node."""
+    left, label, kept = np.arange(len(u)), np.arange(nodes), []
+    while True:
+        left = left[label[u[left]] != label[v[left]]]
+        if not len(left):
+            return np.sort(np.concatenate(kept)) if kept else left
+        first = np.full(nodes, len(u))
+        for end in (u, v):
+            np.minimum.at(first, label[end[left]], left)
+        own = np.flatnonzero(first < len(u))
+        kept.append(np.unique(first[own]))
+        parent = np.arange(nodes)
+        parent[own] = label[u[first[own]]] + label[v[first[own]]] - own
+        parent = np.where((parent[parent] == np.arange(nodes)) & (np.arange(nodes) < parent), np.arange(nodes), parent)
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
+def _across(times: int):
+    """Pairs of one group and cell in different components whose sizes, places and maps allow a link, each once for a task.
 
     In a group and cell members are sorted by size; each round compares every member with the k-th one after it, as
-    long as that isn't too large.
+    long as that isn't too large. Of a cell with more than ``times`` pairs per member only a spanning forest of its
+    components stays, the nearest pairs first; a row of nulls tells of it.
     """
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    gram, cell, block, sig, n, place, comp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("gram", "cell", "block", "sig", "n", "place", "component"))
-    maps = np.concatenate([np.frombuffer(b"".join(b.column("map").to_pylist()), np.uint64) for b in held]).reshape(-1, MAP_BITS // 64)
-    by = np.lexsort((sig, n, cell, gram))
-    gram, cell, block, sig, n, place, comp, maps = gram[by], cell[by], block[by], sig[by], n[by].astype(np.int64), place[by], comp[by], maps[by]
-    group = np.cumsum(np.append(True, (gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])))
-    diagonal = (cell >> 32) == (cell & 0xFFFFFFFF)
-    at, k, made, size = np.arange(len(gram)), 1, [], 0
-
-    def packed() -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*made))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        gram, cell, block, sig, n, place, comp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("gram", "cell", "block", "sig", "n", "place", "component"))
+        maps = np.concatenate([np.frombuffer(b"".join(b.column("map").to_pylist()), np.uint64) for b in held]).reshape(-1, MAP_BITS // 64)
+        by = np.lexsort((sig, n, cell, gram))
+        gram, cell, block, sig, n, place, comp, maps = gram[by], cell[by], block[by], sig[by], n[by].astype(np.int64), place[by], comp[by], maps[by]
+        group = np.cumsum(np.append(False, (gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])))
+        most = times * np.bincount(group)
+        cut = np.zeros(len(most), bool)
+        by = np.lexsort((comp, group))
+        node = np.empty(len(gram), np.int64)
+        node[by] = np.cumsum(np.append(False, (group[by][1:] != group[by][:-1]) | (comp[by][1:] != comp[by][:-1])))
+        diagonal = (cell >> 32) == (cell & 0xFFFFFFFF)
+
+        def fewer(made: list[tuple]) -> list[tuple]:
+            """The pairs found so far, a forest of them where there are too many; what forests leave out stays out whatever comes."""
+            a, b, least = (np.concatenate(x) for x in zip(*made))
+            cut[np.bincount(group[a], minlength=len(most)) > most] = True
+            over = np.flatnonzero(cut[group[a]])
+            over = over[np.lexsort((sig[b[over]], sig[a[over]], least[over] / (n[a[over]] + n[b[over]])))]
+            keep = ~cut[group[a]]
+            keep[over[_forest(node[a[over]], node[b[over]], int(node.max()) + 1)]] = True
+            return [(a[keep], b[keep], least[keep])]
+
+        at, k, made, size = np.arange(len(gram)), 1, [], 0
+        while True:
+            at = at[at + k < len(gram)]
+            at = at[(group[at] == group[at + k]) & (needed(n[at + k]) <= n[at])]
+            if not len(at):
+                break
+            x = at[(comp[at] != comp[at + k]) & (sig[at] != sig[at + k]) & (diagonal[at] | (block[at] != block[at + k])) & _fits(n[at], place[at], n[at + k], place[at + k])]
+            if len(x):
+                least = np.bitwise_count(maps[x] ^ maps[x + k]).sum(1, np.int64)
+                near = _near(n[x], n[x + k], least)
+                made.append((x[near], x[near] + k, least[near]))
+                size += len(made[-1][0])
+            if size >= FLUSH:
+                made, size = fewer(made), 0
+            k += 1
+        if not made:
+            return
+        a, b, _ = fewer(made)[0]
         swap = sig[a] < sig[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         by = np.lexsort((sig[b], sig[a]))
         a, b = a[by], b[by]
-        new = np.append(True, (sig[a][1:] != sig[a][:-1]) | (sig[b][1:] != sig[b][:-1]))
+        new = np.append(True, (sig[a][1:] != sig[a][:-1]) | (sig[b][1:] != sig[b][:-1]))[: len(a)]
         a, b = a[new], b[new]
-        return pa.RecordBatch.from_arrays([pa.array(sig[a]), pa.array(n[a]), pa.array(sig[b]), pa.array(n[b])], names=PAIR)
+        yield pa.RecordBatch.from_arrays([pa.array(sig[a]), pa.array(n[a]), pa.array(sig[b]), pa.array(n[b])], names=PAIR)
+        if cut.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4, names=PAIR)
 
-    while True:
-        at = at[at + k < len(gram)]
-        at = at[(group[at] == group[at + k]) & (needed(n[at + k]) <= n[at])]
-        if not len(at):
-            break
-        x = at[(comp[at] != comp[at + k]) & (sig[at] != sig[at + k]) & (diagonal[at] | (block[at] != block[at + k])) & _fits(n[at], place[at], n[at + k], place[at + k])]
-        if len(x):
-            x = x[_near(n[x], n[x + k], np.bitwise_count(maps[x] ^ maps[x + k]).sum(1, np.int64))]
-        if len(x):
-            made.append((x, x + k))
-            size += len(x)
-        if size >= FLUSH:
-            yield packed()
-            made, size = [], 0
-        k += 1
-    if made:
-        yield packed()
+    return run
 
 
 def _placed(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -451,14 +495,14 @@ def _drawn(groups: DataFrame, tries: int = TRIES) -> DataFrame:
     return best.select(*[F.col(c).cast("bigint").alias(name) for c, name in zip(("sig", "n", "hub.sig", "hub.n"), PAIR)])
 
 
-def _unsettled(members: DataFrame, maps: DataFrame, parts: int) -> DataFrame:
-    """Pairs across the components that meet in a group."""
+def _unsettled(members: DataFrame, maps: DataFrame, parts: int, times: int = TIMES) -> DataFrame:
+    """Pairs across the components that meet in a group; with a row of nulls if a cell has more than ``times`` per member and keeps some back."""
     blocks = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("sig", "n"), "blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = blocks.withColumn("other", other).withColumn("cell", F.shiftleft(F.least("block", "other"), 32).bitwiseOR(F.greatest("block", "other")))
     folded = maps.mapInArrow(_folded, "sig bigint, n bigint, map binary")
     dealt = cells.join(folded, ["sig", "n"]).select("gram", "cell", "block", "sig", "n", "place", "component", "map").repartition(parts, "gram", "cell")
-    return dealt.mapInArrow(_across, "a bigint, n_a bigint, b bigint, n_b bigint").distinct()
+    return dealt.mapInArrow(_across(times), "a bigint, n_a bigint, b bigint, n_b bigint").distinct()
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,15 +563,18 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fragment
         forget(links)
         return out
 
-    found = joined(best.union(_drawn(groups)).distinct(), same)
-    classes = firsts.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "n", F.coalesce("component", "doc").alias("component"))
-    members = _placed(groups, classes)
-    forget(groups)
-    across = written(_unsettled(members, maps, n), "across")
-    forget(members)
-    whole = joined(across, found.select("node", "component"))
-    forget(across, maps, found, firsts)
-    return sizes, whole
+    found, times, kept_back = joined(best.union(_drawn(groups)).distinct(), same), TIMES, True
+    while kept_back:
+        classes = firsts.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "n", F.coalesce("component", "doc").alias("component"))
+        members = _placed(groups, classes)
+        forget(groups)
+        across = written(_unsettled(members, maps, n, times), "across")
+        kept_back = not across.where("a is null").isEmpty()
+        whole = joined(across.where("a is not null"), found.select("node", "component"))
+        forget(across, found)
+        groups, found, times = members, whole, 2 * times
+    forget(groups, maps, firsts)
+    return sizes, found
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

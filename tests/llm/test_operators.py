@@ -263,6 +263,41 @@ def test_jaccard_second_round_links_what_hubs_miss(spark):
     assert sorted((x["doc_id"] or -1, x["component_id"]) for x in jaccard.join(odd).collect()) == [(-1, None), (4, None), (4, None), (6, None)]
 
 
+def test_jaccard_sends_few_pairs_of_a_group_without_a_centre(spark, monkeypatch):
+    """Copies of a text that isn't there: any of them links to some of the others only, so that hubs leave many apart."""
+    r, base, counts, write = random.Random(4), data.prose(700, 200).split(), [], jaccard.written
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for k in r.sample(range(200), r.choice([3, 4, 4, 4])):
+            own[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(own)))
+
+    def counted(df, label, by=None):
+        out = write(df, label, by)
+        if label == "across":
+            counts.append(out.where("a is not null").count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)).collect()}
+    assert got == data.classes(rows)
+    assert sum(counts) < 4 * len(rows), counts
+
+
+def test_least_forest():
+    """Against Kruskal's way, edge by edge."""
+    r = np.random.default_rng(3)
+    for nodes, edges in ((1, 0), (5, 3), (40, 200), (200, 150)):
+        u, v = r.integers(nodes, size=edges), r.integers(nodes, size=edges)
+        of, want = list(range(nodes)), []
+        for i, (x, y) in enumerate(zip(u, v)):
+            if of[x] != of[y]:
+                want.append(i)
+                of = [of[x] if c == of[y] else c for c in of]
+        assert jaccard._forest(u, v, nodes).tolist() == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
