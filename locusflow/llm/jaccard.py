@@ -19,8 +19,8 @@ across them formed, by length and place of the shared gram, large groups in cell
 in further rounds. Bit maps of the sets turn most pairs away before any round: a bit says whether an odd number of
 a set's grams falls on it, so that two sets differ by at least as many grams as their maps differ by bits. A cell with
 more pairs left than a few per member sends a spanning forest of them alone, over its components, the nearest pairs
-first; what they link makes most of the others needless. Rounds go on, with twice as many pairs per member each time,
-until every cell has sent all its pairs. So no link between components is missed, and a large group of near copies
+first; what they link makes most of the others needless. Rounds go on for the groups of such cells, with twice as many
+pairs per member each time, until every cell has sent all its pairs. So no link between components is missed, and a large group of near copies
 costs a few pairs per copy.
 
 Of a round's texts only those of documents in its pairs are exchanged. Verification compares 48 bits of a gram's hash.
@@ -63,7 +63,7 @@ TRIES, MANY = 3, 8
 SMALL = 16
 #: Members of a group of several components that are compared in one cell, from either side.
 BLOCK = 4096
-#: Pairs per member up to which a cell sends all of them in the first round across components.
+#: Pairs per member up to which a cell of more than SMALL members sends all of them in the first round across components.
 TIMES = 2
 LOWEST = -(1 << 63)
 
@@ -415,8 +415,8 @@ def _across(times: int):
     """Pairs of one group and cell in different components whose sizes, places and maps allow a link, each once for a task.
 
     In a group and cell members are sorted by size; each round compares every member with the k-th one after it, as
-    long as that isn't too large. Of a cell with more than ``times`` pairs per member only a spanning forest of its
-    components stays, the nearest pairs first; a row of nulls tells of it.
+    long as that isn't too large. Of a cell with more than SMALL members and ``times`` pairs per member only a spanning
+    forest of its components stays, the nearest pairs first; a row (gram, null, null, null) tells of it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +428,8 @@ def _across(times: int):
         by = np.lexsort((sig, n, cell, gram))
         gram, cell, block, sig, n, place, comp, maps = gram[by], cell[by], block[by], sig[by], n[by].astype(np.int64), place[by], comp[by], maps[by]
         group = np.cumsum(np.append(False, (gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])))
-        most = times * np.bincount(group)
+        most = np.bincount(group)
+        most *= np.where(most > SMALL, times, SMALL)
         cut = np.zeros(len(most), bool)
         by = np.lexsort((comp, group))
         node = np.empty(len(gram), np.int64)
@@ -470,8 +471,8 @@ def _across(times: int):
         new = np.append(True, (sig[a][1:] != sig[a][:-1]) | (sig[b][1:] != sig[b][:-1]))[: len(a)]
         a, b = a[new], b[new]
         yield pa.RecordBatch.from_arrays([pa.array(sig[a]), pa.array(n[a]), pa.array(sig[b]), pa.array(n[b])], names=PAIR)
-        if cut.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4, names=PAIR)
+        some = pa.array(np.unique(gram[cut[group]]))
+        yield pa.RecordBatch.from_arrays([some, *[pa.nulls(len(some), pa.int64())] * 3], names=PAIR)
 
     return run
 
@@ -496,7 +497,7 @@ def _drawn(groups: DataFrame, tries: int = TRIES) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, maps: DataFrame, parts: int, times: int = TIMES) -> DataFrame:
-    """Pairs across the components that meet in a group; with a row of nulls if a cell has more than ``times`` per member and keeps some back."""
+    """Pairs across the components that meet in a group; and a row (gram, null, null, null) for each group that keeps some back, as a cell has more than ``times`` per member."""
     blocks = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("sig", "n"), "blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = blocks.withColumn("other", other).withColumn("cell", F.shiftleft(F.least("block", "other"), 32).bitwiseOR(F.greatest("block", "other")))
@@ -563,17 +564,22 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fragment
         forget(links)
         return out
 
-    found, times, kept_back = joined(best.union(_drawn(groups)).distinct(), same), TIMES, True
-    while kept_back:
+    found, times = joined(best.union(_drawn(groups)).distinct(), same), TIMES
+    held, read = groups, [groups]
+    while True:
         classes = firsts.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "n", F.coalesce("component", "doc").alias("component"))
-        members = _placed(groups, classes)
-        forget(groups)
+        members = _placed(held, classes)
+        forget(*read)
         across = written(_unsettled(members, maps, n, times), "across")
-        kept_back = not across.where("a is null").isEmpty()
-        whole = joined(across.where("a is not null"), found.select("node", "component"))
-        forget(across, found)
-        groups, found, times = members, whole, 2 * times
-    forget(groups, maps, firsts)
+        whole = joined(across.where("b is not null"), found.select("node", "component"))
+        forget(found)
+        found, times, read = whole, 2 * times, [members, across]
+        kept_back = across.where("b is null").select(F.col("a").alias("gram"))
+        if kept_back.isEmpty():
+            break
+        # The other groups have sent all their pairs.
+        held = members.join(kept_back, "gram", "left_semi")
+    forget(*read, maps, firsts)
     return sizes, found
 
 

@@ -276,7 +276,7 @@ def test_jaccard_sends_few_pairs_of_a_group_without_a_centre(spark, monkeypatch)
     def counted(df, label, by=None):
         out = write(df, label, by)
         if label == "across":
-            counts.append(out.where("a is not null").count())
+            counts.append(out.where("b is not null").count())
         return out
 
     monkeypatch.setattr(jaccard, "written", counted)
