@@ -35,7 +35,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import forget, shared_dir, table, written
+from locusflow.llm.common import BATCH, BATCH_BYTES, forget, settings_for_a_while, shared_dir, table, written
 
 GAP = 32
 #: By byte of a text: terms are runs of A-Z, a-z and whatever lies above U+007F.
@@ -52,6 +52,8 @@ TERMS, PARTS, FAN = 1 << 20, 4, 16
 SAMPLE = 64
 #: Pairs of sources that numpy holds at a time.
 PAIRS = 1 << 20
+#: Entries of vectors that numpy sums at a time, and the cells of a table of sums for each of them.
+ENTRIES, DENSE = 1 << 20, 8
 
 
 def terms(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -144,6 +146,37 @@ def shards(held: DataFrame, n: int, seed: int = 0) -> Iterator[DataFrame]:
     forget(dealt)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, place, n): the sums of vectors (group, indices, values) by group, ENTRIES or so at a time."""
+    held, size = [], 0
+
+    def summed() -> pa.RecordBatch:
+        group, sizes, place, value = (np.concatenate(x) for x in zip(*held))
+        groups, of = np.unique(group, return_inverse=True)
+        width = int(place.max(initial=0)) + 1
+        key = np.repeat(of, sizes) * width + place
+        if len(groups) * width <= DENSE * ENTRIES:
+            sums = np.bincount(key, value)
+            keys = np.flatnonzero(sums)
+            sums = sums[keys]
+        else:
+            by = np.argsort(key)
+            key = key[by]
+            begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[: len(key)]
+            keys, sums = key[begins], np.add.reduceat(value[by], begins) if len(key) else value
+        return pa.RecordBatch.from_arrays([pa.array(groups[keys // width]), pa.array((keys % width).astype(np.int32)), pa.array(sums.astype(np.int64))], ["group", "place", "n"])
+
+    for batch in batches:
+        indices, values = batch.column("indices"), batch.column("values")
+        held.append((batch.column("group").to_numpy(), indices.value_lengths().to_numpy(), indices.flatten().to_numpy(), values.flatten().to_numpy()))
+        size += len(held[-1][2])
+        if size >= ENTRIES:
+            yield summed()
+            held, size = [], 0
+    if held:
+        yield summed()
+
+
 def group_sums(held: DataFrame, groups: DataFrame, bound: int = TERMS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(group, lang, term, n) for the kept terms that a group of groups (lang, source, group) has, and (lang, term) for all kept terms.
 
@@ -157,9 +190,10 @@ def group_sums(held: DataFrame, groups: DataFrame, bound: int = TERMS, min_docs:
         model.write().save(f"{sums}-model/{i}")
         vocabulary = _vocabulary(spark, f"{sums}-model/{i}/data")
         vectors = model.transform(shard.join(groups.select("lang", "source", "group"), ["lang", "source"]).select("group", "terms")).select("group", F.unwrap_udt("vector").alias("v"))
-        cells = vectors.select("group", F.explode(F.arrays_zip("v.indices", "v.values")).alias("c")).groupBy("group", F.col("c.indices").alias("place")).agg(F.sum("c.values").cast("long").alias("n"))
-        # At most bound terms or so, by the choice of the fits.
-        cells.join(F.broadcast(vocabulary.select("place", "lang", "term")), "place").select("group", "lang", "term", "n").write.parquet(f"{sums}/part={i}")
+        cells = vectors.select("group", "v.indices", "v.values").mapInArrow(_counted, "group bigint, place int, n bigint").groupBy("group", "place").agg(F.sum("n").alias("n"))
+        with settings_for_a_while(spark, {BATCH: BATCH_BYTES}):
+            # At most bound terms or so, by the choice of the fits.
+            cells.join(F.broadcast(vocabulary.select("place", "lang", "term")), "place").select("group", "lang", "term", "n").write.parquet(f"{sums}/part={i}")
     kept = _vocabulary(spark, f"{sums}-model/*/data").where("place_of <> ''").select("lang", "term")
     return spark.read.parquet(sums).drop("part"), kept
 

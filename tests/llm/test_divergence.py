@@ -76,3 +76,29 @@ def test_terms_of_a_batch():
     assert len(set(h.tolist())) == 5
     for empty in (pa.array([], pa.string()), pa.array(["", ""])):
         assert divergence._cut(empty)[2].size == 0
+
+
+def test_sums_of_vectors(monkeypatch):
+    """By a table of sums and by sorting, one batch at a time or several; a batch leaves as many rows as it has sums."""
+    import numpy as np
+    import pyarrow as pa
+
+    r, want, batches = random.Random(5), Counter(), []
+    for k in range(6):
+        rows = [(r.choice([3, 8 << 33, 9]), sorted(r.sample(range(50), r.randint(0, 9)))) for _ in range(0 if k == 2 else 40)]
+        values = [[float(r.randint(1, 5)) for _ in places] for _, places in rows]
+        for (group, places), own in zip(rows, values):
+            want.update({(group, p): int(v) for p, v in zip(places, own)})
+        arrays = [pa.array([g for g, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
+        batches.append(pa.RecordBatch.from_arrays(arrays, ["group", "indices", "values"]))
+    for entries, dense in ((1 << 20, 8), (1, 0), (300, 0), (300, 8)):
+        monkeypatch.setattr(divergence, "ENTRIES", entries)
+        monkeypatch.setattr(divergence, "DENSE", dense)
+        got, out = Counter(), list(divergence._counted(iter(batches)))
+        for b in out:
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("group", "place", "n"))))
+            assert len({x[:2] for x in rows}) == len(rows)
+            got.update({(g, p): n for g, p, n in rows})
+        assert got == want
+    assert np.all([b.num_rows <= 150 for b in out])
+    assert list(divergence._counted(iter([]))) == []
