@@ -371,7 +371,7 @@ def _cut(rows: DataFrame, pairs: DataFrame, firsts: DataFrame, order) -> DataFra
     bits = rows.select("text", *[F.pmod(F.xxhash64("doc", F.lit(i)), F.lit(FILTER_BITS)).alias(f"bit{i}") for i in range(3)])
     pieces = written(bits.mapInArrow(_pieces(order, held), PIECES).join(ends, ["sig", "n"]), "pieces")
     forget(ends)
-    held.unpersist()
+    held.destroy()  # the driver's copy goes as well
     return pieces
 
 
@@ -580,6 +580,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fragment
         # The other groups have sent all their pairs.
         held = members.join(kept_back, "gram", "left_semi")
     forget(*read, maps, firsts)
+    order.destroy()
     return sizes, found
 
 
