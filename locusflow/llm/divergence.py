@@ -5,6 +5,10 @@ integer, so that none is cut off) and turns documents into exact sparse vectors;
 sparse too, and pairs of sources are evaluated from what is in the sums. A term bears its lang in front, so that one
 fit serves all langs and counts each lang's documents apart.
 
+A task folds the documents of a group that it holds together before they are counted: a term of d of them stands in
+min(d, MIN_DOCS) rows, and each row says how often its terms count. Rows with a term are MIN_DOCS or more where documents
+with it are, and the rows' vectors, each taken so often, have the documents' sums.
+
 The driver and the executors hold the vocabulary of a fit. Its size is therefore bounded: terms are dealt by hash into
 shards, and shards of TERMS distinct terms in all share a fit over their own terms of every document; larger ones are split. Shards share
 no term, so the sums are the same, and no shard's vocabulary grows with the input.
@@ -52,18 +56,21 @@ TERMS, PARTS, FAN = 1 << 20, 4, 16
 SAMPLE = 64
 #: Pairs of sources that numpy holds at a time.
 PAIRS = 1 << 20
+#: Bytes of text that are folded at a time.
+FOLDED = 1 << 23
 #: Entries of vectors that numpy sums at a time, and the cells of a table of sums for each of them.
 ENTRIES, DENSE = 1 << 20, 8
 
 
-def terms(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, terms, shard): the terms of each text that a hash deals to a shard, A-Z in lower case, each behind its lang and a NUL.
+def terms(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
+    """(lang, source, terms, times, shard): documents folded by group, their terms dealt to shards by a hash, A-Z in lower case, each behind its lang and a NUL.
 
-    A text is a row for each of PARTS shards that it has terms in: a term is in one of them, so that counts of rows are
-    counts of documents. Shards below 0 hold a sample of the distinct terms of the shards -1 - shard.
+    A row has a term once, and it counts ``times`` times. Of a term's documents, up to min_docs have a row each, so that
+    counts of rows tell whether min_docs documents have the term; a term is in one shard. Shards below 0 hold a sample of
+    the distinct terms of the shards -1 - shard.
     """
     held = docs.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), F.coalesce(text, F.lit("")).alias("text"))
-    return held.mapInArrow(_dealt, "lang string, source string, terms array<string>, shard int")
+    return held.mapInArrow(_dealt(max(1, min_docs)), "lang string, source string, terms array<string>, times bigint, shard int")
 
 
 def _cut(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,27 +97,68 @@ def _hashes(letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(named: pa.Array, part: np.ndarray, row: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Terms sorted by part and text as a row for each of the two."""
-        begins = np.flatnonzero(np.r_[True, (np.diff(part) != 0) | (np.diff(row) != 0)]) if len(part) else np.zeros(0, dtype=np.int64)
-        texts = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(part)], pa.int32()), named)
-        of = pa.array(row[begins])
-        return pa.RecordBatch.from_arrays([batch.column("lang").take(of), batch.column("source").take(of), texts, pa.array(part[begins], pa.int32())], ["lang", "source", "terms", "shard"])
-
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have FOLDED bytes of text."""
+    held, size = [], 0
     for batch in batches:
-        letters, bounds, row = _cut(batch.column("text"))
-        h = _hashes(letters, bounds)
-        part = (h % np.uint64(PARTS)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        found = pa.StringArray.from_buffers(len(h), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(letters))
-        named = pc.binary_join_element_wise(batch.column("lang").take(pa.array(row[order])), found.take(pa.array(order)), "\0")
-        yield rows(named, part[order], row[order], batch)
-        drawn = np.flatnonzero((h[order] >> np.uint64(20)) % np.uint64(SAMPLE) == 0)
-        if len(drawn):
-            some = named.take(pa.array(drawn)).dictionary_encode()
-            _, first = np.unique(np.asarray(some.indices), return_index=True)
-            yield rows(some.dictionary, -1 - part[order][drawn][first], np.zeros(len(first), dtype=np.int64), batch)
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= FOLDED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _folded(group: np.ndarray, term: np.ndarray, row: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, term, slot, times) of min(d, min_docs) entries for each term of d rows of a group: the last has all occurrences that the others, with one each, leave."""
+    terms, rows = int(term.max()) + 1, int(row.max()) + 1
+    key = np.sort((group * terms + term) * rows + row)
+    pair = key // rows
+    heads = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    docs = np.add.reduceat(np.r_[True, key[1:] != key[:-1]].astype(np.int64), heads)
+    count, pair = np.diff(np.r_[heads, len(key)]), pair[heads]
+    most = np.minimum(docs, min_docs)
+    of = np.repeat(np.arange(len(pair)), most)
+    slot = np.arange(len(of)) - np.repeat(np.cumsum(most) - most, most)
+    return pair[of] // terms, pair[of] % terms, slot, np.where(slot + 1 == most[of], count[of] - slot, 1)
+
+
+def _dealt(min_docs: int):
+    def rows(lang: pa.Array, source: pa.Array, named: pa.Array, times: np.ndarray, part: np.ndarray, begins: np.ndarray) -> pa.RecordBatch:
+        texts = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(named)], pa.int32()), named)
+        return pa.RecordBatch.from_arrays([lang, source, texts, pa.array(times), pa.array(part, pa.int32())], ["lang", "source", "terms", "times", "shard"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches):
+            letters, bounds, row = _cut(batch.column("text"))
+            if not len(row):
+                continue
+            found = pa.StringArray.from_buffers(len(row), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(letters)).dictionary_encode()
+            known = found.dictionary
+            ends = np.frombuffer(known.buffers()[1], np.int32)[: len(known) + 1].astype(np.int64)
+            h = _hashes(np.frombuffer(known.buffers()[2], np.uint8)[: ends[-1]], ends)
+            lang, source = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
+            sources = len(source.dictionary)
+            groups, group = np.unique(np.asarray(lang.indices, dtype=np.int64) * sources + np.asarray(source.indices), return_inverse=True)
+            group, term, slot, times = _folded(group[row], np.asarray(found.indices, dtype=np.int64), row, min_docs)
+            part = (h % np.uint64(PARTS)).astype(np.int64)[term]
+            key = ((part * len(groups) + group) * (int(slot.max()) + 1) + slot) * (int(times.max()) + 1) + times
+            order = np.argsort(key, kind="stable")
+            key, group, term, times, part = key[order], group[order], term[order], times[order], part[order]
+            langs = groups // sources
+            named = pc.binary_join_element_wise(lang.dictionary.take(pa.array(langs[group])), known.take(pa.array(term)), "\0")
+            begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            of = groups[group[begins]]
+            yield rows(lang.dictionary.take(pa.array(of // sources)), source.dictionary.take(pa.array(of % sources)), named, times[begins], part[begins], begins)
+            drawn = np.flatnonzero(((h >> np.uint64(20)) % np.uint64(SAMPLE) == 0)[term])
+            if len(drawn):
+                _, first = np.unique(langs[group[drawn]] * len(known) + term[drawn], return_index=True)
+                drawn = drawn[first]
+                none = pa.nulls(len(drawn), pa.string())
+                yield rows(none, none, named.take(pa.array(drawn)), np.zeros(len(drawn), np.int64), -1 - part[drawn], np.arange(len(drawn)))
+
+    return run
 
 
 def fits(held: DataFrame, bound: int) -> Iterator[DataFrame]:
@@ -133,13 +181,13 @@ def fits(held: DataFrame, bound: int) -> Iterator[DataFrame]:
 
 
 def shards(held: DataFrame, n: int, seed: int = 0) -> Iterator[DataFrame]:
-    """held as n tables or more, each with all of every document's terms that a hash deals to it; FAN at a time, however many there are."""
+    """held as n tables or more, each with all of every row's terms that a hash deals to it; FAN at a time, however many there are."""
     if n <= 1:
         yield held
         return
     k = min(n, FAN)
     own = F.filter("terms", lambda t: F.pmod(F.xxhash64(F.lit(seed), t), F.lit(k)) == F.col("shard"))
-    dealt = held.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select("lang", "source", own.alias("terms"), "shard")
+    dealt = held.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select("lang", "source", own.alias("terms"), "times", "shard")
     dealt = written(dealt.where(F.size("terms") > 0), "terms", by="shard")
     for i in range(k):
         yield from shards(dealt.where(f"shard = {i}").drop("shard"), -(-n // k), seed + 1)
@@ -177,6 +225,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield summed()
 
 
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of vectors that count ``times`` times each."""
+
+    def taken(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = batch.column("values")
+        sizes = values.value_lengths().to_numpy()
+        often = values.flatten().to_numpy() * np.repeat(batch.column("times").to_numpy(), sizes)
+        values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(often))
+        return pa.RecordBatch.from_arrays([batch.column("group"), batch.column("indices"), values], ["group", "indices", "values"])
+
+    return _counted(taken(b) for b in batches)
+
+
 def group_sums(held: DataFrame, groups: DataFrame, bound: int = TERMS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(group, lang, term, n) for the kept terms that a group of groups (lang, source, group) has, and (lang, term) for all kept terms.
 
@@ -184,13 +245,13 @@ def group_sums(held: DataFrame, groups: DataFrame, bound: int = TERMS, min_docs:
     """
     spark, sums = held.sparkSession, f"{shared_dir(held.sparkSession)}/sums-{uuid.uuid4().hex}"
     for i, shard in enumerate(fits(held, bound)):
-        # A vocabulary mustn't be empty: '' is in three documents more and stays out of what follows.
+        # A vocabulary mustn't be empty: '' is in three rows more and stays out of what follows.
         shown = shard.select("terms").union(spark.range(min_docs).select(F.array(F.lit(""))))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=VOCABULARY).fit(shown)
         model.write().save(f"{sums}-model/{i}")
         vocabulary = _vocabulary(spark, f"{sums}-model/{i}/data")
-        vectors = model.transform(shard.join(groups.select("lang", "source", "group"), ["lang", "source"]).select("group", "terms")).select("group", F.unwrap_udt("vector").alias("v"))
-        cells = vectors.select("group", "v.indices", "v.values").mapInArrow(_counted, "group bigint, place int, n bigint").groupBy("group", "place").agg(F.sum("n").alias("n"))
+        vectors = model.transform(shard.join(groups.select("lang", "source", "group"), ["lang", "source"]).select("group", "times", "terms")).select("group", "times", F.unwrap_udt("vector").alias("v"))
+        cells = vectors.select("group", "times", "v.indices", "v.values").mapInArrow(_weighed, "group bigint, place int, n bigint").groupBy("group", "place").agg(F.sum("n").alias("n"))
         with settings_for_a_while(spark, {BATCH: BATCH_BYTES}):
             # At most bound terms or so, by the choice of the fits.
             cells.join(F.broadcast(vocabulary.select("place", "lang", "term")), "place").select("group", "lang", "term", "n").write.parquet(f"{sums}/part={i}")
@@ -259,7 +320,7 @@ def shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP, bound: int = TERMS) -> DataFrame:
     """lang, source, part, item, value, rank: ``pair`` against each other source, ``term`` the terms above the lang's share."""
-    held = written(terms(docs, text, lang, source), "terms", by="shard")
+    held = written(terms(docs, text, lang, source, min_docs), "terms", by="shard")
     groups = docs.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source")).distinct()
     groups = written(groups.withColumn("id", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long")).withColumn("group", F.monotonically_increasing_id()), "groups")
     sums, kept = group_sums(held, groups, bound, min_docs)

@@ -102,3 +102,34 @@ def test_sums_of_vectors(monkeypatch):
         assert got == want
     assert np.all([b.num_rows <= 150 for b in out])
     assert list(divergence._counted(iter([]))) == []
+
+
+def test_documents_folded_before_they_are_counted(spark):
+    """A group's copies are a few rows whose times add up, of which min_docs bear each of their terms."""
+    rows = [(f"same Words, words w{i % 2}", "en", "a") for i in range(500)] + [("rare words words words", "de", None), ("rare", "de", "b"), (None, "fr", "b"), ("", "fr", "b")]
+    held = divergence.terms(spark.createDataFrame(rows, SCHEMA).coalesce(1)).where("shard >= 0").collect()
+    assert len(held) <= divergence.PARTS * 4 * 3 and all(len(set(r["terms"])) == len(r["terms"]) for r in held)
+    sums, seen = Counter(), Counter()
+    for r in held:
+        for t in r["terms"]:
+            sums[r["lang"], r["source"], t.split("\0")[1]] += r["times"]
+            seen[t] += 1
+    assert sums == {("en", "a", "same"): 500, ("en", "a", "words"): 1000, ("en", "a", "w"): 500, ("de", "", "rare"): 1, ("de", "", "words"): 3, ("de", "b", "rare"): 1}
+    assert seen == {"en\0same": 3, "en\0words": 3, "en\0w": 3, "de\0rare": 2, "de\0words": 1}
+
+
+@pytest.mark.parametrize("min_docs", [1, 2, 5])
+def test_folding_against_counts(min_docs):
+    import numpy as np
+
+    r = random.Random(min_docs)
+    rows = sorted((r.randrange(60), r.randrange(7)) for _ in range(700))
+    row, term = (np.array(x) for x in zip(*rows))
+    group = row % 4
+    out = list(zip(*(x.tolist() for x in divergence._folded(group, term, row, min_docs))))
+    want, docs = Counter(zip(group.tolist(), term.tolist())), Counter((d % 4, t) for d, t in set(rows))
+    got = Counter()
+    for g, t, slot, times in out:
+        got[g, t] += times
+        assert times >= 1 and slot < min_docs
+    assert got == want and Counter(x[:2] for x in out) == {k: min(n, min_docs) for k, n in docs.items()}
