@@ -56,8 +56,8 @@ TERMS, PARTS, FAN = 1 << 20, 4, 16
 SAMPLE = 64
 #: Pairs of sources that numpy holds at a time.
 PAIRS = 1 << 20
-#: Bytes of text that are folded at a time.
-FOLDED = 1 << 23
+#: Batches with fewer bytes of text are put together before they are folded, which takes some 30 bytes of memory a byte.
+FOLDED = 1 << 21
 #: Entries of vectors that numpy sums at a time, and the cells of a table of sums for each of them.
 ENTRIES, DENSE = 1 << 20, 8
 
