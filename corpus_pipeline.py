@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.llm import bpe, jaccard, mixing, rlz, toxicity
-from locusflow.llm.common import bounded, forget, noted, table, written
+from locusflow.llm.common import bounded, collected, forget, noted, table, written
 
 #: SQL can't express the stages; tests/llm hold each against a brute-force version.
 ORACLE_SQL = None
@@ -18,7 +18,9 @@ ORACLE_SQL = None
 
 def _aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
     """docs with all columns but the needed ones under private names, which no operator's outputs clash with; and the columns that restore docs."""
-    bounded(docs.sparkSession)  # every stage begins here: long texts don't fill a Python worker
+    # Every stage begins here: long texts don't fill a Python worker, and an executor's JVM doesn't keep what earlier stages left.
+    bounded(docs.sparkSession)
+    collected(docs.sparkSession)
     names = {c: c if c in needed else f"__carried_{i}" for i, c in enumerate(docs.columns)}
     held = docs.select(*[F.col(f"`{c.replace('`', '``')}`").alias(name) for c, name in names.items()])
     return held, [F.col(name).alias(c) for c, name in names.items()]
