@@ -70,16 +70,17 @@ def merge(df: DataFrame, span: int = SPAN) -> DataFrame:
 
     A contig is cut into spans by where intervals begin. Each span's task needs two numbers from the spans before it:
     how far their intervals reach, and how many islands they begin; both come from a row for each span.
+    Equal intervals are counted as one row first: which of them stands first would differ from one sort to the next.
     """
-    rows = df.select("contig", "beg", "end").withColumn("part", F.floor(F.col("beg") / span))
+    rows = df.groupBy("contig", "beg", "end").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("beg") / span))
     earlier = Window.partitionBy("contig").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     reach = rows.groupBy("contig", "part").agg(F.max("end").alias("far")).withColumn("reach", F.max("far").over(earlier)).drop("far")
     inside = Window.partitionBy("contig", "part").orderBy("beg", "end")
     before = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("reach"))  # greatest passes over nulls
     flagged = rows.join(reach, ["contig", "part"]).withColumn("fresh", F.when(F.col("beg") <= before + 1, 0).otherwise(1))
-    begun = flagged.groupBy("contig", "part").agg(F.sum("fresh").alias("n")).withColumn("begun", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    begun = flagged.groupBy("contig", "part").agg(F.sum("fresh").alias("own")).withColumn("begun", F.coalesce(F.sum("own").over(earlier), F.lit(0))).drop("own")
     island = F.col("begun") + F.sum("fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return flagged.join(begun, ["contig", "part"]).select("contig", "beg", "end", island.alias("island")).groupBy("contig", "island").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")
+    return flagged.join(begun, ["contig", "part"]).select("contig", "beg", "end", "n", island.alias("island")).groupBy("contig", "island").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, keep: bool = True, width: int = BIN) -> DataFrame:
