@@ -171,7 +171,8 @@ def site_annotation(spark, sf):
 
 @query("digests", "SELECT page_id, md5(html) AS md5, base64(encode(url)) AS url64 FROM pages")
 def digests(spark, sf):
-    return v.table(spark, sf, "pages").select("page_id", F.md5("html").alias("md5"), F.base64(F.encode("url", "utf-8")).alias("url64"))
+    """Sums of pages, and their addresses in base 64 on one line: Spark breaks it after 76 characters."""
+    return v.table(spark, sf, "pages").select("page_id", F.md5("html").alias("md5"), F.translate(F.base64(F.encode("url", "utf-8")), "\r\n", "").alias("url64"))
 
 
 @query("json_values", "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 
 from locusflow.operators import intervals as iv
+from locusflow.plans import catalog
 
 
 def test_equal_intervals_merge_as_one(spark):
@@ -11,3 +12,11 @@ def test_equal_intervals_merge_as_one(spark):
     df = spark.createDataFrame([("c", 100 * i, 100 * i + 5) for i in range(50) for _ in range(7)], "contig string, beg bigint, end bigint").repartition(5)
     for span in (1000, iv.SPAN):
         assert sorted((r["beg"], r["end"], r["n"]) for r in iv.merge(df, span).collect()) == [(100 * i, 100 * i + 5, 7) for i in range(50)]
+
+
+def test_long_addresses_stay_on_one_line(spark, tmp_path):
+    """Base 64 of more than 76 characters."""
+    urls = ["http://a.example/" + "x" * n for n in (10, 40, 41, 200)] + ["http://é.example/ü", "", None]
+    spark.createDataFrame([(i, u, u) for i, u in enumerate(urls)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["md5"], r["url64"]) for r in catalog.QUERIES["digests"](spark, str(tmp_path)).collect()}
+    assert got == {i: (None, None) if u is None else (hashlib.md5(u.encode()).hexdigest(), base64.b64encode(u.encode()).decode()) for i, u in enumerate(urls)}
