@@ -74,7 +74,7 @@ def vcf_lines(spark, sf):
 
 
 def ranked_bounds(f):
-    """key, rank (how many values are smaller or come before), low, own and high: how many values lie below a tenth less, up to it, and up to a tenth more.
+    """key, freq, rank (how many values are smaller or come before), low, own and high: how many values lie below a tenth less, up to it, and up to a tenth more.
 
     All follow from the ranks of the bounds: a union of values and bounds is sorted once by a range window, and no pairs
     are made.
@@ -90,7 +90,7 @@ def ranked_bounds(f):
     before = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     run = F.sum("one").over(Window.partitionBy("bucket").orderBy("at", "o", "key").rowsBetween(Window.unboundedPreceding, 0))
     ranked = rows.withColumn("run", run).join(before, "bucket").withColumn("upto", F.col("run") + F.col("before"))
-    return ranked.groupBy("key").agg(*[F.max(F.when(F.col("kind") == k, F.col("upto"))).alias(n) for k, n in (("value", "rank"), ("low", "low"), ("own", "own"), ("high", "high"))])
+    return ranked.groupBy("key").agg(F.max(F.when(F.col("kind") == "own", F.col("at"))).alias("freq"), *[F.max(F.when(F.col("kind") == k, F.col("upto"))).alias(n) for k, n in (("value", "rank"), ("low", "low"), ("own", "own"), ("high", "high"))])
 
 
 def neighbours(f):
@@ -100,7 +100,7 @@ def neighbours(f):
 
 
 def sampled_neighbours(f, most: int, seed: int = 0):
-    """key, n and the key and freq of each neighbour within a tenth of a row's frequency, at most ``most`` of them.
+    """key, freq, n and the key and freq of each neighbour within a tenth of a row's frequency, at most ``most`` of them.
 
     Up to ``most``, all are taken; beyond, one is drawn from each of ``most`` equal shares of their ranks by a hash of
     the key, so that none comes twice and reruns agree. A row is joined to what it draws alone.
@@ -110,9 +110,9 @@ def sampled_neighbours(f, most: int, seed: int = 0):
     lo = lambda j: F.floor(j * F.col("n") / most)
     drawn = lambda j: lo(j) + F.pmod(F.xxhash64(F.lit(seed), "key", j), lo(j + 1) - lo(j))
     places = F.when(F.col("n") <= most, F.transform(F.sequence(F.lit(1).cast("bigint"), "n"), lambda i: F.col("low") + i)).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(most - 1).cast("bigint")), lambda j: F.col("low") + 1 + drawn(j)))
-    asked = ranked.withColumn("n", n).select("key", "n", F.explode(places).alias("rank")).withColumn("rank", F.col("rank").cast("bigint"))
+    asked = ranked.withColumn("n", n).select("key", "freq", "n", F.explode(places).alias("rank")).withColumn("rank", F.col("rank").cast("bigint"))
     # The values under their ranks, from 1.
-    values = ranked.join(f, "key").select(F.col("rank").cast("bigint").alias("rank"), F.col("key").alias("neighbour"), F.col("freq").alias("neighbour_freq"))
+    values = ranked.select(F.col("rank").cast("bigint").alias("rank"), F.col("key").alias("neighbour"), F.col("freq").alias("neighbour_freq"))
     return asked.join(values, "rank").drop("rank")
 
 

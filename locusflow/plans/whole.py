@@ -104,7 +104,7 @@ def sampled_neighbours(spark, sf):
     """At most MOST neighbours in frequency of every site; the sum of their keys where all are taken."""
     k = F.col("p_partkey")
     f = v.table(spark, sf, "part").select(k.alias("key"), ((k + 1) * (k + 1)).cast("double").alias("freq"))
-    drawn = calls.sampled_neighbours(f, MOST).join(f, "key")
+    drawn = calls.sampled_neighbours(f, MOST)
     near = F.count_if(F.col("neighbour_freq").between(F.col("freq") * 0.9, F.col("freq") * 1.1))
     per = drawn.groupBy("key", "n").agg(F.count("*").alias("taken"), F.countDistinct("neighbour").alias("distinct_taken"), near.alias("near"), F.sum("neighbour").alias("total"))
     return per.withColumn("total", F.when(F.col("n") <= MOST, F.col("total")))

@@ -3,8 +3,11 @@
 import base64
 import hashlib
 
+from pyspark.sql import functions as F
+
+from locusflow.operators import caller, report
 from locusflow.operators import intervals as iv
-from locusflow.plans import catalog
+from locusflow.plans import calls, catalog
 
 
 def test_equal_intervals_merge_as_one(spark):
@@ -20,3 +23,24 @@ def test_long_addresses_stay_on_one_line(spark, tmp_path):
     spark.createDataFrame([(i, u, u) for i, u in enumerate(urls)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: (r["md5"], r["url64"]) for r in catalog.QUERIES["digests"](spark, str(tmp_path)).collect()}
     assert got == {i: (None, None) if u is None else (hashlib.md5(u.encode()).hexdigest(), base64.b64encode(u.encode()).decode()) for i, u in enumerate(urls)}
+
+
+def test_sampled_neighbours_carry_their_frequency(spark):
+    """The table of frequencies is read for the ranks alone: joined back to them, it was broadcast whole."""
+    f = spark.createDataFrame([(i, float((i + 1) ** 2)) for i in range(200)], "key bigint, freq double")
+    drawn = calls.sampled_neighbours(f, 3)
+    marks = calls.ranked_bounds(f)
+    relations = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert relations(drawn) == 2 * relations(marks)
+    rows = drawn.collect()
+    assert {r["key"] for r in rows} == set(range(200)) and all(r["freq"] == (r["key"] + 1) ** 2 and r["neighbour_freq"] == (r["neighbour"] + 1) ** 2 for r in rows)
+
+
+def test_lines_of_samples_that_none_observes(spark):
+    """Samples in runs before, between and behind the observed ones, and one that isn't listed; a cell costs no look at the observations."""
+    obs = spark.createDataFrame([("c", 1, s, b, 30, 20, "+", 5, "A") for s, b in [(3, "A"), (4, "T"), (5, "T"), (900, "T"), (996, "A"), (5000, "T")]], "contig string, pos int, sample_idx int, base string, qual int, mapq int, strand string, rank int, ref_base string")
+    groups, samples = spark.createDataFrame([], "sample_idx int, group string"), spark.range(1000).select(F.col("id").cast("int").alias("sample_idx"))
+    found = report.variant_lines(obs, caller.call(obs), groups, samples)
+    assert "element_at" not in found._jdf.queryExecution().optimizedPlan().toString()
+    cells = found.collect()[0]["line"].split("\t")[9:]
+    assert len(cells) == 1000 and {i: x[:5] for i, x in enumerate(cells) if x != "./."} == {3: "0/.:A", 4: "./1:T", 5: "./1:T", 900: "./1:T", 996: "0/.:A"}
