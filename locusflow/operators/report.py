@@ -49,17 +49,23 @@ def variant_lines(obs: DataFrame, calls: DataFrame, groups: DataFrame, samples:
 
     groups: sample_idx and group. A position's line is as long as the list of samples, whatever is observed.
     """
+    if calls.sparkSession.sparkContext.getCheckpointDir():
+        calls = calls.checkpoint()  # in the shared folder, so that the model is fitted once and not for each of the joins below
     by_group = caller.call_groups(obs, calls, groups).where(F.size("afs") > 0)
     text = F.concat(F.col("group"), F.lit("_AF="), F.array_join(F.transform("afs", sinks.short), ","))
     listed = by_group.groupBy(*SITE).agg(F.transform(F.array_sort(F.collect_list(F.struct("group", text.alias("text")))), lambda x: x["text"]).alias("group_afs"))
-    seen = caller.genotypes(obs.join(calls.select(*SITE), SITE), calls)
+    seen = caller.genotypes(obs.join(calls.select(*SITE), SITE, "left_semi"), calls)
     own = seen.select(*SITE, "sample_idx", caller.sample_text(F.col("gt"), F.col("base"), F.col("strand"), F.col("qual")).alias("text"))
-    columns = own.groupBy(*SITE).agg(F.map_from_entries(F.collect_list(F.struct("sample_idx", "text"))).alias("texts"))
     order = samples.agg(F.array_sort(F.collect_set("sample_idx")).alias("order"))  # one row: the header's list of samples
-    every = F.array_join(F.transform("order", lambda i: F.coalesce(F.element_at("texts", i), F.lit("./."))), "\t")
-    rows = caller.info(obs, calls).join(listed, SITE, "left").join(columns, SITE).join(F.broadcast(order))
+    places = F.broadcast(order.select(F.posexplode("order").alias("place", "sample_idx")))
+    columns = own.join(places, "sample_idx", "left").groupBy(*SITE).agg(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "text")))).alias("texts"))
+    # Only observations are looked at one by one: the samples between two of them are a run that is written at once.
+    empty, after = "\t./.", lambda i: F.coalesce(F.get("texts", i)["place"], F.lit(-1))
+    cells = F.flatten(F.transform("texts", lambda x, i: F.array(F.repeat(F.lit(empty), x["place"] - after(i - 1) - 1), F.lit("\t"), x["text"])))
+    left = F.when(F.col("samples") == 0, "\t").otherwise(F.repeat(F.lit(empty), F.col("samples") - after(F.size("texts") - 1) - 1))
+    rows = caller.info(obs, calls).join(listed, SITE, "left").join(columns, SITE).join(F.broadcast(order.select(F.size("order").alias("samples"))))
     fields = F.concat(sinks.variant_line(), F.when(F.size("group_afs") > 0, F.concat(F.lit(";"), F.array_join("group_afs", ";"))).otherwise(""))
-    return rows.select(*SITE, F.concat_ws("\t", fields, F.lit("GT:AB:SO:BP"), every).alias("line"))
+    return rows.select(*SITE, F.concat_ws("", fields, F.lit("\tGT:AB:SO:BP"), cells, left).alias("line"))
 
 
 def write(lines: DataFrame, header: list[str], path: str, contigs: list[str]) -> None:
