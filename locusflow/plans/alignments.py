@@ -52,14 +52,9 @@ PAIRS = """SELECT qname, 'S' AS op, pos, CAST(0 AS INT) AS qpos, CAST(s AS INT)
  UNION ALL SELECT qname, 'D', pos + m + 10, NULL, CAST(d AS INT) FROM reads UNION ALL SELECT qname, 'M', pos + m + 10 + d + k, CAST(s + m + i + 10 + k AS INT), 1 FROM (SELECT *, unnest(range(5)) AS k FROM reads)"""
 
 
-def _pairs(spark, sf):
-    placed = _blocks(spark, sf).withColumn("placed", cg.placed(F.col("blocks")))
-    return placed.select("qname", "contig", "flag", "mapq", F.explode(cg.aligned_pairs(F.col("pos"), F.col("placed"))).alias("p")).select("qname", "contig", "flag", "mapq", "p.*")
-
-
 @query("aligned_pairs", f"WITH {READS} SELECT op, pos, qpos, n, count(*) AS times FROM ({PAIRS}) GROUP BY ALL")
 def aligned_pairs(spark, sf):
-    return _pairs(spark, sf).groupBy("op", "pos", "qpos", "n").agg(F.count("*").alias("times"))
+    return pileup.pair_counts(v.reads(spark, sf))
 
 
 @query("cigar_coverage", f"WITH {READS} SELECT contig, pos, count(*) FILTER (op = 'M') AS matched, count(*) FILTER (op = 'I') AS insertions, count(*) FILTER (op = 'D') AS deletions, count(*) FILTER (op = 'S') AS clips FROM (SELECT p.*, r.contig FROM ({PAIRS}) p JOIN (SELECT DISTINCT qname, contig FROM reads WHERE flag & 1024 = 0) r USING (qname)) GROUP BY contig, pos")

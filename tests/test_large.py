@@ -5,7 +5,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from locusflow.operators import caller, report
+from locusflow.functions import cigar as cg
+from locusflow.operators import caller, pileup, report
 from locusflow.operators import intervals as iv
 from locusflow.plans import calls, catalog
 
@@ -44,3 +45,17 @@ def test_lines_of_samples_that_none_observes(spark):
     assert "element_at" not in found._jdf.queryExecution().optimizedPlan().toString()
     cells = found.collect()[0]["line"].split("\t")[9:]
     assert len(cells) == 1000 and {i: x[:5] for i, x in enumerate(cells) if x != "./."} == {3: "0/.:A", 4: "./1:T", 5: "./1:T", 900: "./1:T", 996: "0/.:A"}
+
+
+READS = [("a", "c", 4090, "1H2S4M2I1P3M2D1N5M1S"), ("b", "c", 4095, "3M"), ("c", "c", 4096, "2D3M1I4=1X"), ("d", "c", 4090, "1H2S4M2I1P3M2D1N5M1S"), ("e", "d", 1, "9000M"), ("f", "c", 7, "*"), ("g", "c", 7, None), ("h", "d", 20000, "5I"), ("i", "d", 4097, "1M2N1M")]
+
+
+def test_sums_without_a_row_for_each_base(spark):
+    """Running sums over blocks against the entries and pairs one by one; no explode over the bases of a block comes before the exchange."""
+    reads = spark.createDataFrame(READS, "qname string, contig string, pos bigint, cigar string")
+    placed = reads.withColumn("placed", cg.placed(cg.blocks(F.col("cigar"))))
+    e = placed.select("contig", F.explode(cg.pileup_entries(F.col("pos"), F.col("placed"))).alias("e")).select("contig", "e.*")
+    want = e.groupBy("contig", "pos").agg(F.count("*").alias("depth"), F.sum("qpos").alias("qpos"), F.sum("indel").alias("indel"), F.count_if("is_del").alias("dels"), F.count_if("is_head").alias("heads"), F.count_if("is_tail").alias("tails"))
+    assert sorted(map(tuple, pileup.entry_sums(reads).collect())) == sorted(map(tuple, want.collect()))
+    each = placed.select(F.explode(cg.aligned_pairs(F.col("pos"), F.col("placed"))).alias("p")).select("p.*").groupBy("op", "pos", "qpos", "n").agg(F.count("*").alias("times"))
+    assert sorted(map(repr, pileup.pair_counts(reads).collect())) == sorted(map(repr, each.collect()))
