@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -28,22 +27,14 @@ def register(spark: SparkSession, prefix: str = "") -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameters}) RETURNS {result} RETURN {expression}")
 
 
-class AlignedPairs:
-    """Rows (op, pos, qpos, n) of an alignment, as cigar.aligned_pairs has them."""
-
-    def eval(self, pos: int, cigar: str):
-        if pos is None or cigar is None:
-            return
-        at = 0
-        for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
-            n = int(n)
-            if op in "M=X":
-                for k in range(n):
-                    yield op, pos + k, at + k, 1
-            elif op != "H":
-                yield op, pos, at if op in "ISP" else None, n
-            pos += n if op in "MDN=X" else 0
-            at += n if op in "MIS=X" else 0
+#: Rows (op, pos, qpos, n) of an alignment, as cigar.aligned_pairs has them, in SQL: the blocks with their offsets, and a row for each matched base.
+PLACED = r"""aggregate(transform(regexp_extract_all(coalesce(cigar, ''), '(\\d+[MIDNSHP=X])', 1), p -> named_struct('op', right(p, 1), 'len', CAST(left(p, length(p) - 1) AS INT))),
+ named_struct('q', 0, 'r', 0, 'out', CAST(array() AS ARRAY<STRUCT<op: STRING, len: INT, qpos: INT, rpos: INT>>)),
+ (s, b) -> named_struct('q', s.q + CASE WHEN b.op IN ('M', 'I', 'S', '=', 'X') THEN b.len ELSE 0 END, 'r', s.r + CASE WHEN b.op IN ('M', 'D', 'N', '=', 'X') THEN b.len ELSE 0 END,
+  'out', concat(s.out, array(named_struct('op', b.op, 'len', b.len, 'qpos', s.q, 'rpos', s.r)))), s -> s.out)"""
+ALIGNED_PAIRS = f"""CASE WHEN pos IS NOT NULL THEN flatten(transform(filter({PLACED}, b -> b.op <> 'H'), b -> CASE
+ WHEN b.op NOT IN ('M', '=', 'X') THEN array(named_struct('op', b.op, 'pos', pos + b.rpos, 'qpos', CASE WHEN b.op IN ('I', 'S', 'P') THEN b.qpos END, 'n', b.len))
+ WHEN b.len > 0 THEN transform(sequence(0, b.len - 1), i -> named_struct('op', b.op, 'pos', pos + b.rpos + i, 'qpos', b.qpos + i, 'n', 1)) ELSE array() END)) END"""
 
 
 def rank_sum(value: pd.Series, is_ref: pd.Series) -> float:
@@ -60,8 +51,8 @@ def rank_sum(value: pd.Series, is_ref: pd.Series) -> float:
 def register_python(spark: SparkSession, prefix: str = "") -> None:
     """A table function and an aggregate for the session's SQL: aligned_pairs(pos, cigar) after LATERAL, rank_sum(value, is_ref) over groups.
 
-    A group's values meet in one Arrow batch, so that rank_sum is for groups that fit a worker; ranksums of
+    The table function is an expression that Spark inlines; no row goes to Python for it. A group's values meet in one Arrow batch, so that rank_sum is for groups that fit a worker; ranksums of
     operators.pileup has no such bound.
     """
-    spark.udtf.register(f"{prefix}aligned_pairs", F.udtf(AlignedPairs, returnType="op string, pos bigint, qpos int, n int", useArrow=True))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}aligned_pairs(pos BIGINT, cigar STRING) RETURNS TABLE(op STRING, pos BIGINT, qpos INT, n INT) RETURN SELECT x.op, x.pos, x.qpos, x.n FROM (SELECT explode({ALIGNED_PAIRS}) AS x)")
     spark.udf.register(f"{prefix}rank_sum", F.pandas_udf(rank_sum, "double", F.PandasUDFType.GROUPED_AGG))

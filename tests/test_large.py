@@ -6,6 +6,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from locusflow.functions import cigar as cg
+from locusflow.functions import published
 from locusflow.operators import caller, pileup, report
 from locusflow.operators import intervals as iv
 from locusflow.plans import calls, catalog
@@ -59,3 +60,13 @@ def test_sums_without_a_row_for_each_base(spark):
     assert sorted(map(tuple, pileup.entry_sums(reads).collect())) == sorted(map(tuple, want.collect()))
     each = placed.select(F.explode(cg.aligned_pairs(F.col("pos"), F.col("placed"))).alias("p")).select("p.*").groupBy("op", "pos", "qpos", "n").agg(F.count("*").alias("times"))
     assert sorted(map(repr, pileup.pair_counts(reads).collect())) == sorted(map(repr, each.collect()))
+
+
+def test_pairs_for_sql_stay_in_the_jvm(spark):
+    published.register_python(spark, "its_")
+    reads = spark.createDataFrame([*READS, ("j", "c", None, "3M")], "qname string, contig string, pos bigint, cigar string")
+    got = spark.sql("SELECT r.qname, p.* FROM {reads} r, LATERAL its_aligned_pairs(r.pos, r.cigar) p", reads=reads)
+    assert "Python" not in got._jdf.queryExecution().optimizedPlan().toString()
+    placed = reads.where("pos is not null").withColumn("placed", cg.placed(cg.blocks(F.col("cigar"))))
+    want = placed.select("qname", F.explode(cg.aligned_pairs(F.col("pos"), F.col("placed"))).alias("p")).select("qname", "p.*")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
