@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locusflow.functions import cigar as cg
 from locusflow.functions import published
-from locusflow.operators import caller, pileup, report
+from locusflow.operators import caller, pileup, realign, report
 from locusflow.operators import intervals as iv
 from locusflow.plans import calls, catalog
 
@@ -70,3 +70,26 @@ def test_pairs_for_sql_stay_in_the_jvm(spark):
     placed = reads.where("pos is not null").withColumn("placed", cg.placed(cg.blocks(F.col("cigar"))))
     want = placed.select("qname", F.explode(cg.aligned_pairs(F.col("pos"), F.col("placed"))).alias("p")).select("qname", "p.*")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_reference_of_reads_without_an_exchange_by_key(spark):
+    """Reads on one chunk, on two and on more, before and beyond the reference; equal reads near the contig's start and far from it."""
+    text = "".join("ACGT"[(i * i + i // 7) % 4] for i in range(500))
+    reference = spark.createDataFrame([("c", i + 1, text[i : i + 64]) for i in range(0, 500, 64)], "contig string, start bigint, seq string")
+    rows = [(i, c, p, f"{n}M") for i, (c, p, n) in enumerate([("c", 1, 5), ("c", 60, 10), ("c", 64, 65), ("c", 2, 300), ("c", 490, 30), ("c", 900, 5), ("x", 1, 5), (None, None, 3), ("c", 130, 62), ("c", 129, 128)])]
+    near = realign.with_reference(spark.createDataFrame(rows, "key int, contig string, pos bigint, cigar string"), reference, "key", 1, 64)
+    want = {i: "" if c != "c" else text[max(1, p - 1) - 1 : p + int(g[:-1])] for i, c, p, g in rows}
+    assert {r["key"]: r["ref"] for r in near.collect()} == want
+
+
+def test_equal_reads_are_aligned_once(spark):
+    reads = [(p, p, 0, "2S8M1I9M", "ACGTACGTACGTACGTACGT"[:20], "I" * 20) for p in (1, 3, 40, 44, 48, 400)] + [(9, 9, 4, "20M", "A" * 20, "I" * 20), (10, 10, 0, "20M", "A" * 20, None)]
+    reference = spark.createDataFrame([("c", 1, "CGTA" * 256)], "contig string, start bigint, seq string")
+    df = spark.createDataFrame([(*r, "c") for r in reads], "key int, pos bigint, flag int, cigar string, seq string, qual string, contig string").coalesce(1)
+    near = realign.with_reference(df, reference, "key", realign.margin(), 1024)
+    got = {r["key"]: (r["bq"], r["left"]) for r in realign.with_base_alignment(near).coalesce(1).collect()}
+    for r in near.collect():
+        ops = [(op, int(n)) for n, op in realign.OPERATION.findall(r["cigar"])]
+        (bq,) = realign.base_alignment([(r["flag"], r["pos"], ops, r["seq"], r["qual"], r["ref"], r["ref_beg"])])
+        assert got[r["key"]][0] == bq and (bq is None) == (r["key"] in (9, 10))
+    assert got[400] == got[48] == got[44]
