@@ -9,7 +9,8 @@ that it skips; any other says that they aren't modified.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,16 @@ REVERSE = 16
 COMPLEMENT = dict(zip("ACGTN", "TGCAN"))
 GROUP = re.compile(r"([ACGTUN])([+-])([A-Za-z]+|\d+)([.?]?)((?:,\d+)*);")
 MOST_CODES = 256
+#: Reads whose places a worker holds at a time, and the longest that it holds.
+SEEN, SHORT = 4096, 512
+
+
+def _places(seq: str, base: str) -> list[int]:
+    """Where a base stands in a read, from 0, whatever its case."""
+    return np.flatnonzero(np.frombuffer(seq.upper().encode("ascii", "replace"), dtype=np.uint8) == ord(base)).tolist()
+
+
+_held_places = lru_cache(SEEN)(_places)
 
 
 def called(seq: str, reverse: bool, mm: str, ml: list[int] | None = None, length: int | None = None, states: bool = False) -> list[tuple]:
@@ -33,7 +44,6 @@ def called(seq: str, reverse: bool, mm: str, ml: list[int] | None = None, length
     """
     if length is not None and seq and length != len(seq):
         raise ValueError("the tags are of a read of another length")
-    letters = np.frombuffer(seq.upper().encode("ascii", "replace"), dtype="S1").astype("U1")
     out, at, used, codes_seen = [], 0, 0, 0
     while at < len(mm):
         m = GROUP.match(mm, at)
@@ -46,9 +56,9 @@ def called(seq: str, reverse: bool, mm: str, ml: list[int] | None = None, length
         if codes_seen > MOST_CODES:
             raise ValueError("too many codes")
         wanted = COMPLEMENT[base] if reverse else base
-        places = np.arange(len(letters)) if base == "N" else np.flatnonzero(letters == wanted)
+        places = range(len(seq)) if base == "N" else (_held_places if len(seq) <= SHORT else _places)(seq, wanted)
         places = places[::-1] if reverse else places
-        hits = np.cumsum([int(x) + 1 for x in skips.split(",")[1:]]) - 1 if skips else np.zeros(0, dtype=np.int64)
+        hits = [n - 1 for n in accumulate(int(x) + 1 for x in skips.split(",")[1:])] if skips else []
         if len(hits) and hits[-1] >= len(places):
             raise ValueError("more bases are skipped than there are")
         if ml is not None and used + len(hits) * len(codes) > len(ml):
@@ -57,7 +67,7 @@ def called(seq: str, reverse: bool, mm: str, ml: list[int] | None = None, length
             for c, code in enumerate(codes):
                 out.append((int(places[hit]), base, strand, code, None if ml is None else ml[used + k * len(codes) + c], "modified"))
         if states:
-            skipped = np.setdiff1d(np.arange(len(places)), hits)
+            skipped = sorted(set(range(len(places))).difference(hits))
             out += [(int(places[i]), base, strand, code, None, "unchecked" if mark == "?" else "unmodified") for i in skipped for code in codes]
         used += len(hits) * len(codes)
     if ml is not None and used != len(ml):
@@ -78,36 +88,39 @@ def with_modifications(reads: DataFrame, states: bool = False) -> DataFrame:
 
     @F.arrow_udf("struct<mods: " + CALLS + ", fault: string>")
     def read_mods(given: pa.Array) -> pa.Array:
-        out = []
-        for r in given.to_pylist():
-            mods, fault = [], None
-            if r is not None:
+        there, offsets, flat, faults = given.is_valid().to_pylist(), [0], [], []
+        for known, *r in zip(there, *(c.to_pylist() for c in given.flatten())):
+            fault = None
+            if known:
                 try:
-                    mods = _read(r, states)
+                    flat += _read(*r, states)
                 except ValueError as e:
                     fault = str(e)
-            out.append({"mods": mods, "fault": fault})
-        return pa.array(out, KIND)
+            offsets.append(len(flat))
+            faults.append(fault)
+        columns = zip(*flat) if flat else [()] * len(NAMES)
+        calls = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CALL)], fields=CALL)
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), calls), pa.array(faults, pa.string())], fields=list(KIND))
 
     return held.withColumn("__out", read_mods("__in")).select(*reads.columns, F.col("__out.mods").alias("mods"), F.col("__out.fault").alias("fault"))
 
 
 NAMES = ("qpos", "canonical", "strand", "code", "likelihood", "state")
-KIND = pa.struct([("mods", pa.list_(pa.struct([("qpos", pa.int32()), *((k, pa.string()) for k in NAMES[1:4]), ("likelihood", pa.int32()), ("state", pa.string())]))), ("fault", pa.string())])
+CALL = [pa.field("qpos", pa.int32()), *(pa.field(k, pa.string()) for k in NAMES[1:4]), pa.field("likelihood", pa.int32()), pa.field("state", pa.string())]
+KIND = pa.struct([("mods", pa.list_(pa.struct(CALL))), ("fault", pa.string())])
 
 
-def _read(r: dict, states: bool) -> list[dict]:
-    if not r["mm"].startswith("Z:"):
+def _read(seq: str, reverse: int, mm: str, ml: str | None, mn: str | None, states: bool) -> list[tuple]:
+    if not mm.startswith("Z:"):
         raise ValueError("MM isn't text")
-    ml = None
-    if r["ml"] is not None:
-        if not r["ml"].startswith("B:C"):
+    likely = None
+    if ml is not None:
+        if not ml.startswith("B:C"):
             raise ValueError("ML isn't an array of bytes")
-        ml = [int(x) for x in r["ml"].split(",")[1:]]
-    if r["mn"] is not None and not re.fullmatch(r"i:\d+", r["mn"]):
+        likely = [int(x) for x in ml.split(",")[1:]]
+    if mn is not None and not re.fullmatch(r"i:\d+", mn):
         raise ValueError("MN isn't a number")
-    found = called(r["seq"], bool(r["reverse"]), r["mm"][2:], ml, int(r["mn"][2:]) if r["mn"] is not None else None, states)
-    return [dict(zip(NAMES, x)) for x in found]
+    return called(seq, bool(reverse), mm[2:], likely, int(mn[2:]) if mn is not None else None, states)
 
 
 def modified_positions(reads: DataFrame, states: bool = False) -> DataFrame:
