@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locusflow.functions import cigar as cg
 from locusflow.functions import published
-from locusflow.operators import caller, pileup, realign, report
+from locusflow.operators import caller, modifications, pileup, realign, report
 from locusflow.operators import intervals as iv
 from locusflow.plans import calls, catalog
 
@@ -78,6 +78,7 @@ def test_reference_of_reads_without_an_exchange_by_key(spark):
     reference = spark.createDataFrame([("c", i + 1, text[i : i + 64]) for i in range(0, 500, 64)], "contig string, start bigint, seq string")
     rows = [(i, c, p, f"{n}M") for i, (c, p, n) in enumerate([("c", 1, 5), ("c", 60, 10), ("c", 64, 65), ("c", 2, 300), ("c", 490, 30), ("c", 900, 5), ("x", 1, 5), (None, None, 3), ("c", 130, 62), ("c", 129, 128)])]
     near = realign.with_reference(spark.createDataFrame(rows, "key int, contig string, pos bigint, cigar string"), reference, "key", 1, 64)
+    assert "__start" in near._jdf.queryExecution().optimizedPlan().toString()  # of the chunk and the next one; only long reads are grouped by key
     want = {i: "" if c != "c" else text[max(1, p - 1) - 1 : p + int(g[:-1])] for i, c, p, g in rows}
     assert {r["key"]: r["ref"] for r in near.collect()} == want
 
@@ -93,3 +94,11 @@ def test_equal_reads_are_aligned_once(spark):
         (bq,) = realign.base_alignment([(r["flag"], r["pos"], ops, r["seq"], r["qual"], r["ref"], r["ref_beg"])])
         assert got[r["key"]][0] == bq and (bq is None) == (r["key"] in (9, 10))
     assert got[400] == got[48] == got[44]
+
+
+def test_places_of_equal_short_reads_are_found_once():
+    modifications._held_places.cache_clear()
+    for seq in ("ACGCc" * 4, "ACGCc" * 4, "ACGCC" * 400):
+        assert [x[0] for x in modifications.called(seq, False, "C+m,1,2;")] == [3, 8]
+        assert [x[0] for x in modifications.called(seq, True, "C+m,0;")] == [len(seq) - 3]
+    assert modifications._held_places.cache_info().misses == 2 and modifications._held_places.cache_info().hits == 2
